@@ -18,7 +18,7 @@ COUNT_KEYS = {"INSERT_COUNT": "insertCount", "UPDATE_COUNT": "updateCount", "DEL
 
 def _gauges(df: DataFrame, pairs: list[tuple[Column, Column]]) -> DataFrame:
     """One (keys, val) row per pair and input row."""
-    items = F.array(*[F.struct(keys.alias("keys"), val.cast("int").alias("val")) for keys, val in pairs])
+    items = F.array(*[F.struct(keys.alias("keys"), val.cast("long").alias("val")) for keys, val in pairs])
     return df.select(F.explode(items).alias("_g")).select("_g.keys", "_g.val")
 
 

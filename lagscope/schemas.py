@@ -63,7 +63,7 @@ CHANGE = (
 
 GAUGE = (
     "ipPort string, keys array<string>, time string, category string, "
-    "values array<struct<metricType:string,name:string,val:int>>"
+    "values array<struct<metricType:string,name:string,val:bigint>>"
 )
 
 
