@@ -22,9 +22,14 @@ def _gauges(df: DataFrame, pairs: list[tuple[Column, Column]]) -> DataFrame:
     return df.select(F.explode(items).alias("_g")).select("_g.keys", "_g.val")
 
 
+def beat_gauges(runs: DataFrame, host_col: str) -> DataFrame:
+    """One alive gauge per row of a table of collector runs."""
+    return _gauges(runs, [(key_path(SELF, F.col(host_col), ALIVE), F.lit(1))])
+
+
 def heartbeat(spark, host: str) -> DataFrame:
     """The single gauge that says the collector ran."""
-    return _gauges(spark.range(1), [(key_path(SELF, host, ALIVE), F.lit(1))])
+    return beat_gauges(spark.range(1).select(F.lit(host).alias("host")), "host")
 
 
 def state_gauges(page_rows: DataFrame, root: str, id_col: str = "pipeline_id", state: str = "state",

@@ -44,26 +44,22 @@ def max_delay(points: DataFrame, start, end, interval: str = "1 minute", nulls:
     return _series(rolled, interval, start, end, "max_delay_time", nulls)
 
 
-def last_times(points: DataFrame, start, end, ts: str = "time", cols=("last_sync_time", "last_position_time")) -> DataFrame:
+def last_times(points: DataFrame, start, end, ts: str = "time", tie=(), cols=("last_sync_time", "last_position_time")) -> DataFrame:
     """Last sync and position time in seconds; the points hold nanoseconds."""
-    last = last_value_by(between(points, ts, start, end), ts, list(cols))
+    last = last_value_by(between(points, ts, start, end), [ts, *tie], list(cols))
     return last.select(*[ns_to_s(c).alias(c) for c in cols])
 
 
-def working_state(points: DataFrame, start, end, ts: str = "time", by: str = "pipeline_id", state: str = "state") -> DataFrame:
-    """Last state per source."""
+def working_state(points: DataFrame, start, end, ts: str = "time", tie=(), by: str = "pipeline_id", state: str = "state") -> DataFrame:
+    """Last state per source and the time it was seen."""
     rows = between(points, ts, start, end)
-    return last_value_by(rows, ts, [state], by=[by])
+    seen = rows.withColumn("_seen", F.when(F.col(state).isNotNull(), F.col(ts)))
+    out = last_value_by(seen, [ts, *tie], ["_seen", state], by=[by], alias={"_seen": ts})
+    return out.filter(F.col(state).isNotNull())
 
 
 def working_state_series(points: DataFrame, start, end, interval: str = "1 minute", nulls: str = "skip",
-                         ts: str = "time", state: str = "state") -> DataFrame:
+                         ts: str = "time", tie=(), state: str = "state") -> DataFrame:
     """Last state per bucket over all sources."""
-    rolled = last_value_by(between(points, ts, start, end), ts, [state], ts=ts, interval=interval)
+    rolled = last_value_by(between(points, ts, start, end), [ts, *tie], [state], ts=ts, interval=interval)
     return _series(rolled, interval, start, end, state, nulls)
-
-
-def with_last_time(points: DataFrame, start, end, ts: str = "time", by: str = "pipeline_id", state: str = "state") -> DataFrame:
-    """Last state per source and the time it was seen."""
-    rows = between(points, ts, start, end).filter(F.col(state).isNotNull())
-    return rows.groupBy(by).agg(F.max(ts).alias(ts), F.max_by(state, ts).alias(state))

@@ -79,13 +79,12 @@ def bind_columns(titles: Column, labels: dict[str, str]) -> dict[str, Column]:
     A label takes the first title that is part of it (an empty title is part of any label). If two
     labels take the same title, the later one has it and the earlier one stays unbound.
     """
-    first = {
-        name: F.get(
-            F.filter(F.sequence(F.lit(0), F.size(titles) - 1), lambda i, label=label: F.lit(label).contains(F.get(titles, i))),
-            F.lit(0),
-        )
-        for name, label in labels.items()
-    }
+
+    def first_title(label: str) -> Column:
+        at = F.sequence(F.lit(0), F.size(titles) - 1)
+        return F.get(F.filter(at, lambda i: F.lit(label).contains(F.get(titles, i))), F.lit(0))
+
+    first = {name: first_title(label) for name, label in labels.items()}
     names = list(labels)
     bound = {}
     for at, name in enumerate(names):

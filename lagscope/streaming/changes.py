@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagscope.operators.changes import apply_changes, transaction_summary
+from lagscope.operators.changes import DELETE, latest_changes, transaction_summary
 from lagscope.schemas import CHANGE_KINDS
 
 OPEN = "txn string, changes long, first_pos long, last_pos long, closed boolean, since long"
@@ -107,19 +107,14 @@ def finished_transactions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_table(rows: DataFrame, folder: str, keys, order, available_now: bool = False):
-    """Starts a query that keeps a table equal to its typed row changes.
+    """Starts a query that gathers the last typed change per key of every batch.
 
-    ``rows`` has the table's columns, ``op`` and the order columns. Each batch writes a new version
-    of the table from the version before; a repeated batch writes the same version again.
+    ``rows`` has the table's columns, ``op`` and the order columns. A batch costs as much as the
+    batch is large, whatever the size of the table; ``current_table`` merges on read and
+    ``compact_table`` folds the batches so far into one state.
     """
-    spark = rows.sparkSession
-    cols = [c for c in rows.columns if c not in ("op", *([order] if isinstance(order, str) else order))]
-    schema = rows.select(*cols).schema.simpleString()[len("struct<") : -1]
-    table = _Versions(spark, f"{folder.rstrip('/')}/table", schema)
-
     def on_batch(batch: DataFrame, number: int) -> None:
-        table.write(apply_changes(table.before(number), batch, keys, order), number)
-        table.drop(number - 3)
+        latest_changes(batch, keys, order).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/changes/batch={number}")
 
     writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint")
     if available_now:
@@ -127,12 +122,40 @@ def stream_table(rows: DataFrame, folder: str, keys, order, available_now: bool
     return writer.start()
 
 
-def current_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest complete version of a streamed table."""
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete ``name=number`` folders below a path."""
     jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/table")
+    root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    path = jvm.org.apache.hadoop.fs.Path
-    found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root)]
-    done = [n for n in found if fs.exists(path(f"{root}/batch={n}/_SUCCESS"))]
-    return spark.read.parquet(f"{root}/batch={max(done)}")
+    if not fs.exists(root):
+        return []
+    folders = [s.getPath() for s in fs.listStatus(root) if "=" in s.getPath().getName()]
+    done = [f for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(f.getName().split("=")[1]) for f in done)
+
+
+def _table_state(spark: SparkSession, folder: str, keys, order) -> tuple[DataFrame, int]:
+    folder = folder.rstrip("/")
+    states, batches = _numbers(spark, f"{folder}/state"), _numbers(spark, f"{folder}/changes")
+    upto = states[-1] if states else -1
+    paths = [f"{folder}/state/upto={upto}"] if states else []
+    paths += [f"{folder}/changes/batch={n}" for n in batches if n > upto]
+    return latest_changes(spark.read.parquet(*paths), keys, order), max([upto, *batches])
+
+
+def current_table(spark: SparkSession, folder: str, keys, order) -> DataFrame:
+    """The table after all complete batches: last change per key, deleted rows left out."""
+    order = [order] if isinstance(order, str) else list(order)
+    rows, _ = _table_state(spark, folder, keys, order)
+    return rows.filter(F.col("op") != DELETE).drop("op", *order)
+
+
+def compact_table(spark: SparkSession, folder: str, keys, order) -> int:
+    """Folds all complete batches into one state; returns the batch it reaches.
+
+    The state keeps the order columns and deleted keys, so changes that arrive late still merge
+    rightly.
+    """
+    rows, upto = _table_state(spark, folder, keys, order)
+    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/state/upto={upto}")
+    return upto

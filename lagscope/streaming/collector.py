@@ -77,13 +77,16 @@ def collect_once(spark: SparkSession, sources: list[Source], positions: Watermar
     return moved
 
 
-def run_collect(spark: SparkSession, tick: Callable[[datetime], None], checkpoint: str,
-                trigger: str = "60 seconds", once: bool = False):
-    """Calls ``tick`` on every trigger of a streaming query (or once) and returns the query."""
+def run_collect(spark: SparkSession, tick: Callable[[datetime], None], checkpoint: str, trigger: str = "60 seconds"):
+    """Calls ``tick`` on every trigger of a streaming query and returns the query."""
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def on_batch(_: DataFrame, __: int) -> None:
         tick(datetime.now())
 
-    writer = clock.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=trigger)).start()
+    return (
+        clock.writeStream.foreachBatch(on_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime=trigger)
+        .start()
+    )

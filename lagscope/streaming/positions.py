@@ -11,6 +11,10 @@ START_TIME = datetime(2006, 1, 2, 15, 4, 5)
 START_ID = 0
 
 
+def _parse(text: str, like):
+    return datetime.fromisoformat(text) if isinstance(like, datetime) else type(like)(text)
+
+
 class WatermarkTable:
     """Positions by source as a small versioned table in shared storage; one writer.
 
@@ -44,17 +48,16 @@ class WatermarkTable:
     def get(self, source: str, start=START_TIME):
         """The saved position, of the same type as ``start``."""
         text = self.all().get(source)
-        if text is None:
-            return start
-        return datetime.fromisoformat(text) if isinstance(start, datetime) else type(start)(text)
+        return start if text is None else _parse(text, start)
 
     def commit(self, positions: dict) -> bool:
         """Saves positions that moved forward; False if none did."""
-        now = self.all()
-        moved = {}
+        now, moved = self.all(), {}
         for source, value in positions.items():
-            old = self.get(source, value) if source in now else None
-            if value is not None and (old is None or value > old):
+            if value is None:
+                continue
+            old = _parse(now[source], value) if source in now else None
+            if old is None or value > old:
                 moved[source] = value.isoformat(sep=" ") if isinstance(value, datetime) else str(value)
         if not moved:
             return False
