@@ -217,7 +217,7 @@ def str1(spark, sf):
         load, spec = _sources(upto)
         source = collector.Source("delay", lambda s, load=load: load(s, sf), "GMT_MODIFIED", spec)
         collector.collect_once(spark, [source], positions, f"{folder}/out")
-    return spark.read.text(f"{folder}/out/delay/*/lines").select(F.col("value").alias("line"))
+    return collector.collected_points(spark, f"{folder}/out", "delay")[0]
 
 
 @check("str2_positions", f"SELECT 'by_id' AS source, cast(max(id) AS VARCHAR) AS position FROM {STATS} UNION ALL SELECT 'by_time', cast(max(gmt_modified) AS VARCHAR) FROM {STATS}")

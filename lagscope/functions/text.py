@@ -26,18 +26,11 @@ SERVER_ADDRESS = r"([\w.:]+:\d+)"
 CAMEL_WORD = r"(.)([A-Z][a-z]+)"
 CAMEL_EDGE = r"([a-z0-9])([A-Z])"
 
-# Short escapes inside a quoted string.
-QUOTE_ESCAPES = {
-    "\\": "\\\\",
-    '"': '\\"',
-    "\u0007": "\\a",
-    "\b": "\\b",
-    "\f": "\\f",
-    "\n": "\\n",
-    "\r": "\\r",
-    "\t": "\\t",
-    "\u000b": "\\v",
-}
+# Short escapes inside a quoted string, besides quote, backslash and newline.
+QUOTE_ESCAPES = {"\u0007": "\\a", "\b": "\\b", "\f": "\\f", "\r": "\\r", "\t": "\\t", "\u000b": "\\v"}
+
+# Characters that do not print: all of Unicode's "other" and "separator" classes but the space.
+_UNPRINTED = r"[\p{C}\p{Z}&&[^ \n]]"
 
 MAX_STRING_BYTES = 64000
 
@@ -57,23 +50,22 @@ def escape_key(c: Column | str) -> Column:
 def quote_text(c: Column | str) -> Column:
     """Double-quoted text with escapes; characters that do not print become code points."""
     col = as_col(c)
-    out = col
-    for raw, escaped in QUOTE_ESCAPES.items():
-        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    plain = F.replace(F.regexp_replace(col, r'(["\\])', r"\\$1"), F.lit("\n"), F.lit("\\n"))
 
     def one(ch: Column) -> Column:
         code = F.lower(F.hex(F.ascii(ch)))
+        out = F.when(~ch.rlike(_UNPRINTED), ch)
+        for raw, escaped in QUOTE_ESCAPES.items():
+            out = out.when(ch == raw, F.lit(escaped))
         return (
-            F.when(~ch.rlike(r"[\p{C}\p{Z}&&[^ ]]"), ch)
-            .when(F.ascii(ch) < 0x80, F.concat(F.lit("\\x"), F.lpad(code, 2, "0")))
+            out.when(F.ascii(ch) < 0x80, F.concat(F.lit("\\x"), F.lpad(code, 2, "0")))
             .when(F.ascii(ch) < 0x10000, F.concat(F.lit("\\u"), F.lpad(code, 4, "0")))
             .otherwise(F.concat(F.lit("\\U"), F.lpad(code, 8, "0")))
         )
 
-    # Rare: only rows that hold such characters pay for the walk over characters.
-    walked = F.array_join(F.transform(F.regexp_extract_all(out, F.lit("(?s)."), F.lit(0)), one), "")
-    body = F.when(out.rlike(r"[\p{C}\p{Z}&&[^ ]]"), walked).otherwise(out)
-    return F.concat(F.lit('"'), body, F.lit('"'))
+    # Only the rare rows that hold such characters are walked character by character.
+    walked = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.concat(F.lit('"'), F.when(col.rlike(_UNPRINTED), walked).otherwise(plain), F.lit('"'))
 
 
 def float_text(c: Column | str) -> Column:

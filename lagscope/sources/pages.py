@@ -23,50 +23,55 @@ PAGE_LABELS = {
 
 
 def table_rows(css_class: str):
-    """Arrow-batched reader: page text -> rows of trimmed cell texts of the tables of one class."""
+    """Arrow-batched reader: page text -> rows of trimmed cell texts of the tables of one class.
+
+    Only table tags are looked at one by one; everything between them is skipped or taken as cell
+    text. Rows and cells may be left unclosed.
+    """
     blanks = WHITESPACE
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def rows_of_page(pages: pd.Series) -> pd.Series:
-        from html.parser import HTMLParser
-
-        class Rows(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.tables, self.rows, self.open_rows = [], [], []
-
-            def handle_starttag(self, tag, attrs):
-                if tag == "table":
-                    classes = (dict(attrs).get("class") or "").split()
-                    inside = bool(self.tables and self.tables[-1])
-                    self.tables.append(inside or css_class in classes)
-                    self.open_rows.append(None)
-                elif self.tables and tag == "tr":
-                    self.open_rows[-1] = [] if self.tables[-1] else None
-                    if self.tables[-1]:
-                        self.rows.append(self.open_rows[-1])
-                elif self.tables and tag in ("td", "th") and self.open_rows[-1] is not None:
-                    self.open_rows[-1].append([])
-
-            def handle_endtag(self, tag):
-                if tag == "table" and self.tables:
-                    self.tables.pop()
-                    self.open_rows.pop()
-                elif tag == "tr" and self.open_rows:
-                    self.open_rows[-1] = None
-
-            def handle_data(self, data):
-                for row in self.open_rows:
-                    if row:
-                        row[-1].append(data)
+        import re
+        from html import unescape
+
+        attributes = r"""((?:"[^"]*"|'[^']*'|[^'">])*)"""
+        token = re.compile(
+            r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>(?P<code>.*?)</(?P=raw)\s*>"
+            rf"|<(?P<end>/?)(?P<tag>table|tr|td|th)\b{attributes}>",
+            re.I | re.S,
+        )
+        any_tag = re.compile(rf"</?[a-zA-Z]{attributes}>|<![^>]*>")
+        class_of = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
         def parse(text):
             if text is None:
                 return None
-            reader = Rows()
-            reader.feed(text)
-            reader.close()
-            return [["".join(cell).strip(blanks) for cell in row] for row in reader.rows]
+            rows, tables, at = [], [], 0  # a table: [wanted, open row, open cell]
+            for match in token.finditer(text):
+                cells = [t[2] for t in tables if t[2] is not None]
+                if cells:
+                    piece = unescape(any_tag.sub("", text[at : match.start()])) + (match["code"] or "")
+                    for cell in cells:
+                        cell.append(piece)
+                at = match.end()
+                tag = match["tag"] and match["tag"].lower()
+                if tag == "table" and not match["end"]:
+                    found = class_of.search(match[match.lastindex] or "")
+                    classes = next((g for g in found.groups() if g is not None), "") if found else ""
+                    wanted = bool(tables and tables[-1][0]) or css_class in unescape(classes).split()
+                    tables.append([wanted, None, None])
+                elif tag == "table" and tables:
+                    tables.pop()
+                elif tag == "tr" and tables:
+                    tables[-1][1:] = [None, None] if match["end"] or not tables[-1][0] else [[], None]
+                    if tables[-1][1] is not None:
+                        rows.append(tables[-1][1])
+                elif tag and tables and tables[-1][1] is not None:
+                    tables[-1][2] = None if match["end"] else []
+                    if not match["end"]:
+                        tables[-1][1].append(tables[-1][2])
+            return [["".join(cell).strip(blanks) for cell in row] for row in rows]
 
         return pages.map(parse)
 

@@ -42,41 +42,43 @@ def collect_once(spark: SparkSession, sources: list[Source], positions: Watermar
                  overlap: timedelta | None = None) -> dict[str, object]:
     """One run over all sources; returns the new positions.
 
-    The upper bound is read first and the rows up to it are written next, so rows that arrive in
-    between wait for the next run. A run writes to a folder named after the position it starts
-    from and saves the new position last: a run that died is repeated into the same folder. With
-    ``overlap`` the read starts earlier and ``dedupe_points`` removes what was written before.
+    A source is read once: its new rows are encoded and written, and the new position is the
+    largest one among the rows just written, so rows that arrive meanwhile wait for the next run.
+    A run writes to a folder named after the position it starts from and saves the new positions
+    last; a run that died is repeated into the same folder. With ``overlap`` the read starts
+    earlier and ``dedupe_points`` removes what was written before.
     """
     moved: dict[str, object] = {}
     for source in sources:
-        start = START_ID if source.by_id else START_TIME
-        last = positions.get(source.name, start)
         df = source.read(spark)
         if source.by_id:
-            fresh = after_id(df, source.position, last)
-        else:
-            fresh = newer_than(df, source.position, last)
-        top = fresh.agg(F.max(source.position).alias("top")).first()["top"]
-        if top is None:
-            continue
-        if source.by_id:
-            rows = fresh.filter(F.col(source.position) <= F.lit(int(top)))
-            label = str(last)
+            last = positions.get(source.name, START_ID)
+            fresh, label = after_id(df, source.position, last), str(last)
         else:
+            last = positions.get(source.name, START_TIME)
             low = last - overlap if overlap and last != START_TIME else last
-            rows = capture_changes(df, source.position, low, top)
-            label = f"{last:%Y%m%dT%H%M%S%f}"
-        encoded = to_line_protocol(rows, source.spec)
-        lines, rejects = split_rejects(encoded)
-        folder = f"{out.rstrip('/')}/{source.name}/from={label}"
-        lines.write.mode("overwrite").text(f"{folder}/lines")
-        rejects.write.mode("overwrite").parquet(f"{folder}/rejects")
-        moved[source.name] = int(top) if source.by_id else top
+            fresh, label = capture_changes(df, source.position, low), f"{last:%Y%m%dT%H%M%S%f}"
+        folder = f"{_folder(out, source.name)}/from={label}"
+        encoded = to_line_protocol(fresh, source.spec)
+        encoded.select(F.col(source.position).alias("position"), "line", "reject").write.mode("overwrite").parquet(folder)
+        top = spark.read.parquet(folder).agg(F.max("position").alias("top")).first()["top"]
+        if top is not None and top > last:
+            moved[source.name] = int(top) if source.by_id else top
     if moved:
         positions.commit(moved)
     return moved
 
 
+def _folder(out: str, name: str) -> str:
+    return f"{out.rstrip('/')}/{name}"
+
+
+def collected_points(spark: SparkSession, out: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """``(lines, rejects)`` of everything collected from a source so far."""
+    lines, rejects = split_rejects(spark.read.parquet(_folder(out, name)).drop("from"))
+    return lines, rejects.select("position", "reject")
+
+
 def run_collect(spark: SparkSession, tick: Callable[[datetime], None], checkpoint: str, trigger: str = "60 seconds"):
     """Calls ``tick`` on every trigger of a streaming query and returns the query."""
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()

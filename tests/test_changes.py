@@ -14,7 +14,7 @@ from lagscope.schemas import CHANGE, struct_of
 from lagscope.sources import changes as source
 from lagscope.sources.stats import jdbc_options, list_schemas, list_tables, read_stat, read_texts
 from lagscope.streaming import changes as streams
-from lagscope.streaming.collector import Source, capture_changes, collect_once, latest_state, run_collect
+from lagscope.streaming.collector import Source, capture_changes, collect_once, collected_points, latest_state, run_collect
 from lagscope.streaming.positions import START_ID, START_TIME, WatermarkTable
 
 USER = T.StructType().add("id", "long").add("email", "string").add("age", "integer")
@@ -191,7 +191,8 @@ def test_two_runs_equal_one(spark, tmp_path):
             collect_once(spark, sources, positions, str(tmp_path / name / "out"))
         assert collect_once(spark, sources, positions, str(tmp_path / name / "out")) == {}
         assert positions.get("delay") == datetime(2020, 4, 20, 4, 20, 11) and positions.get("log", START_ID) == 9
-        return sorted(r.value for r in spark.read.text(str(tmp_path / name / "out" / "*" / "*" / "lines")).collect())
+        lines = [collected_points(spark, str(tmp_path / name / "out"), s)[0] for s in ("delay", "log")]
+        return sorted(r.line for df in lines for r in df.collect())
 
     assert run("once", 99) == run("thrice", 3, 7, 99) and len(run("again", 99)) == 12
 
@@ -202,7 +203,7 @@ def test_run_that_died_repeats_into_the_same_place(spark, tmp_path):
     collect_once(spark, [_delay_source(fixtures.delays(spark))], positions, str(tmp_path / "out"))
     positions.commit = commit
     collect_once(spark, [_delay_source(fixtures.delays(spark))], positions, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out" / "*" / "*" / "lines")).count() == 7
+    assert collected_points(spark, str(tmp_path / "out"), "delay")[0].count() == 7
 
 
 def test_overlap_catches_late_rows(spark, tmp_path):
@@ -212,8 +213,8 @@ def test_overlap_catches_late_rows(spark, tmp_path):
         positions = WatermarkTable(spark, str(tmp_path / name / "pos"))
         for df in (early, delays):
             collect_once(spark, [_delay_source(df)], positions, str(tmp_path / name / "out"), overlap)
-        lines = spark.read.text(str(tmp_path / name / "out" / "*" / "*" / "lines"))
-        assert lines.distinct().count() == want
+        lines, rejects = collected_points(spark, str(tmp_path / name / "out"), "delay")
+        assert lines.distinct().count() == want and rejects.count() == 0
     twice = delays.unionAll(delays)
     assert dedupe_points(twice, _delay_source(delays).spec, ["ID"]).count() == 7
 

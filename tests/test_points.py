@@ -7,7 +7,7 @@ import fixtures
 from lagscope.functions.scalars import id_origin
 from lagscope.operators import gauges, points
 from lagscope.operators.points import PointSpec, project, split_rejects, stat_specs, to_line_protocol
-from lagscope.sources.pages import PAGE_LABELS, extract_html_table, page_points
+from lagscope.sources.pages import PAGE_LABELS, extract_html_table, page_points, table_rows
 
 
 def lines(df, spec, **kw):
@@ -84,6 +84,8 @@ def test_status_page(spark):
         ("missing", page(TITLES[:3], ROW[:3])),
         ("stray", page(("备注", *TITLES), ("note", *ROW))),
         ("unclosed", '<table class="list"><tr><th>序号<th>mainstem状态<tr><td>9<td>定位中</table>'),
+        ("nested", '<TABLE CLASS=list><TR><TH>序号</TH><TH><!-- <td>x</td> -->名字 &amp; b</TH></TR><tr><td title="a>b">1</td>'
+                   '<td><a href="?x">n</a><script>var t = "<tr><td>no</td></tr>";</script></td></tr></TABLE><table><tr><td>other</td></tr></table>'),
         ("none", "<p>no table</p>"),
         ("null", None),
     ]
@@ -94,7 +96,10 @@ def test_status_page(spark):
     assert got["plain"] == [ROW, ROW] and got["reordered"] == [ROW] and got["stray"] == [ROW]
     assert got["missing"] == [(*ROW[:3], "", "", "")]
     assert got["unclosed"] == [("9", "", "定位中", "", "", "")]
-    assert set(got) == {"plain", "reordered", "missing", "stray", "unclosed"}
+    assert got["nested"] == [("1", "", "", "", "", "")]
+    assert set(got) == {"plain", "reordered", "missing", "stray", "unclosed", "nested"}
+    cells = spark.createDataFrame([pages[5]], "n string, html string").select(table_rows("list")("html").alias("r")).first().r
+    assert cells == [["序号", "名字 & b"], ["1", 'nvar t = "<tr><td>no</td></tr>";']]
 
 
 def test_title_binding(spark):
