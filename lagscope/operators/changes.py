@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagscope.operators.ordered import number_rows
+from lagscope.operators.ordered import number_by_position
 from lagscope.operators.rollups import bucket_agg
 
 INSERT, UPDATE, DELETE = "I", "U", "D"
@@ -26,7 +26,7 @@ def transaction_rows(changes: DataFrame, txn: str = "gtid", pos: str = "pos", ki
                      name: str = "seq") -> DataFrame:
     """Row changes with their 1-based place in the transaction; a huge transaction is spread."""
     rows = changes.filter((F.col(kind) == "row") & F.col(txn).isNotNull())
-    return number_rows(rows, [pos], by=[txn], name=name)
+    return number_by_position(rows, pos, [txn], name)
 
 
 def group_transactions(changes: DataFrame, cols=None, txn: str = "gtid", pos: str = "pos",
@@ -42,10 +42,12 @@ def group_transactions(changes: DataFrame, cols=None, txn: str = "gtid", pos: st
     rows = rows.withColumn("chunk", F.floor((F.col("_seq") - 1) / chunk_rows).cast("long"))
     item = F.struct(F.col("_seq").alias("seq"), *[F.col(c) for c in cols])
 
-    def earlier(x, y):
-        return F.when(x["seq"] < y["seq"], -1).when(x["seq"] > y["seq"], 1).otherwise(0)
-
-    chunks = rows.groupBy(txn, "chunk").agg(F.array_sort(F.collect_list(item), earlier).alias("rows"))
+    items = F.collect_list(item)
+    if any("map<" in changes.schema[c].dataType.simpleString() for c in cols):  # maps have no order of their own
+        items = F.array_sort(items, lambda x, y: (x["seq"] - y["seq"]).cast("int"))
+    else:
+        items = F.sort_array(items)
+    chunks = rows.groupBy(txn, "chunk").agg(items.alias("rows"))
     return chunks.join(transaction_summary(changes, txn, pos, kind), txn)
 
 

@@ -18,21 +18,28 @@ def unused(candidates: DataFrame, used: DataFrame, keys) -> DataFrame:
 def smallest_free_suffix(names: DataFrame, name: str = "name", by=(), stem: str = "_bak") -> DataFrame:
     """For every plain name the smallest n >= 1 so that ``name + stem + n`` is not taken.
 
-    The answer is 1 or one above a taken suffix, so those are the only candidates: one per taken
-    name. What is left after the anti join is reduced by a combining minimum. No suffix list is
-    gathered, so a name with very many backups is as cheap as the same number of names.
+    The answer is 1 or one above a taken suffix, so those are the only candidates. One scan, two
+    combining aggregations and no join; no suffix list is gathered, so a name with very many
+    backups is as cheap as the same number of names.
     """
     by = list(by)
-    all_names = names.select(*by, name).distinct()
-    plain = all_names.filter(~is_backup_name(name, stem))
     shape = "^(.+)" + re.escape(stem) + "([1-9][0-9]{0,17})$"
-    taken = (
-        all_names.filter(is_backup_name(name, stem))
-        .select(*by, F.regexp_extract(name, shape, 1).alias(name), F.regexp_extract(name, shape, 2).try_cast("long").alias("n"))
-        .filter("n IS NOT NULL")
+    taken = F.regexp_extract(name, shape, 2).try_cast("long")
+
+    def item(n, used: bool, plain: bool):
+        return F.struct(n.cast("long").alias("n"), F.lit(used).alias("used"), F.lit(plain).alias("plain"))
+
+    backup = is_backup_name(name, stem)
+    items = F.when(~backup, F.array(item(F.lit(1), False, True))).otherwise(
+        F.array(item(taken, True, False), item(taken + 1, False, False))
+    )
+    base = F.when(~backup, F.col(name)).otherwise(F.regexp_extract(name, shape, 1))
+    rows = names.filter(~backup | taken.isNotNull()).select(*by, base.alias(name), F.explode(items).alias("_i"))
+    marks = rows.groupBy(*by, name, F.col("_i.n").alias("_n")).agg(
+        F.max("_i.used").alias("_used"), F.max("_i.plain").alias("_plain")
+    )
+    smallest = marks.groupBy(*by, name).agg(
+        F.min(F.when(~F.col("_used"), F.col("_n"))).alias("suffix"), F.max("_plain").alias("_plain")
     )
-    after = taken.withColumn("n", F.col("n") + 1)
-    candidates = plain.withColumn("n", F.lit(1).cast("long")).unionByName(after)
-    free = unused(candidates, taken, [*by, name, "n"])
-    smallest = free.groupBy(*by, name).agg(F.min("n").alias("suffix")).join(plain, [*by, name], "left_semi")
-    return smallest.withColumn("free_name", F.concat(F.col(name), F.lit(stem), F.col("suffix").cast("string")))
+    free = F.concat(F.col(name), F.lit(stem), F.col("suffix").cast("string"))
+    return smallest.filter("_plain").drop("_plain").withColumn("free_name", free)

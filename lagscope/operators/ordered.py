@@ -1,117 +1,100 @@
 """Row order over a whole table without putting it into one task.
 
 A window without PARTITION BY sorts everything in one task, and one PARTITION BY key that holds a
-third of the rows is nearly as bad. Here the rows are cut into ranges of the total order first.
-The cut points come from a sample whose size follows the number of shuffle partitions, not the
-data; each range is sorted by its own task, and what a range needs from earlier ranges is at most
-one small row per range.
+third of the rows is nearly as bad. Here Spark sorts the table over all tasks and writes it once,
+each row with a number that tells its task and its place there. What a task's rows need from the
+tasks before them is one small row per task.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.column import Column
-
-_SAMPLES_PER_RANGE = 20
-_RANGE = "_range"
-
-
-def _cut_points(df: DataFrame, order_by: list[str], ranges: int) -> list[list[str | None]]:
-    """At most ``ranges - 1`` sorted order keys, as text."""
-    keys = df.select(*order_by)
-    total = keys.count()
-    if total == 0 or ranges < 2:
-        return []
-    wanted = _SAMPLES_PER_RANGE * ranges
-    sample = keys if total <= wanted else keys.sample(wanted / total, seed=17)
-    rows = sample.orderBy(*order_by).select(*[F.col(c).cast("string") for c in order_by]).collect()
-    step = max(1, len(rows) // ranges)
-    return [list(row) for row in rows[step::step]][: ranges - 1]
-
-
-def _range_of(df: DataFrame, order_by: list[str], cuts: list[list[str | None]]) -> Column:
-    """Number of cut points at or below the row's key: a binary search over one constant array."""
-    if not cuts:
-        return F.lit(0)
-    names = [f"k{i}" for i in range(len(order_by))]
-    as_text = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-    typed = T.ArrayType(
-        T.StructType([T.StructField(n, df.schema[c].dataType) for n, c in zip(names, order_by, strict=True)])
-    )
-    text = json.dumps([dict(zip(names, cut, strict=True)) for cut in cuts])
-    bounds = F.from_json(F.lit(text), as_text).cast(typed)  # folded to a constant before execution
-    key = F.struct(*[F.col(c).alias(n) for n, c in zip(names, order_by, strict=True)])
-    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
 
-    def search(low: Column, step: Column) -> Column:
-        probe = F.get(bounds, low + step - 1)
-        return low + F.when(probe.isNotNull() & (probe <= key), step).otherwise(F.lit(0))
+from lagscope.session import shared_folder
+
+_SPAN = 1_000_000
+_PLACE_BITS = 33  # of monotonically_increasing_id: the task's number above, the place below
+
+
+def _names(cols) -> list[str]:
+    return [cols] if isinstance(cols, str) else list(cols)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), search)
 
+def sorted_table(df: DataFrame, order_by, ranges: int | None = None) -> DataFrame:
+    """The rows sorted and written to the shared folder, with ``_range`` and ``_place`` in it.
 
-def _ranged(df: DataFrame, order_by: list[str], ranges: int | None) -> tuple[DataFrame, list[list[str | None]]]:
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cut_points(df, order_by, n)
-    return df.withColumn(_RANGE, _range_of(df, order_by, cuts)), cuts
+    The numbers depend on where the sort cut the table, so they are fixed by writing them: every
+    later read, and every retry after a lost executor, sees the same ones.
+    """
+    order_by = _names(order_by)
+    ordered = df.orderBy(*order_by)
+    if ranges:
+        ordered = df.repartitionByRange(ranges, *order_by).sortWithinPartitions(*order_by)
+    path = f"{shared_folder(df.sparkSession, 'sorted')}-{uuid.uuid4().hex}"
+    ordered.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField("_id", T.LongType())])
+    table = df.sparkSession.read.schema(schema).parquet(path)
+    place = F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return table.select(*df.columns, F.shiftright("_id", _PLACE_BITS).alias("_range"), place.alias("_place"))
 
 
 def number_rows(df: DataFrame, order_by, by=(), name: str = "row_number", ranges: int | None = None) -> DataFrame:
     """1-based row number in ``order_by``, restarting for every ``by``; the order must be total."""
-    by, order_by = list(by), [order_by] if isinstance(order_by, str) else list(order_by)
-    ranged, cuts = _ranged(df, [*by, *order_by], ranges)
-    numbered = ranged.withColumn(name, F.row_number().over(Window.partitionBy(_RANGE, *by).orderBy(*order_by)))
-    if not cuts:
-        return numbered.drop(_RANGE)
-    if by:
-        # A group reaches into a later range only if a cut point lies inside it, so at most one
-        # group per cut point has to be counted.
-        typed = [df.schema[c].dataType for c in by]
-        split = df.sparkSession.createDataFrame([cut[: len(by)] for cut in cuts], ", ".join(f"`_s{i}` string" for i in range(len(by))))
-        split = split.select(*[F.col(f"_s{i}").cast(t).alias(f"_s{i}") for i, t in enumerate(typed)]).distinct()
-        same = F.lit(True)
-        for i, c in enumerate(by):
-            same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
-        counted = ranged.join(F.broadcast(split), same, "left_semi")
-    else:
-        counted = ranged
-    sizes = counted.groupBy(_RANGE, *by).agg(F.count("*").alias("_size"))
-    earlier = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sizes.withColumn("_before", F.sum("_size").over(earlier))
-        .filter("_before > 0")
-        .select(F.col(_RANGE).alias("_r"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(by)], "_before")
-    )
-    match = F.col(_RANGE) == F.col("_r")
+    by, order_by = _names(by), _names(order_by)
+    table = sorted_table(df, [*by, *order_by], ranges)
+    sizes = table.groupBy("_range").agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    numbered = table.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_place") + F.col("_before") + 1)
+    if not by:
+        return numbered.select(*df.columns, name)
+    # The sort keeps a group together, so its numbers only have to start at 1.
+    firsts = numbered.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min(name).alias("_first"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    started = numbered.join(firsts, same)
+    return started.select(*df.columns, (F.col(name) - F.col("_first") + 1).alias(name))
+
+
+def number_by_position(df: DataFrame, pos: str, by, name: str = "seq", span: int = _SPAN) -> DataFrame:
+    """1-based row number per ``by`` in the order of a unique whole-number position.
+
+    Positions are cut into slots of ``span``, so no task sorts more than one slot of one group. A
+    group adds up the sizes of its earlier slots; groups within one slot have none to add.
+    """
+    by = _names(by)
+    slot = F.floor(F.col(pos) / F.lit(span))
+    rows = df.withColumn("_slot", slot)
+    local = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by, "_slot").orderBy(pos)).cast("long"))
+    sizes = rows.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_slot").alias("_s")).agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*[f"_g{i}" for i in range(len(by))]).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.sum("_size").over(earlier)).filter("_before IS NOT NULL").drop("_size")
+    same = F.col("_slot") == F.col("_s")
     for i, c in enumerate(by):
-        match = match & F.col(c).eqNullSafe(F.col(f"_o{i}"))
-    # At most one row per range: a bounded broadcast.
-    joined = numbered.join(F.broadcast(offsets), match, "left")
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    joined = local.join(offsets, same, "left")
     return joined.select(*df.columns, (F.col(name) + F.coalesce(F.col("_before"), F.lit(0))).alias(name))
 
 
 def ditto(df: DataFrame, cols, order_by, mark: str = '"', ranges: int | None = None) -> DataFrame:
     """A non-empty cell equal to the one above it becomes ``mark``; empty text and NULL stay."""
-    order_by = [order_by] if isinstance(order_by, str) else list(order_by)
-    ranged, cuts = _ranged(df, order_by, ranges)
+    table = sorted_table(df, order_by, ranges)
     cells = F.struct(*[F.col(c) for c in cols])
-    above = F.lag(cells).over(Window.partitionBy(_RANGE).orderBy(*order_by))
-    rows = ranged.withColumn("_above", above)
-    if cuts:
-        # The first row of a range looks at the last row of the range before: one row per range.
-        last = ranged.groupBy(_RANGE).agg(F.max_by(cells, F.struct(*order_by)).alias("_last"))
-        before = last.select(F.col(_RANGE).alias("_r"), F.lag("_last").over(Window.orderBy(_RANGE)).alias("_carry"))
-        rows = rows.join(F.broadcast(before), F.col(_RANGE) == F.col("_r"), "left")
-        rows = rows.withColumn("_above", F.coalesce("_above", "_carry"))
+    above = F.lag(cells).over(Window.partitionBy("_range").orderBy("_place"))
+    # The first row of a range looks at the last row of the range before: one row per range.
+    last = table.groupBy("_range").agg(F.max_by(cells, "_place").alias("_last"))
+    before = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carry"))
+    rows = table.withColumn("_above", above).join(F.broadcast(before), "_range")
+    rows = rows.withColumn("_above", F.when(F.col("_place") == 0, F.col("_carry")).otherwise(F.col("_above")))
     shown = {}
     for c in cols:
         text = F.col(c).cast("string")
-        same = (text != "") & (F.col(f"_above.{c}") == F.col(c))
-        shown[c] = F.when(same, F.lit(mark)).otherwise(text)
+        shown[c] = F.when((text != "") & (F.col(f"_above.{c}") == F.col(c)), F.lit(mark)).otherwise(text)
     return rows.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in df.columns])
 
 

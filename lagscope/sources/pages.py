@@ -75,7 +75,8 @@ def table_rows(css_class: str):
 
         return pages.map(parse)
 
-    return rows_of_page
+    # Keeps Spark from running the reader once more for the filter it derives from the explode.
+    return rows_of_page.asNondeterministic()
 
 
 def bind_columns(titles: Column, labels: dict[str, str]) -> dict[str, Column]:

@@ -90,10 +90,20 @@ def test_row_numbers(spark, ranges):
 
 def test_ranges_are_even_and_groups_are_split(spark):
     _, df = _skewed(spark)
-    ranged, cuts = ordered._ranged(df, ["g", "i"], 10)
-    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
-    assert len(cuts) == 9 and max(sizes) < 3 * df.count() / 10
-    assert ranged.filter("g = 'hot'").select("_range").distinct().count() >= 5
+    table = ordered.sorted_table(df, ["g", "i"], 10)
+    sizes = [r["count"] for r in table.groupBy("_range").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 3 * df.count() / 10
+    assert table.filter("g = 'hot'").select("_range").distinct().count() >= 5
+
+
+@pytest.mark.parametrize("span", [1, 10, 1000, 10**6])
+def test_numbers_by_position(spark, span):
+    rows, df = _skewed(spark, 1500)
+    want, seen = {}, {}
+    for g, i, _ in sorted(rows, key=lambda r: r[1]):
+        seen[g] = seen.get(g, 0) + 1
+        want[i] = seen[g]
+    assert {r.i: r.seq for r in ordered.number_by_position(df, "i", ["g"], span=span).collect()} == want
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 20])
