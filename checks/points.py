@@ -129,7 +129,8 @@ def snk1(spark, sf):
 
 
 @check("snk1_line_protocol_texts", f"""SELECT 'docs,lang=' || lang || ' n_chars=' || n_chars || ',text=' || {_QUOTE.format('text')} ||
- ' ' || (epoch_us(TIMESTAMP '{NOW}') * 1000) AS line FROM documents""")
+ ' ' || (epoch_us(TIMESTAMP '{NOW}') * 1000) AS line FROM documents
+ WHERE octet_length(encode(text)) <= {MAX_STRING_BYTES}""")
 def snk1_texts(spark, sf):
     rows = read(spark, sf, "documents").withColumn("at", F.lit(None).cast("timestamp"))
     spec = points.PointSpec.of("docs", "at", ["lang"], ["n_chars", "text"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
@@ -110,35 +110,38 @@ def _bucket_starts(start, end, seconds: int) -> tuple[datetime, int]:
 def fill_gaps(df: DataFrame, bucket_col: str, interval: str, start, end, by=()) -> DataFrame:
     """Every bucket between ``start`` and ``end`` (both included), NULLs where nothing was seen.
 
-    With ``by`` each series gets every bucket. The calendar is made from a range of numbers, not
-    from the data; its rows are explicit output. Both join sides are unique per key, so no key is
-    hot, and Spark broadcasts the smaller one only below its size limit.
+    ``df`` has one row per bucket. With ``by`` every series that has a bucket in the range gets all
+    of them: each row is spread over the buckets up to the next row of its series, so ``df`` is
+    read once and nothing is joined. Without ``by`` the calendar is a distributed range of numbers
+    joined with the buckets; both sides are unique per bucket.
     """
     seconds = interval_seconds(interval)
     first, n = _bucket_starts(start, end, seconds)
-    kind = df.schema[bucket_col].dataType.typeName()
-    origin = F.lit(first.isoformat(sep=" ")).cast(kind)
+    origin = F.lit(first.isoformat(sep=" ")).cast(df.schema[bucket_col].dataType.typeName())
 
     def at(number: Column) -> Column:
         step = (number * F.lit(seconds)).cast("decimal(18,6)")
         return origin + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), step)
 
-    if by:
-        series = df.select(*by).distinct()
-        # Two explodes: no row ever holds an array longer than one block.
-        blocks = series.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(max(0, (n - 1) // _FILL_BLOCK)))))
-        low = F.col("_b") * _FILL_BLOCK
-        high = F.least(low + (_FILL_BLOCK - 1), F.lit(n - 1))
-        calendar = blocks.withColumn("_n", F.explode(F.sequence(low, high))).filter(F.col("_n") < n).filter(F.lit(n > 0))
-    else:
-        calendar = df.sparkSession.range(n).withColumnRenamed("id", "_n")
-    calendar = calendar.select(*[F.col(c).alias(f"_k_{c}") for c in by], at(F.col("_n")).alias("_at"))
-    match = F.col("_at") == F.col(bucket_col)
-    for c in by:
-        match = match & F.col(f"_k_{c}").eqNullSafe(F.col(c))
     values = [c for c in df.columns if c not in (*by, bucket_col)]
-    return calendar.join(df, match, "left").select(
-        *[F.col(f"_k_{c}").alias(c) for c in by], F.col("_at").alias(bucket_col), *values
+    if not by:
+        calendar = df.sparkSession.range(n).select(at(F.col("id")).alias("_at"))
+        joined = calendar.join(df, F.col("_at") == F.col(bucket_col), "left")
+        return joined.select(F.col("_at").alias(bucket_col), *values)
+
+    gap = (F.col(bucket_col) - origin).cast(T.DayTimeIntervalType(3, 3)).cast("decimal(18,6)")
+    rows = df.withColumn("_n", F.floor(gap / F.lit(seconds)).cast("long")).filter(F.col("_n").between(0, n - 1))
+    series = Window.partitionBy(*by).orderBy("_n")
+    spread = rows.withColumns({
+        "_from": F.when(F.row_number().over(series) == 1, F.lit(0).cast("long")).otherwise(F.col("_n")),
+        "_to": F.lead("_n", 1, n).over(series) - 1,
+    })
+    # Two explodes: no row ever holds an array longer than one block.
+    blocks = spread.withColumn("_low", F.explode(F.sequence(F.col("_from"), F.col("_to"), F.lit(_FILL_BLOCK).cast("long"))))
+    high = F.least(F.col("_low") + (_FILL_BLOCK - 1), F.col("_to"))
+    filled = blocks.withColumn("_i", F.explode(F.sequence(F.col("_low"), high)))
+    return filled.select(
+        *by, at(F.col("_i")).alias(bucket_col), *[F.when(F.col("_i") == F.col("_n"), F.col(c)).alias(c) for c in values]
     )
 
 

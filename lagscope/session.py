@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +32,9 @@ def get_session(master: str | None = None, partitions: int | None = None, **extr
     return builder.getOrCreate()
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder below ``spark.checkpoint.dir``, the storage every executor can reach.
 
@@ -40,11 +42,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to storage shared by all executors")
-        base = tempfile.mkdtemp(prefix="lagscope-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, name)
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="lagscope-")
+        base = _local_folders[context.applicationId]
+    return f"{base.rstrip('/')}/{name}"
 
 
 def as_col(c: Column | str) -> Column:
