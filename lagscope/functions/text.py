@@ -50,7 +50,10 @@ def escape_key(c: Column | str) -> Column:
 def quote_text(c: Column | str) -> Column:
     """Double-quoted text with escapes; characters that do not print become code points."""
     col = as_col(c)
-    plain = F.replace(F.regexp_replace(col, r'(["\\])', r"\\$1"), F.lit("\n"), F.lit("\\n"))
+    plain = col
+    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        plain = F.replace(plain, F.lit(raw), F.lit(escaped))
+    odd = col.rlike(r"[^ -~\n]") & col.rlike(_UNPRINTED)  # plain ASCII stops at the cheaper test
 
     def one(ch: Column) -> Column:
         code = F.lower(F.hex(F.ascii(ch)))
@@ -65,7 +68,7 @@ def quote_text(c: Column | str) -> Column:
 
     # Only the rare rows that hold such characters are walked character by character.
     walked = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), one), "")
-    return F.concat(F.lit('"'), F.when(col.rlike(_UNPRINTED), walked).otherwise(plain), F.lit('"'))
+    return F.concat(F.lit('"'), F.when(odd, walked).otherwise(plain), F.lit('"'))
 
 
 def float_text(c: Column | str) -> Column:
@@ -89,7 +92,7 @@ def float_text(c: Column | str) -> Column:
     )
     body = (
         F.when(mag == 0, F.lit("0"))
-        .when((mag >= 1e-3) & (mag < 1e6), F.regexp_replace(text, r"\.0$", ""))
+        .when((mag >= 1e-3) & (mag < 1e6), F.when(text.endswith(".0"), F.substring_index(text, ".", 1)).otherwise(text))
         .when((mag >= 1e-4) & (mag < 1e-3), F.concat(F.lit("0.000"), digits))
         .otherwise(scientific)
     )

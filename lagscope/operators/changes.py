@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagscope.operators.ordered import number_by_position
-from lagscope.operators.rollups import bucket_agg
+from lagscope.operators.rollups import bucket_agg, explode_range
 
 INSERT, UPDATE, DELETE = "I", "U", "D"
 
@@ -26,7 +26,7 @@ def transaction_rows(changes: DataFrame, txn: str = "gtid", pos: str = "pos", ki
                      name: str = "seq") -> DataFrame:
     """Row changes with their 1-based place in the transaction; a huge transaction is spread."""
     rows = changes.filter((F.col(kind) == "row") & F.col(txn).isNotNull())
-    return number_by_position(rows, pos, [txn], name)
+    return number_by_position(rows, pos, [txn], name, by_has_nulls=False)
 
 
 def group_transactions(changes: DataFrame, cols=None, txn: str = "gtid", pos: str = "pos",
@@ -48,7 +48,11 @@ def group_transactions(changes: DataFrame, cols=None, txn: str = "gtid", pos: st
     else:
         items = F.sort_array(items)
     chunks = rows.groupBy(txn, "chunk").agg(items.alias("rows"))
-    return chunks.join(transaction_summary(changes, txn, pos, kind), txn)
+    # The summary is spread over the chunks, so the chunks stay where they are.
+    last = F.greatest(F.ceil(F.col("changes") / chunk_rows) - 1, F.lit(0)).cast("long")
+    summary = transaction_summary(changes, txn, pos, kind).withColumns({"_zero": F.lit(0).cast("long"), "_last": last})
+    parts = explode_range(summary, "_zero", "_last", "chunk").drop("_zero", "_last")
+    return chunks.join(parts, [txn, "chunk"])
 
 
 def drop_looped(changes: DataFrame, channel_id, txn: str = "gtid", table: str = "table",

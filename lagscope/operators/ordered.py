@@ -61,22 +61,23 @@ def number_rows(df: DataFrame, order_by, by=(), name: str = "row_number", ranges
     return started.select(*df.columns, (F.col(name) - F.col("_first") + 1).alias(name))
 
 
-def number_by_position(df: DataFrame, pos: str, by, name: str = "seq", span: int = _SPAN) -> DataFrame:
+def number_by_position(df: DataFrame, pos: str, by, name: str = "seq", span: int = _SPAN, by_has_nulls: bool = True) -> DataFrame:
     """1-based row number per ``by`` in the order of a unique whole-number position.
 
     Positions are cut into slots of ``span``, so no task sorts more than one slot of one group. A
-    group adds up the sizes of its earlier slots; groups within one slot have none to add.
+    group adds up the sizes of its earlier slots; groups within one slot have none to add. Without
+    NULLs in ``by`` the rows stay partitioned as the numbering left them.
     """
     by = _names(by)
-    slot = F.floor(F.col(pos) / F.lit(span))
-    rows = df.withColumn("_slot", slot)
+    rows = df.withColumn("_slot", F.col(pos) - F.pmod(F.col(pos), F.lit(span)))
     local = rows.withColumn(name, F.row_number().over(Window.partitionBy(*by, "_slot").orderBy(pos)).cast("long"))
-    sizes = rows.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_slot").alias("_s")).agg(F.count("*").alias("_size"))
-    earlier = Window.partitionBy(*[f"_g{i}" for i in range(len(by))]).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    groups = [f"_g{i}" for i in range(len(by))]
+    sizes = rows.groupBy(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], F.col("_slot").alias("_s")).agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*groups).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.sum("_size").over(earlier)).filter("_before IS NOT NULL").drop("_size")
     same = F.col("_slot") == F.col("_s")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    for c, g in zip(by, groups, strict=True):
+        same = same & (F.col(c).eqNullSafe(F.col(g)) if by_has_nulls else F.col(c) == F.col(g))
     joined = local.join(offsets, same, "left")
     return joined.select(*df.columns, (F.col(name) + F.coalesce(F.col("_before"), F.lit(0))).alias(name))
 

@@ -15,7 +15,7 @@ from lagscope.session import as_col, typed_time
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 MANAGER = "-1"  # fixed value: the id that log rows of the manager itself carry
-_FILL_BLOCK = 10_000
+_BLOCK = 10_000
 
 
 def interval_seconds(interval: str) -> int:
@@ -98,6 +98,17 @@ def last_value_by(df: DataFrame, order_by, cols, by=(), ts: str | None = None,
     return grouped.agg(*[a.alias(n) for n, a in aggs.items()])
 
 
+def explode_range(df: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """One row per whole number from ``low`` to ``high``.
+
+    Two explodes, so that no row ever holds an array longer than one block.
+    """
+    starts = F.sequence(F.col(low), F.col(high), F.lit(_BLOCK).cast("long"))
+    blocks = df.withColumn("_block", F.explode(starts))
+    upto = F.least(F.col("_block") + (_BLOCK - 1), F.col(high))
+    return blocks.withColumn(name, F.explode(F.sequence(F.col("_block"), upto))).drop("_block")
+
+
 def _bucket_starts(start, end, seconds: int) -> tuple[datetime, int]:
     epoch = datetime(1970, 1, 1)
     low = datetime.fromisoformat(start) if isinstance(start, str) else start
@@ -136,11 +147,7 @@ def fill_gaps(df: DataFrame, bucket_col: str, interval: str, start, end, by=())
         "_from": F.when(F.row_number().over(series) == 1, F.lit(0).cast("long")).otherwise(F.col("_n")),
         "_to": F.lead("_n", 1, n).over(series) - 1,
     })
-    # Two explodes: no row ever holds an array longer than one block.
-    blocks = spread.withColumn("_low", F.explode(F.sequence(F.col("_from"), F.col("_to"), F.lit(_FILL_BLOCK).cast("long"))))
-    high = F.least(F.col("_low") + (_FILL_BLOCK - 1), F.col("_to"))
-    filled = blocks.withColumn("_i", F.explode(F.sequence(F.col("_low"), high)))
-    return filled.select(
+    return explode_range(spread, "_from", "_to", "_i").select(
         *by, at(F.col("_i")).alias(bucket_col), *[F.when(F.col("_i") == F.col("_n"), F.col(c)).alias(c) for c in values]
     )
 

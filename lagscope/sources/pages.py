@@ -128,7 +128,7 @@ def page_points(rows: DataFrame, time: Column) -> DataFrame:
         time.alias("time"),
         F.col("seq").alias("pipeline_id"),
         "state",
-        F.coalesce(duration_ms("delay"), F.lit(0)).cast("double").alias("delay_time"),
+        duration_ms("delay").cast("double").alias("delay_time"),
         parse_time("last_sync_time").alias("last_sync_time"),
         parse_time("last_position_time").alias("last_position_time"),
     )
