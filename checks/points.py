@@ -221,6 +221,17 @@ def str1(spark, sf):
     return collector.collected_points(spark, f"{folder}/out", "delay")[0]
 
 
+@check("snk1_stream_points", "SELECT 'events,user_id=' || user_id || ' event_id=' || event_id || ' ' || (epoch_us(ts) * 1000) AS line FROM events")
+def snk1_stream(spark, sf):
+    """The same encoding on a stream over the events file."""
+    folder = _scratch(spark, "points")
+    schema = read(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    spec = points.PointSpec.of("events", "ts", ["user_id"], ["event_id"])
+    collector.stream_points(stream, spec, folder, available_now=True).awaitTermination()
+    return collector.collected_points(spark, folder, "events")[0]
+
+
 @check("str2_positions", f"SELECT 'by_id' AS source, cast(max(id) AS VARCHAR) AS position FROM {STATS} UNION ALL SELECT 'by_time', cast(max(gmt_modified) AS VARCHAR) FROM {STATS}")
 def str2(spark, sf):
     folder = _scratch(spark, "positions")

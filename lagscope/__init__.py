@@ -33,7 +33,7 @@ from lagscope.sources.stats import (
 from lagscope.streaming.changes import (
     compact_table, current_table, finished_transactions, handle_changes, stream_table, stream_transactions,
 )
-from lagscope.streaming.collector import Source, capture_changes, collect_once, collected_points, latest_state, run_collect
+from lagscope.streaming.collector import Source, capture_changes, collect_once, collected_points, latest_state, run_collect, stream_points
 from lagscope.streaming.positions import WatermarkTable
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -155,6 +155,8 @@ def _around_group1(pattern: str) -> tuple[str, str, str, str] | None:
     """Split ``(?i)A(B)C`` into flags, A, B and C when group 1 stands alone at the top level."""
     flags = re.match(r"(\(\?[a-zA-Z]+\))*", pattern).group(0)
     rest = pattern[len(flags):]
+    if re.search(r"\(\?[a-zA-Z]*-?[a-zA-Z]+\)", rest):
+        return None  # a flag set half-way would end with the group around it
     depth, start, end, in_class, i = 0, -1, -1, False, 0
     while i < len(rest):
         ch = rest[i]

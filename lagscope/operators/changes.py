@@ -10,6 +10,7 @@ from lagscope.operators.ordered import number_by_position
 from lagscope.operators.rollups import bucket_agg, explode_range
 
 INSERT, UPDATE, DELETE = "I", "U", "D"
+MARK_TABLE = "retl_mark"  # fixed value: the table whose rows mark a synchronised transaction
 
 
 def transaction_summary(changes: DataFrame, txn: str = "gtid", pos: str = "pos", kind: str = "kind") -> DataFrame:
@@ -56,7 +57,7 @@ def group_transactions(changes: DataFrame, cols=None, txn: str = "gtid", pos: st
 
 
 def drop_looped(changes: DataFrame, channel_id, txn: str = "gtid", table: str = "table",
-                mark_table: str = "retl_mark", channel_col: str = "channel_id") -> DataFrame:
+                mark_table: str = MARK_TABLE, channel_col: str = "channel_id") -> DataFrame:
     """Changes to apply on this channel.
 
     A transaction that carries this channel's mark came from here and is left out. One with

@@ -79,6 +79,19 @@ def collected_points(spark: SparkSession, out: str, name: str) -> tuple[DataFram
     return lines, rejects.select("position", "reject")
 
 
+def stream_points(rows: DataFrame, spec: PointSpec, out: str, available_now: bool = False):
+    """Starts a query that writes the points of a stream of rows, read back by ``collected_points``.
+
+    Encoding has no state, so the query only appends; Spark's checkpoint below ``out`` keeps the
+    position and a repeated batch is written once.
+    """
+    encoded = to_line_protocol(rows, spec).select(F.col(spec.time).alias("position"), "line", "reject")
+    out = out.rstrip("/")
+    writer = encoded.writeStream.format("parquet").option("path", f"{out}/{spec.measurement}")
+    writer = writer.option("checkpointLocation", f"{out}/checkpoint/{spec.measurement}")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def run_collect(spark: SparkSession, tick: Callable[[datetime], None], checkpoint: str, trigger: str = "60 seconds"):
     """Calls ``tick`` on every trigger of a streaming query and returns the query."""
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()

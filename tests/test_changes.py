@@ -14,7 +14,7 @@ from lagscope.schemas import CHANGE, struct_of
 from lagscope.sources import changes as source
 from lagscope.sources.stats import jdbc_options, list_schemas, list_tables, read_stat, read_texts
 from lagscope.streaming import changes as streams
-from lagscope.streaming.collector import Source, capture_changes, collect_once, collected_points, latest_state, run_collect
+from lagscope.streaming.collector import Source, capture_changes, collect_once, collected_points, latest_state, run_collect, stream_points
 from lagscope.streaming.positions import START_ID, START_TIME, WatermarkTable
 
 USER = T.StructType().add("id", "long").add("email", "string").add("age", "integer")
@@ -219,6 +219,46 @@ def test_overlap_catches_late_rows(spark, tmp_path):
     assert dedupe_points(twice, _delay_source(delays).spec, ["ID"]).count() == 7
 
 
+def test_streamed_points(spark, tmp_path):
+    delays = fixtures.delays(spark)
+    spec = _delay_source(delays).spec
+    out = str(tmp_path / "out")
+    for part in ("ID < 5", "ID >= 5"):
+        delays.filter(part).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_points(spark.readStream.schema(delays.schema).parquet(str(tmp_path / "in")), spec, out, available_now=True).awaitTermination()
+    lines, rejects = collected_points(spark, out, "delay")
+    assert lines.count() == 7 and lines.distinct().count() == 7 and rejects.count() == 0
+
+
+def test_streamed_buckets(spark, tmp_path):
+    from lagscope.operators.rollups import bucket_sum
+
+    sizes = fixtures.throughput(spark)
+    sizes.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(sizes.schema).parquet(str(tmp_path / "in"))
+    rolled = bucket_sum(stream, "GMT_MODIFIED", "SIZE", "1 minute", alias="size")
+    query = rolled.writeStream.format("memory").queryName("sizes").outputMode("complete").option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.size for r in spark.table("sizes").collect()) == [51176, 511328, 9713112]
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from lagscope.session import shared_folder
+
+    def session(master, setting=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: setting),
+                               sparkContext=SimpleNamespace(master=master, applicationId=master))
+
+    assert shared_folder(session("yarn", "hdfs:///tmp/cp/"), "x") == "hdfs:///tmp/cp/x"
+    local = shared_folder(session("local[2]"), "x")
+    assert local.endswith("/x") and shared_folder(session("local[2]"), "x") == local
+    with pytest.raises(ValueError):
+        shared_folder(session("yarn"), "x")
+
+
 def test_captured_states(spark):
     t = [datetime(2024, 1, 1, 0, 0, s) for s in range(4)]
     states = spark.createDataFrame([(1, t[1], 5), (1, t[2], 8), (2, t[3], 1)], "k long, ts timestamp, n long")

@@ -75,7 +75,8 @@ def test_replace_group1(spark):
     assert got == ["START\nHAHA\nEND"]
     assert values(spark, ["x1y x2y"], lambda c: text.replace_group1(c, r"x(\d)y", "$1\\")) == ["x$1\\y x$1\\y"]
     # Both ways of working agree; the second pattern cannot be cut at the top level.
-    assert text._around_group1(r"(?:k=(\d+))") is None
+    assert text._around_group1(r"(?:k=(\d+))") is None and text._around_group1(r"k(?i)=(\d+)") is None
+    assert text._around_group1(r"a|(b)") is None and text._around_group1(r"(a)+") is None and text._around_group1(r"(a)\1") is None
     assert values(spark, ["k=1 k=22", "k=", None], lambda c: text.replace_group1(c, r"(?:k=(\d+))", "9")) == ["k=9 k=9", None, None]
     assert values(spark, ["k=1 k=22", "k="], lambda c: text.replace_group1(c, r"k=((\d)+)( |$)", "9")) == ["k=9 k=9", None]
 
