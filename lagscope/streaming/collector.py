@@ -59,9 +59,9 @@ def collect_once(spark: SparkSession, sources: list[Source], positions: Watermar
             low = last - overlap if overlap and last != START_TIME else last
             fresh, label = capture_changes(df, source.position, low), f"{last:%Y%m%dT%H%M%S%f}"
         folder = f"{_folder(out, source.name)}/from={label}"
-        encoded = to_line_protocol(fresh, source.spec)
-        encoded.select(F.col(source.position).alias("position"), "line", "reject").write.mode("overwrite").parquet(folder)
-        top = spark.read.parquet(folder).agg(F.max("position").alias("top")).first()["top"]
+        encoded = to_line_protocol(fresh, source.spec).select(F.col(source.position).alias("position"), "line", "reject")
+        encoded.write.mode("overwrite").parquet(folder)
+        top = spark.read.schema(encoded.schema).parquet(folder).agg(F.max("position").alias("top")).first()["top"]
         if top is not None and top > last:
             moved[source.name] = int(top) if source.by_id else top
     if moved:
