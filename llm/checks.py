@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from llm import near_dedup
+from llm import near_dedup, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +30,9 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 @query("op6_near_dedup")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf, "documents"), threshold=0.85)
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    cut = repeats.remove_repeats(read(spark, sf, "documents"), width=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -123,3 +123,21 @@ def run_indices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
     return shift + np.arange(total)
+
+
+def joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept words of each document joined by one space: all bytes, and bounds per document."""
+    data = words.data.copy()
+    chosen = np.zeros(len(data) + 1, np.int8)
+    starts, ends = words.starts[keep], words.ends[keep]
+    chosen[starts] += 1
+    np.subtract.at(chosen, ends, 1)
+    mask = np.cumsum(chosen[:-1], dtype=np.int8).astype(bool)
+    before = np.concatenate([[0], np.cumsum(keep)])[words.first]  # kept words before each document
+    last = np.zeros(len(starts), bool)
+    last[before[1:][before[1:] > before[:-1]] - 1] = True
+    gaps = ends[~last]
+    data[gaps] = 0x20
+    mask[gaps] = True
+    sizes = ends - starts + ~last
+    return data[mask], np.concatenate([[0], np.cumsum(sizes)])[before]
