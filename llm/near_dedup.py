@@ -34,7 +34,7 @@ MANTISSA = 10
 COLLISION = 0.17 / (1 << MANTISSA)  # two independent minima share a register this often
 _FLUSH = 1 << 20
 _PROBES = 64
-_BLOCK_SHINGLES, _BLOCK_SETS = 1 << 20, 2048
+_BLOCK_SHINGLES, _BLOCK_SETS = 1 << 20, 512
 
 
 def band_rows(threshold: float, miss: float = 1e-5) -> int:
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.ceil(F.greatest(F.sum("n") / _BLOCK_SHINGLES, F.count("*") / _BLOCK_SETS)).cast("int").alias("blocks")
     )
     members = saved(members.join(size, "label"), "members")
-    found = texts.join(members, F.col("id").eqNullSafe(F.col("rep"))).select("text", "label", "blocks", "digest")
+    found = texts.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("text", "label", "blocks", "digest")
     blocks = map_arrow(found, _members("id", "text", width), "label long, blocks int, digest binary, shingles binary")
     block = F.pmod(F.hash("digest"), F.col("blocks"))
     pairs = (
