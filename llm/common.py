@@ -66,13 +66,13 @@ def sliced(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner[begins], np.append(begins, len(owner))
 
 
-def buckets(n: int, names: list[str], bucket: np.ndarray, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def buckets(names: list[str], bucket: np.ndarray, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, packed arrays): one per bucket that has entries."""
     order = np.argsort(bucket, kind="stable")
-    arrays = [a[order] for a in arrays]
+    arrays = [a[order] if len(a) else a for a in arrays]  # an empty one stays empty
     owners, at = sliced(order, bucket[order])
     if len(owners):
-        columns = [binary([a[s:e].tobytes() for s, e in zip(at, at[1:])]) for a in arrays]
+        columns = [binary([a[s:e].tobytes() if len(a) else b"" for s, e in zip(at, at[1:])]) for a in arrays]
         yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int32()), *columns], names=["bucket", *names])
 
 

@@ -156,8 +156,8 @@ def _collide(count: int):
 
     def emit(keys: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         owners, least, u, v = _star(np.concatenate(keys), np.concatenate(nodes))
-        yield from buckets(count, ["keys", "nodes"], (owners % U(count)).astype(np.int32), [owners, least])
-        yield from buckets(count, ["keys", "nodes"], -1 - (u % U(count)).astype(np.int32), [u, v])
+        yield from buckets(["keys", "nodes"], (owners % U(count)).astype(np.int32), [owners, least])
+        yield from buckets(["keys", "nodes"], -1 - (u % U(count)).astype(np.int32), [u, v])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0

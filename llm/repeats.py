@@ -7,7 +7,8 @@ first and its last ``width - 1`` words. A word goes if a window over it also sta
    whose anchor occurs in one document only are unique; anchors are about ``2 / (width - 3)`` of the windows.
 2. Windows with a shared anchor become edges (128-bit hash, id, position). Their first occurrence, by id and position, is their source.
 3. Edges that continue each other in the document and in the source compact into paths: spans with source
-   coordinates. A join by id brings them back to their texts, where every removed word is checked against its window's hash.
+   coordinates and the sum of their windows' hashes. A join by id brings them back to their texts, where a span only
+   counts if the text's own windows give that sum. Whole copies are spans of their own, found by a text digest.
 
 Each task combines what it holds before it sends: a window in a third of all documents crosses the shuffle once per
 task, and documents that share it inside a task are settled there.
@@ -31,7 +32,10 @@ from llm.kernel import U, chunks, grams, joined, mix, split_words
 _GRAM = 5
 _FLUSH = 1 << 20
 _HITS = "bucket int, docs binary, anchors binary"
-_EDGES = "bucket int, one binary, two binary, docs binary, at binary, source binary, source_at binary"
+# Edges: one and two are a window's hashes. Spans: runs of ``n`` windows, one is the sum of their hashes.
+_NAMES = ["docs", "at", "n", "one", "two", "source", "source_at"]
+_KINDS = [np.int64, np.uint32, np.uint32, U, np.uint32, np.int64, np.uint32]
+_EDGES = "bucket int, " + ", ".join(f"{n} binary" for n in _NAMES)
 SPANS = "array<struct<start:long,length:long,source_id:long,source_start:long>>"
 
 
@@ -67,6 +71,8 @@ def _doc_bucket(ids: np.ndarray, count: int) -> np.ndarray:
 
 
 def _send_anchors(count: int, width: int):
+    """Anchors go to their bucket as 32 bits: enough for a filter, since a bucket holds a bounded share of the data."""
+
     def emit(anchors: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((docs, anchors))
         anchors, docs = anchors[order], docs[order]
@@ -75,8 +81,11 @@ def _send_anchors(count: int, width: int):
         new = _first_of([anchors])
         group = np.cumsum(new) - 1
         shared = np.bincount(group)[group] > 1 if len(group) else new
-        yield from buckets(count, ["docs", "anchors"], (anchors[new] % U(count)).astype(np.int32), [docs[new], anchors[new]])
-        yield from buckets(count, ["docs", "anchors"], _doc_bucket(docs[shared], count), [docs[shared], anchors[shared]])
+        low = (anchors >> U(32)).astype(np.uint32)
+        for rows, place in ((new, (anchors % U(count)).astype(np.int32)), (shared, _doc_bucket(docs, count))):
+            rows = np.flatnonzero(rows)
+            rows = rows[np.argsort(docs[rows], kind="stable")]  # equal neighbours compress
+            yield from buckets(["docs", "anchors"], place[rows], [docs[rows], low[rows]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, owners = 0, [], []
@@ -101,14 +110,16 @@ def _send_anchors(count: int, width: int):
 
 def _shared_anchors(count: int):
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        docs, anchors = column_bytes(table.column("docs"), np.int64), column_bytes(table.column("anchors"), U)
+        docs, anchors = column_bytes(table.column("docs"), np.int64), column_bytes(table.column("anchors"), np.uint32)
         if key[0].as_py() >= 0:
             order = np.argsort(anchors, kind="stable")
             docs, anchors = docs[order], anchors[order]
             group = np.cumsum(_first_of([anchors])) - 1
             shared = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
             docs, anchors = docs[shared], anchors[shared]
-        return pa.Table.from_batches(list(buckets(count, ["docs", "anchors"], _doc_bucket(docs, count), [docs, anchors])), _schema(["docs", "anchors"]))
+            order = np.argsort(docs, kind="stable")
+            docs, anchors = docs[order], anchors[order]
+        return pa.Table.from_batches(list(buckets(["docs", "anchors"], _doc_bucket(docs, count), [docs, anchors])), _schema(["docs", "anchors"]))
 
     return work
 
@@ -138,45 +149,72 @@ def _member(values: np.ndarray, at: np.ndarray, packed: list[bytes | None]) -> n
     out = np.zeros(len(values), bool)
     for i, blob in enumerate(packed):
         if blob:
-            own = np.sort(np.frombuffer(blob, U))
+            own = np.sort(np.frombuffer(blob, values.dtype))
             mine = values[at[i] : at[i + 1]]
             out[at[i] : at[i + 1]] = own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine
     return out
 
 
-def _settle(one, two, docs, at):
-    """Sorted first occurrences per document, which of them are a window's source, and each one's source row."""
+def _settle(docs, at, one, two):
+    """Occurrences sorted by window, id and position; which belong to their window's first document, and the first one's row."""
     order = np.lexsort((at, docs, two, one))
-    one, two, docs, at = one[order], two[order], docs[order], at[order]
-    keep = _first_of([one, two, docs])
-    one, two, docs, at = one[keep], two[keep], docs[keep], at[keep]
-    source = _first_of([one, two])
-    rows = np.flatnonzero(source)[np.cumsum(source) - 1] if len(source) else np.zeros(0, np.int64)
-    return one, two, docs, at, source, rows
+    docs, at, one, two = docs[order], at[order], one[order], two[order]
+    begins = _first_of([one, two])
+    rows = np.flatnonzero(begins)[np.cumsum(begins) - 1] if len(begins) else np.zeros(0, np.int64)
+    return docs, at, one, two, docs == docs[rows], rows
+
+
+def compact(docs, at, n, one, source, source_at):
+    """Paths: spans that continue each other both in the document and in the source become one."""
+    order = np.lexsort((at, docs))
+    docs, at, n, one, source, source_at = (x[order] for x in (docs, at, n, one, source, source_at))
+    begins = np.ones(len(docs), bool)
+    if len(docs) > 1:
+        step = n[:-1].astype(np.int64)
+        begins[1:] = (docs[1:] != docs[:-1]) | (source[1:] != source[:-1])
+        begins[1:] |= (np.diff(at.astype(np.int64)) != step) | (np.diff(source_at.astype(np.int64)) != step)
+    firsts = np.flatnonzero(begins)
+    if len(firsts):
+        n, one = np.add.reduceat(n, firsts, dtype=np.uint32), np.add.reduceat(one, firsts)
+    return docs[firsts], at[firsts], n, one, source[firsts], source_at[firsts]
 
 
-def _send_edges(count: int, width: int):
-    names = ["one", "two", "docs", "at", "source", "source_at"]
+def _pack_spans(count: int, docs, at, n, one, source, source_at) -> Iterator[pa.RecordBatch]:
+    docs, at, n, one, source, source_at = compact(docs, at, n, one, source, source_at)
+    yield from buckets(_NAMES, _doc_bucket(docs, count), [docs, at, n, one, np.zeros(0, np.uint32), source, source_at])
 
-    def emit(one, two, docs, at) -> Iterator[pa.RecordBatch]:
-        one, two, docs, at, source, rows = _settle(one, two, docs, at)
-        yield from buckets(count, names, np.where(source, (one % U(count)).astype(np.int32), 0)[source], [x[source] for x in (one, two, docs, at, docs, at)])
+
+def _send_edges(count: int, width: int):
+    def emit(docs, at, one, two) -> Iterator[pa.RecordBatch]:
+        docs, at, one, two, source, rows = _settle(docs, at, one, two)
         later = ~source
-        yield from buckets(count, names, _doc_bucket(docs[later], count), [x[later] for x in (one, two, docs, at, docs[rows], at[rows])])
+        yield from _pack_spans(count, docs[later], at[later], np.ones(int(later.sum()), np.uint32), one[later], docs[rows[later]], at[rows[later]])
+        send = np.flatnonzero(source)
+        send = send[np.lexsort((at[send], docs[send]))]  # equal neighbours compress
+        none = np.zeros(0, np.uint32)
+        yield from buckets(_NAMES, (one[send] % U(count)).astype(np.int32), [docs[send], at[send], none, one[send], two[send], none, none])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = 0, []
         for batch in batches:
             for part in chunks(batch, "text"):
                 ids, _ = ids_of(part.column("id"))
+                origin, copied = ids_of(part.column("original"))
                 words = split_words(part.column("text"))
                 hashes = words.hashes(False)
                 anchors, start, at = window_anchors(hashes, words.first, width)
                 window, _, _ = grams(hashes, words.first, width)
+                whole = np.flatnonzero(copied & (np.diff(at) > 0))  # a copy repeats its original from end to end
+                if len(whole):
+                    sums = np.concatenate([np.zeros(1, U), np.cumsum(window)])
+                    zero, n = np.zeros(len(whole), np.uint32), np.diff(at)[whole].astype(np.uint32)
+                    yield from _pack_spans(count, ids[whole], zero, n, (sums[at[1:]] - sums[at[:-1]])[whole], origin[whole], zero)
                 second, _, _ = grams(mix(hashes, 21), words.first, width)
-                hit = _member(anchors, at, part.column("anchors").to_pylist())
-                docs = np.repeat(np.arange(len(ids)), np.diff(at))[hit]
-                parts.append((window[hit], second[hit], ids[docs], start[hit] - words.first[docs]))
+                hit = _member((anchors >> U(32)).astype(np.uint32), at, part.column("anchors").to_pylist())
+                owner = np.repeat(np.arange(len(ids)), np.diff(at))
+                hit &= ~copied[owner]
+                docs = owner[hit]
+                parts.append((ids[docs], (start[hit] - words.first[docs]).astype(np.uint32), window[hit], (second[hit] >> U(32)).astype(np.uint32)))
                 held += len(docs)
                 if held >= _FLUSH:
                     yield from emit(*map(np.concatenate, zip(*parts)))
@@ -187,87 +225,97 @@ def _send_edges(count: int, width: int):
     return work
 
 
-def _later_edges(count: int):
-    names = ["one", "two", "docs", "at", "source", "source_at"]
-
+def _later_spans(count: int):
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        one, two = column_bytes(table.column("one"), U), column_bytes(table.column("two"), U)
-        docs, at = column_bytes(table.column("docs"), np.int64), column_bytes(table.column("at"), np.int64)
+        docs, at, n, one, two, source, source_at = (column_bytes(table.column(c), k) for c, k in zip(_NAMES, _KINDS))
         if key[0].as_py() >= 0:
-            one, two, docs, at, source, rows = _settle(one, two, docs, at)
-            later = ~source
-            columns = [x[later] for x in (one, two, docs, at, docs[rows], at[rows])]
-        else:
-            columns = [one, two, docs, at, column_bytes(table.column("source"), np.int64), column_bytes(table.column("source_at"), np.int64)]
-        return pa.Table.from_batches(list(buckets(count, names, _doc_bucket(columns[2], count), columns)), _schema(names))
+            docs, at, one, two, first, rows = _settle(docs, at, one, two)
+            later = ~first
+            docs, at, one, source, source_at = docs[later], at[later], one[later], docs[rows[later]], at[rows[later]]
+            n = np.ones(len(docs), np.uint32)
+        return pa.Table.from_batches(list(_pack_spans(count, docs, at, n, one, source, source_at)), _schema(_NAMES))
 
     return work
 
 
-def _spans(at: np.ndarray, source: np.ndarray, source_at: np.ndarray, width: int) -> list[dict]:
-    """Paths: edges that continue each other both in the document and in the source."""
-    order = np.argsort(at, kind="stable")
-    at, source, source_at = at[order], source[order], source_at[order]
-    begins = np.ones(len(at), bool)
-    begins[1:] = (np.diff(at) != 1) | (np.diff(source_at) != 1) | (np.diff(source) != 0)
-    firsts = np.flatnonzero(begins)
-    lengths = np.diff(np.append(firsts, len(at))) + width - 1
-    return [
-        {"start": int(a), "length": int(n), "source_id": int(s), "source_start": int(b)}
-        for a, n, s, b in zip(at[firsts], lengths, source[firsts], source_at[firsts])
-    ]
+def _document_spans(table: pa.Table) -> pa.Table:
+    """One row per document of a document bucket: its paths, packed."""
+    cols = [column_bytes(table.column(c), k) for c, k in zip(_NAMES, _KINDS) if c != "two"]
+    docs, *cols = compact(*cols)
+    owners, at = sliced(docs, docs)
+    packed = [pa.array([c[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary()) for c in cols]
+    return pa.table([pa.array(owners, pa.int64()), *packed], names=["doc", "at", "n", "one", "source", "source_at"])
 
 
 def _cut(width: int):
+    """Removes each row's spans. A span only counts if the row's own windows at its place have the span's hash sum."""
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "source_id", "source_start")]))
+    names, kinds = ["at", "n", "one", "source", "source_at"], [np.uint32, np.uint32, U, np.int64, np.uint32]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 words = split_words(part.column("text"))
                 gone = np.zeros(len(words.starts) + 1, np.int64)
-                packed = part.column("one").to_pylist()
-                if any(packed):
-                    window, start, at = grams(words.hashes(False), words.first, width)
-                    hit = start[_member(window, at, packed)]
-                    np.add.at(gone, hit, 1)
-                    np.subtract.at(gone, hit + width, 1)
+                packed = [part.column(c).to_pylist() for c in names]
+                paths: list[list[dict]] = [[] for _ in range(len(part))]
+                if any(packed[0]):
+                    window, _, bounds = grams(words.hashes(False), words.first, width)
+                    sums = np.concatenate([np.zeros(1, U), np.cumsum(window)])
+                    for i, blobs in enumerate(zip(*packed)):
+                        if not blobs[0]:
+                            continue
+                        at, n, one, source, source_at = (np.frombuffer(b, k) for b, k in zip(blobs, kinds))
+                        at, n, source_at = at.astype(np.int64), n.astype(np.int64), source_at.astype(np.int64)
+                        fits = at + n <= bounds[i + 1] - bounds[i]
+                        at, n, one, source, source_at = at[fits], n[fits], one[fits], source[fits], source_at[fits]
+                        true = sums[bounds[i] + at + n] - sums[bounds[i] + at] == one
+                        at, n, source, source_at = at[true], n[true], source[true], source_at[true]
+                        np.add.at(gone, words.first[i] + at, 1)
+                        np.subtract.at(gone, words.first[i] + at + n + width - 1, 1)
+                        paths[i] = [
+                            {"start": a, "length": m + width - 1, "source_id": s, "source_start": b}
+                            for a, m, s, b in zip(at.tolist(), n.tolist(), source.tolist(), source_at.tolist())
+                        ]
                 keep = np.cumsum(gone[:-1]) == 0
                 data, bounds = joined(words, keep)
                 kept_before = np.concatenate([[0], np.cumsum(keep)])[words.first]
                 total = np.diff(words.first)
-                spans = [
-                    _spans(np.frombuffer(a, np.int64), np.frombuffer(s, np.int64), np.frombuffer(b, np.int64), width) if a else []
-                    for a, s, b in zip(*(part.column(c).to_pylist() for c in ("at", "source", "source_at")))
-                ]
                 text = pa.Array.from_buffers(pa.large_string(), len(part), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(total), pa.array(total - np.diff(kept_before)), text.cast(pa.string()), pa.array(spans, kind)],
+                    [part.column("id"), pa.array(total), pa.array(total - np.diff(kept_before)), text.cast(pa.string()), pa.array(paths, kind)],
                     names=["id", "n_words", "n_removed", "kept", "spans"],
                 )
 
     return work
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Per document that repeats an earlier one: its repeated windows, packed, with their sources."""
+def repeated_paths(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Per document that repeats an earlier one: its repeated paths, packed, with their sources."""
     count = partitions(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sent = map_arrow(texts, _send_anchors(count, width), _HITS)
     shared = sent.groupBy("bucket").applyInArrow(_shared_anchors(count), _HITS)
-    hits = shared.groupBy("bucket").applyInArrow(_per_document(["anchors"], [U]), "doc long, anchors binary")
-    found = texts.join(hits.hint("merge"), F.col("id") == F.col("doc")).select("id", "text", "anchors")
+    hits = shared.groupBy("bucket").applyInArrow(_per_document(["anchors"], [np.uint32]), "doc long, anchors binary")
+    # Whole copies are settled by a digest; only the smallest id of a text goes on as edges.
+    digest = texts.filter("id IS NOT NULL AND text IS NOT NULL").select("id", F.md5("text").alias("digest"))
+    groups = digest.groupBy("digest").agg(F.min("id").alias("original"), F.max("id").alias("_last")).filter("original <> _last").drop("_last")
+    copies = digest.join(groups, "digest").filter("id > original").groupBy(F.col("id").alias("copy")).agg(F.min(F.struct("original", "digest")).alias("c"))
+    # An id with two texts may be a copy twice: its second text then goes on as edges.
+    wanted = hits.join(copies, F.col("doc") == F.col("copy"), "full").select(
+        F.coalesce("doc", "copy").alias("doc"), "anchors", F.col("c.original").alias("original"), F.col("c.digest").alias("digest")
+    )
+    same = F.md5("text") == F.col("digest")
+    found = texts.join(wanted.hint("merge"), F.col("id") == F.col("doc")).select("id", "text", "anchors", F.when(same, F.col("original")).alias("original"))
     edges = map_arrow(found, _send_edges(count, width), _EDGES)
-    later = edges.groupBy("bucket").applyInArrow(_later_edges(count), _EDGES)
-    names = ["one", "at", "source", "source_at"]
-    kinds = [U, np.int64, np.int64, np.int64]
-    return later.groupBy("bucket").applyInArrow(_per_document(names, kinds), "doc long, one binary, at binary, source binary, source_at binary")
+    later = edges.groupBy("bucket").applyInArrow(_later_spans(count), _EDGES)
+    return later.groupBy("bucket").applyInArrow(_document_spans, "doc long, at binary, n binary, one binary, source binary, source_at binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
     """Per row: id, n_words, n_removed, kept (kept words joined by one space), spans (repeated paths and their sources)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    later = repeated_windows(docs, id_col, text_col, width)
-    rows = texts.join(later.hint("merge"), F.col("id") == F.col("doc"), "left").select("id", "text", "one", "at", "source", "source_at")
+    later = repeated_paths(docs, id_col, text_col, width)
+    rows = texts.join(later.hint("merge"), F.col("id") == F.col("doc"), "left").select("id", "text", "at", "n", "one", "source", "source_at")
     out = map_arrow(rows, _cut(width), f"id long, n_words long, n_removed long, kept string, spans {SPANS}")
     return out.withColumnRenamed("id", id_col)
