@@ -170,7 +170,10 @@ class Vocabulary:
             keep[at_hit + 1] = False
             fresh = np.cumsum(keep)[at_hit] - 1  # where the merged symbols are once the gaps are closed
             symbols, owner, place, rank = symbols[keep], owner[keep], place[keep], rank[keep]
-            fresh = np.union1d(fresh, fresh[fresh > 0] - 1)
+            mark = np.zeros(len(symbols), bool)
+            mark[fresh] = True
+            mark[np.maximum(fresh - 1, 0)] = True
+            fresh = np.flatnonzero(mark)
             after = np.minimum(fresh + 1, len(symbols) - 1)
             key = np.where((owner[fresh] == owner[after]) & (after > fresh), symbols[fresh] * self.size + symbols[after], -1)
             found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
