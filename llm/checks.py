@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, near_dedup, repeats
+from llm import bpe, near_dedup, repeats, token_files
+from llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +49,14 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_token_files")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    folder = new_folder(spark, "tokens")
+    token_files.write_tokens(read(spark, sf, "documents"), tokenizer, folder)
+    size = bpe.vocabulary(tokenizer).size
+    rows = token_files.read_tokens(spark, folder, size).withColumnRenamed("id", "doc_id")
+    # crc32 reads four little-endian bytes of each id
+    return rows.mapInArrow(token_files.checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")

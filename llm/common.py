@@ -30,10 +30,16 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, removed when the session's program ends."""
+    path = shared_folder(spark, f"llm-{name}-{uuid.uuid4().hex}")
+    _saved.add(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write once below ``spark.checkpoint.dir`` and read back: cuts lineage, survives lost executors, removed at exit."""
-    path = shared_folder(df.sparkSession, f"llm-{name}-{uuid.uuid4().hex}")
-    _saved.add(path)
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
