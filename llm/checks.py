@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, near_dedup, repeats, token_files
+from llm import bpe, imatch, near_dedup, repeats, shard_tree, token_files, url_filter
 from llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,78 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     rows = token_files.read_tokens(spark, folder, size).withColumnRenamed("id", "doc_id")
     # crc32 reads four little-endian bytes of each id
     return rows.mapInArrow(token_files.checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+@query("op3_imatch")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    rows = imatch.compare_with_edits(read(spark, sf, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+# The rules of the query, and host labels of the unwanted sites in the pages
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+UNWANTED = ["casino-win", "cheap-pills", "free-bets"]
+
+_HOST = "translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP4 = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE
+ WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+ WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+ WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+ WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+listed AS (SELECT DISTINCT host, path FROM p WHERE regexp_matches(host, '(^|[.])(casino-win|cheap-pills|free-bets)[.]'))
+SELECT page_id, r.host, r.path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+ WHEN listed.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM r LEFT JOIN listed ON r.host = listed.host AND r.path = listed.path"""
+
+
+@query("op4_url_filter", _OP4)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages")
+    host, path = url_filter.host_and_path(F.col("url"))
+    listed = pages.filter(host.rlike(r"(^|[.])(" + "|".join(UNWANTED) + r")[.]")).select(F.concat(host, path).alias("url"))
+    return url_filter.judge(pages, RULES, listed)
+
+
+def _tree_sql(tree: shard_tree.Tree) -> str:
+    def draw(node: str, weight: float) -> str:
+        return f"-ln((cast('0x' || substr(md5('{node}|' || key), 1, 13) AS BIGINT) + 0.5) / {1 << 52}.0) / {weight}"
+
+    def least(nodes: list[tuple[str, str]]) -> str:
+        return "list_sort([" + ", ".join(f"{{'d': {d}, 'i': {i}, 'v': {v}}}" for i, (d, v) in enumerate(nodes)) + "])[1].v"
+
+    regions = []
+    for region, racks in tree.items():
+        inner = [(draw(f"{region}/{k}", sum(s.values())), least([(draw(f"{region}/{k}/{n}", w), str(n)) for n, w in s.items()])) for k, s in racks.items()]
+        regions.append((draw(region, sum(w for s in racks.values() for w in s.values())), least(inner)))
+    return least(regions)
+
+
+# CRC-32 of the UTF-8 bytes, four bits at a time
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(coalesce(text, '')))),
+ lambda i: cast('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2) AS BIGINT))), lambda c, b: """
+
+
+def _crc_sql() -> str:
+    step = "xor(c, b)"
+    table = "[" + ", ".join(str(_crc_entry(n)) for n in range(16)) + "]"
+    for _ in range(2):
+        step = f"xor(({step}) >> 4, {table}[(({step}) & 15) + 1])"
+    return f"xor({_CRC}{step}), 4294967295)"
+
+
+def _crc_entry(n: int) -> int:
+    for _ in range(4):
+        n = n >> 1 ^ (n & 1) * 0xEDB88320
+    return n
+
+
+_OP10 = f"""WITH k AS (SELECT doc_id, text, cast(doc_id AS VARCHAR) AS key FROM documents),
+s AS (SELECT doc_id, cast(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {_crc_sql()} AS text_crc32, 'key' AS law,
+ cast({_tree_sql(shard_tree.even_tree(8))} AS INTEGER) AS shard, cast({_tree_sql(shard_tree.grown(shard_tree.even_tree(8), 8))} AS INTEGER) AS grown_shard FROM k)
+SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM s"""
+
+
+@query("op10_sharding", _OP10)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_tree.shard(read(spark, sf, "documents"), 8)
