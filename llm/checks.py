@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, imatch, near_dedup, repeats, shard_tree, token_files, url_filter
+from llm import bpe, decontaminate, imatch, main_text, near_dedup, quality, repeats, shard_tree, token_files, url_filter
 from llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,17 +107,13 @@ def _tree_sql(tree: shard_tree.Tree) -> str:
     return least(regions)
 
 
-# CRC-32 of the UTF-8 bytes, four bits at a time
-_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(coalesce(text, '')))),
- lambda i: cast('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2) AS BIGINT))), lambda c, b: """
-
-
 def _crc_sql() -> str:
+    """CRC-32 over a list of byte texts ``h``, four bits at a time."""
     step = "xor(c, b)"
     table = "[" + ", ".join(str(_crc_entry(n)) for n in range(16)) + "]"
     for _ in range(2):
         step = f"xor(({step}) >> 4, {table}[(({step}) & 15) + 1])"
-    return f"xor({_CRC}{step}), 4294967295)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(h, lambda x: cast('0x' || x AS BIGINT))), lambda c, b: {step}), 4294967295)"
 
 
 def _crc_entry(n: int) -> int:
@@ -126,7 +122,7 @@ def _crc_entry(n: int) -> int:
     return n
 
 
-_OP10 = f"""WITH k AS (SELECT doc_id, text, cast(doc_id AS VARCHAR) AS key FROM documents),
+_OP10 = f"""WITH k AS (SELECT doc_id, text, cast(doc_id AS VARCHAR) AS key, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
 s AS (SELECT doc_id, cast(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {_crc_sql()} AS text_crc32, 'key' AS law,
  cast({_tree_sql(shard_tree.even_tree(8))} AS INTEGER) AS shard, cast({_tree_sql(shard_tree.grown(shard_tree.even_tree(8), 8))} AS INTEGER) AS grown_shard FROM k)
 SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM s"""
@@ -135,3 +131,27 @@ SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY sha
 @query("op10_sharding", _OP10)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return shard_tree.shard(read(spark, sf, "documents"), 8)
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    model = quality.train(docs, read(spark, sf, "labels").filter(~held_out()))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op5_decontaminate")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.find_leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"))
+
+
+@query("op8_main_text")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages")
+    return main_text.extract(pages, main_text.train(pages))
