@@ -3,11 +3,12 @@
 Texts and items are sequences of words: runs of letters, digits and bytes above 127, A-Z lower-cased. A document leaks
 an item of m words if some m consecutive words of it lie within floor((1 - similarity) * m) word edits of the item.
 
-1. A window within that distance keeps at least m minus that many of the item's words, so windows with fewer words
-   from the items' vocabulary are left out; no leak can be among them.
-2. The remaining windows and the items walk by the CGK embedding: a random bit per step and symbol says whether the
-   walk moves on, which maps edit distance to Hamming distance. Each repetition samples ``SAMPLED`` steps of the walk as a key. The
-   number of repetitions follows from the target recall and the agreement expected at the largest distance.
+1. At most that many edits leave one run of at least q = ceil((m - edits) / (edits + 1)) words of the item as it is. So the
+   candidate windows are those of the item's length whose start lies within the edits of where such a run of q
+   words says; no leak can be elsewhere.
+2. Windows and items walk by the CGK embedding: a random bit per step and symbol says whether the walk moves on, which
+   maps edit distance to Hamming distance. Each repetition samples ``SAMPLED`` steps of the walk as a key. The number of
+   repetitions follows from the target recall and the agreement expected at the largest distance.
 3. Windows that share a key with an item of their length are confirmed by the exact distance, many pairs at a time.
 
 The items are collected and sent to every task: the benchmark must be below ``MAX_ITEM_BYTES`` of text, else it is refused.
@@ -27,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.kernel import U, Words, buffers, chunks, mix
+from llm.kernel import U, Words, buffers, chunks, grams, mix, run_indices
 
 SAMPLED = 2
 RECALL = 0.99
 AGREEMENT = 0.5  # share of equal steps expected at the largest distance
 MAX_ITEM_BYTES = 64 << 20
-_BATCH = 1 << 14
+_BATCH = 1 << 12
+_HELD = 1 << 17  # windows of a batch that wait for one another
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -58,19 +60,24 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.hashes(True), words.first
 
 
-def keys(symbols: np.ndarray, repetition: int) -> np.ndarray:
-    """One LSH key per row of ``symbols`` (windows of one length): sampled steps of the CGK walk."""
+def keys(symbols: np.ndarray, count: int) -> np.ndarray:
+    """LSH keys (one column per repetition) of windows of one length: sampled steps of the CGK walk."""
     n, m = symbols.shape
-    rng = np.random.default_rng([m, repetition])
-    sampled = np.sort(rng.choice(3 * m, SAMPLED, replace=False))
-    padded = np.concatenate([symbols, np.zeros((n, 1), U)], 1)  # beyond the end the walk sees a pad
-    rows, place, key = np.arange(n), np.zeros(n, np.int64), np.full(n, repetition, U)
-    for step in range(int(sampled[-1]) + 1):
-        here = padded[rows, place]
-        if step in sampled:
-            key = mix(key ^ here, 40)
-        moves = (mix(here, 1000 + 64 * repetition + step) & U(1)).astype(np.int64)
-        place = np.minimum(place + moves, m)
+    rng = np.random.default_rng([m, count])
+    sampled = np.stack([rng.choice(3 * m, SAMPLED, replace=False) for _ in range(count)])
+    turn = rng.integers(0, 1 << 63, (3 * m, count), dtype=np.uint64)
+    padded = np.concatenate([symbols, np.zeros((n, 1), U)], 1).ravel()  # beyond the end the walk sees a pad
+    rows = (np.arange(n) * (m + 1))[:, None]
+    place = np.zeros((n, count), np.int64)
+    key = np.tile(np.arange(count, dtype=U), (n, 1))
+    for step in range(int(sampled.max()) + 1):
+        here = padded[rows + place]
+        taken = np.flatnonzero((sampled == step).any(1))
+        if len(taken):
+            key[:, taken] = mix(key[:, taken] ^ here[:, taken], 40)
+        coin = (here ^ turn[step]) * U(0x9E3779B97F4A7C15)
+        place += ((coin >> U(61)) & U(1)).astype(np.int64)
+        np.minimum(place, m, out=place)
     return key
 
 
@@ -88,67 +95,69 @@ def edit_distance(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The benchmark's items by length, with their keys."""
+    """The benchmark's items by length, with their keys and their runs of words."""
 
     def __init__(self, ids: list[int], texts: list[str], similarity: float, recall: float):
         hashes, first = word_hashes(pa.array(texts, pa.large_string()))
-        self.vocabulary = np.unique(hashes)
-        self.small = np.zeros(1 << 16, bool)
-        self.small[(self.vocabulary >> U(48)).astype(np.int64)] = True
         self.repetitions = repetitions(recall)
         self.lengths: dict[int, tuple] = {}
+        runs: dict[int, list[tuple]] = {}
         sizes = np.diff(first)
         for m in np.unique(sizes[sizes > 0]).tolist():
             rows = np.flatnonzero(sizes == m)
             symbols = np.stack([hashes[first[r] : first[r] + m] for r in rows])
-            tables = []
-            for r in range(self.repetitions):
-                key = keys(symbols, r)
-                order = np.argsort(key, kind="stable")
-                tables.append((key[order], order))
+            key = keys(symbols, self.repetitions)
+            order = np.argsort(key, axis=0, kind="stable")
             edits = int((1 - similarity) * m + 1e-9)
-            self.lengths[m] = (np.array([ids[r] for r in rows]), symbols, tables, edits)
-
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        out = self.small[(hashes >> U(48)).astype(np.int64)]
-        at = np.flatnonzero(out)
-        found = np.minimum(np.searchsorted(self.vocabulary, hashes[at]), len(self.vocabulary) - 1)
-        out[at] = self.vocabulary[found] == hashes[at]
-        return out
-
-    def leaks(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-        """Confirmed (first word, item id, edits) and the window's length."""
-        if not self.lengths or not len(hashes):
-            return
-        total = np.concatenate([[0], np.cumsum(self.known(hashes), dtype=np.int32)])
+            self.lengths[m] = (np.array([ids[r] for r in rows]), symbols, np.take_along_axis(key, order, 0), order, edits)
+            q = -(-(m - edits) // (edits + 1))
+            for row in symbols:
+                found, at, _ = grams(row, np.array([0, m]), q)
+                runs.setdefault(q, []).append((found, at, np.full(len(at), m)))
+        self.runs = {}
+        for q, parts in runs.items():
+            found, at, m = map(np.concatenate, zip(*parts))
+            order = np.argsort(found, kind="stable")
+            small = np.zeros(1 << 16, bool)
+            small[(found >> U(48)).astype(np.int64)] = True
+            self.runs[q] = (small, found[order], at[order], m[order])
+
+    def windows(self, hashes: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
+        """Starts of the windows that may leak an item, by length."""
         stops = np.repeat(first[1:], np.diff(first))
-        for m, (ids, symbols, tables, edits) in self.lengths.items():
-            if len(hashes) < m:
-                continue
-            starts = np.flatnonzero(total[m:] - total[:-m] >= m - edits)
-            starts = starts[starts + m <= stops[starts]]
-            for s in range(0, len(starts), _BATCH):
-                at = starts[s : s + _BATCH]
-                windows = hashes[at[:, None] + np.arange(m)]
-                pairs = []
-                for r, (sorted_keys, order) in enumerate(tables):
-                    key = keys(windows, r)
-                    low, high = np.searchsorted(sorted_keys, key), np.searchsorted(sorted_keys, key, side="right")
-                    hit = np.flatnonzero(high > low)
-                    while len(hit):  # one item of each key at a time
-                        pairs.append(hit * len(ids) + order[low[hit]])
-                        low[hit] += 1
-                        hit = hit[high[hit] > low[hit]]
-                if not pairs:
-                    continue
-                both = np.unique(np.concatenate(pairs))
-                window, item = both // len(ids), both % len(ids)
-                for c in range(0, len(both), _BATCH):
-                    w, t = window[c : c + _BATCH], item[c : c + _BATCH]
-                    far = edit_distance(windows[w], symbols[t])
-                    good = far <= edits
-                    if good.any():
-                        yield at[w[good]], ids[t[good]], far[good], m
+        begins = np.repeat(first[:-1], np.diff(first))
+        out: dict[int, list[np.ndarray]] = {}
+        for q, (small, known, offset, length) in self.runs.items():
+            found, at, _ = grams(hashes, first, q)
+            near = np.flatnonzero(small[(found >> U(48)).astype(np.int64)])
+            found, at = found[near], at[near]
+            low, high = np.searchsorted(known, found), np.searchsorted(known, found, side="right")
+            rows = run_indices(low, high - low)
+            place = np.repeat(at, high - low)
+            for m in np.unique(length[rows]).tolist():
+                own = length[rows] == m
+                edits = self.lengths[m][4]
+                starts = (place[own] - offset[rows[own]])[:, None] + np.arange(-edits, edits + 1)
+                home = np.broadcast_to(place[own][:, None], starts.shape)
+                good = (starts >= begins[home]) & (starts + m <= stops[home])
+                out.setdefault(m, []).append(np.unique(starts[good]))
+        return {m: np.unique(np.concatenate(parts)) for m, parts in out.items()}
+
+    def confirm(self, m: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of ``windows`` that leak, the item's id and the edits."""
+        ids, symbols, table, order, edits = self.lengths[m]
+        for s in range(0, len(windows), _BATCH):
+            part = windows[s : s + _BATCH]
+            key, pairs = keys(part, self.repetitions), []
+            for r in range(self.repetitions):
+                low, high = np.searchsorted(table[:, r], key[:, r]), np.searchsorted(table[:, r], key[:, r], side="right")
+                pairs.append(np.repeat(np.arange(len(part)), high - low) * len(ids) + order[run_indices(low, high - low), r])
+            both = np.unique(np.concatenate(pairs))
+            for c in range(0, len(both), _BATCH):
+                row, item = both[c : c + _BATCH] // len(ids), both[c : c + _BATCH] % len(ids)
+                far = edit_distance(part[row], symbols[item])
+                good = far <= edits
+                yield s + row[good], ids[item[good]], far[good]
 
 
 def load_items(benchmark: DataFrame, item_col: str, text_col: str, similarity: float, recall: float) -> Items:
@@ -168,20 +177,42 @@ def find_leaks(
     shared = docs.sparkSession.sparkContext.broadcast(load_items(benchmark, item_col, item_text_col, similarity, recall))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64())]))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leaks(part: pa.RecordBatch) -> list[dict[int, tuple]]:
         items = shared.value
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                hashes, first = word_hashes(part.column("text"))
-                best: list[dict[int, tuple]] = [{} for _ in range(len(part))]
-                for at, ids, far, m in items.leaks(hashes, first):
-                    rows = np.searchsorted(first, at, side="right") - 1
-                    for row, s, i, e in zip(rows.tolist(), at.tolist(), ids.tolist(), far.tolist()):
-                        new = (e, s - int(first[row]), m)
+        held: dict[int, list[tuple]] = {}
+        best: list[dict[int, tuple]] = [{} for _ in range(len(part))]
+
+        def settle() -> None:
+            for m, parts in held.items():
+                rows, starts, windows = (np.concatenate(x) for x in zip(*parts))
+                for at, ids, far in items.confirm(m, windows):
+                    for row, s, i, e in zip(rows[at].tolist(), starts[at].tolist(), ids.tolist(), far.tolist()):
+                        new = (e, s, m)
                         if i not in best[row] or new < best[row][i]:
                             best[row][i] = new
-                lists = [[{"item_id": i, "edits": e, "start": s, "n_words": m} for i, (e, s, m) in sorted(b.items())] for b in best]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(b) for b in best], pa.int64()), pa.array(lists, kind)], names=["id", "n_items", "leaks"])
+            held.clear()
+
+        before = size = 0
+        for piece in chunks(part, "text"):
+            hashes, first = word_hashes(piece.column("text"))
+            for m, starts in items.windows(hashes, first).items():
+                for s in range(0, len(starts), _HELD):
+                    at = starts[s : s + _HELD]
+                    rows = np.searchsorted(first, at, side="right") - 1
+                    held.setdefault(m, []).append((rows + before, at - first[rows], hashes[at[:, None] + np.arange(m)]))
+                    size += len(at)
+                    if size >= _HELD:
+                        settle()
+                        size = 0
+            before += len(piece)
+        settle()
+        return best
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            best = leaks(part)
+            lists = [[{"item_id": i, "edits": e, "start": s, "n_words": m} for i, (e, s, m) in sorted(b.items())] for b in best]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(b) for b in best], pa.int64()), pa.array(lists, kind)], names=["id", "n_items", "leaks"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(work, "id long, n_items long, leaks array<struct<item_id:long,edits:long,start:long,n_words:long>>")
