@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.kernel import U, Words, buffers, chunks, grams, mix, run_indices
 
@@ -171,9 +172,12 @@ def load_items(benchmark: DataFrame, item_col: str, text_col: str, similarity: f
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    similarity: float = 0.8, recall: float = RECALL,
+    similarity: float = 0.8, recall: float = RECALL, keep_columns: bool = False,
 ) -> DataFrame:
-    """Per row: id, n_items, leaks: array of (item_id, edits, start word, n_words), the closest window of each leaked item."""
+    """Per row: id, n_items, leaks: array of (item_id, edits, start word, n_words), the closest window of each leaked item.
+
+    With ``keep_columns`` the row's own columns come first, and those two replace columns of the same names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load_items(benchmark, item_col, item_text_col, similarity, recall))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64())]))
 
@@ -212,8 +216,10 @@ def find_leaks(
         for part in batches:
             best = leaks(part)
             lists = [[{"item_id": i, "edits": e, "start": s, "n_words": m} for i, (e, s, m) in sorted(b.items())] for b in best]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(b) for b in best], pa.int64()), pa.array(lists, kind)], names=["id", "n_items", "leaks"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([len(b) for b in best], pa.int64()), pa.array(lists, kind)], names=["row", "n_items", "leaks"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(work, "id long, n_items long, leaks array<struct<item_id:long,edits:long,start:long,n_words:long>>")
-    return out.withColumnRenamed("id", id_col)
+    own = [c for c in docs.columns if c not in ("n_items", "leaks")] if keep_columns else [id_col]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)]).add("n_items", "long")
+    schema = schema.add("leaks", T.DataType.fromDDL("array<struct<item_id:long,edits:long,start:long,n_words:long>>"))
+    return rows.mapInArrow(work, schema).select("row.*", "n_items", "leaks")

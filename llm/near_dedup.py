@@ -303,6 +303,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows whose id is their component's; of rows that repeat an id within a component every one stays."""
+    """The rows whose id is their component's; rows that repeat that id all stay."""
     kept = near_duplicates(docs, id_col, text_col, threshold).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    # shuffled at every size: the kept ids grow with the corpus
+    return docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.common import buckets, column_bytes, ids_of, map_arrow, partitions, sliced
 from llm.kernel import U, chunks, grams, joined, mix, split_words
@@ -283,8 +284,8 @@ def _cut(width: int):
                 total = np.diff(words.first)
                 text = pa.Array.from_buffers(pa.large_string(), len(part), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(total), pa.array(total - np.diff(kept_before)), text.cast(pa.string()), pa.array(paths, kind)],
-                    names=["id", "n_words", "n_removed", "kept", "spans"],
+                    [part.column("row"), pa.array(total), pa.array(total - np.diff(kept_before)), text.cast(pa.string()), pa.array(paths, kind)],
+                    names=["row", "n_words", "n_removed", "kept", "spans"],
                 )
 
     return work
@@ -312,10 +313,18 @@ def repeated_paths(docs: DataFrame, id_col: str, text_col: str, width: int) -> D
     return later.groupBy("bucket").applyInArrow(_document_spans, "doc long, at binary, n binary, one binary, source binary, source_at binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
-    """Per row: id, n_words, n_removed, kept (kept words joined by one space), spans (repeated paths and their sources)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep_columns: bool = False) -> DataFrame:
+    """Per row: id, n_words, n_removed, kept (kept words joined by one space), spans (repeated paths and their sources).
+
+    With ``keep_columns`` the row's own columns come first, and those four replace columns of the same names.
+    """
+    made = ["n_words", "n_removed", "kept", "spans"]
+    own = [c for c in docs.columns if c not in made] if keep_columns else [id_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in own])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     later = repeated_paths(docs, id_col, text_col, width)
-    rows = texts.join(later.hint("merge"), F.col("id") == F.col("doc"), "left").select("id", "text", "at", "n", "one", "source", "source_at")
-    out = map_arrow(rows, _cut(width), f"id long, n_words long, n_removed long, kept string, spans {SPANS}")
-    return out.withColumnRenamed("id", id_col)
+    rows = texts.join(later.hint("merge"), F.col("id") == F.col("doc"), "left").select("row", "text", "at", "n", "one", "source", "source_at")
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
+    for name, kind in zip(made, ("long", "long", "string", SPANS)):
+        schema = schema.add(name, T.DataType.fromDDL(kind))
+    return map_arrow(rows, _cut(width), schema).select("row.*", *made)
