@@ -1,6 +1,6 @@
 """Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows, then exact edit distance.
 
-Texts and items are sequences of words: runs of letters, digits and bytes above 127, A-Z lower-cased. A document leaks
+Texts and items are lower-cased and read as words: runs of letters, digits and other characters above 127. A document leaks
 an item of m words if some m consecutive words of it lie within floor((1 - similarity) * m) word edits of the item.
 
 1. At most that many edits leave one run of at least q = ceil((m - edits) / (edits + 1)) words of the item as it is. So the
@@ -162,7 +162,7 @@ class Items:
 
 
 def load_items(benchmark: DataFrame, item_col: str, text_col: str, similarity: float, recall: float) -> Items:
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.lower(F.col(text_col).cast("string")).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if size > MAX_ITEM_BYTES:
         raise ValueError(f"the benchmark has {size} bytes of text; split it into parts below {MAX_ITEM_BYTES}")
@@ -219,7 +219,7 @@ def find_leaks(
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([len(b) for b in best], pa.int64()), pa.array(lists, kind)], names=["row", "n_items", "leaks"])
 
     own = [c for c in docs.columns if c not in ("n_items", "leaks")] if keep_columns else [id_col]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.lower(F.col(text_col).cast("string")).alias("text"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)]).add("n_items", "long")
     schema = schema.add("leaks", T.DataType.fromDDL("array<struct<item_id:long,edits:long,start:long,n_words:long>>"))
     return rows.mapInArrow(work, schema).select("row.*", "n_items", "leaks")
