@@ -175,21 +175,29 @@ class Model:
         edge = [[tally.get(("edge", str(p), c), 0) + _SMOOTH for c in (0, 1)] for p in (0, 1)]
         # P(child | parent) over P(child): what the parent says beyond the child's prior
         base = [edge[0][c] + edge[1][c] for c in (0, 1)]
+        # nothing below an element of page furniture that is not content is content
+        self.sealed = [[math.log(x) - math.log(base[c] / sum(base)) for c, x in enumerate(row)] for row in ((1 - 1e-9, 1e-9), (0.5, 0.5))]
         self.edge = [[math.log(edge[p][c] / sum(edge[p])) - math.log(base[c] / sum(base)) for c in (0, 1)] for p in (0, 1)]
 
     def marginals(self, page: Page) -> list[float]:
         """Log odds of content for each element, by sum-product messages up and down the tree."""
-        n, parents, e = len(page.tags), page.parents, self.edge
+        n, parents = len(page.tags), page.parents
         own = [self.prior + sum(self.shown.get(f, 0.0) for f in shown) for shown in page.features()]
+        edges = [self.edge] * n  # to the element's children
         for i in range(n):
             if page.names[i] or page.tags[i] in FURNITURE:
                 own[i] -= 12.0  # a name of page furniture: strong in itself, whatever the sample held
+                edges[i] = self.sealed
+            elif i:
+                edges[i] = edges[parents[i]]
         up, message = list(own), [0.0] * n
         for i in range(n - 1, 0, -1):
+            e = edges[parents[i]]
             message[i] = _pass(up[i], e[0][0], e[0][1], e[1][0], e[1][1])
             up[parents[i]] += message[i]
         out = list(up)
         for i in range(1, n):
+            e = edges[parents[i]]
             without = out[parents[i]] - message[i]
             out[i] = up[i] + _pass(without, e[0][0], e[1][0], e[0][1], e[1][1])
         return out

@@ -66,7 +66,9 @@ def compress(ids: np.ndarray, first: np.ndarray, size: int, rounds: int = ROUNDS
         found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
         weight = np.where(inside & (pairs[found] == key), counts[found], 0)
         left, right = np.append(0, weight[:-1]), np.append(weight[1:], 0)
-        hit = (weight > 0) & (weight >= right) & (weight > left)
+        hit = (weight > 0) & (weight >= right) & (weight >= left)
+        index = np.arange(len(hit))
+        hit &= (index - np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), index, -1))) % 2 == 0
         used = np.bincount(found[hit], minlength=len(pairs))
         keep_rule = used >= least // 2
         hit &= keep_rule[found]
