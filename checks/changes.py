@@ -56,8 +56,8 @@ def str8_summary(spark, sf):
     return ops.transaction_summary(changes(spark, sf))
 
 
-@check("str8_group_transactions", f"""SELECT gtid, cast(0 AS BIGINT) AS chunk, string_agg(cast(pos AS VARCHAR) || op, ',' ORDER BY pos) FILTER (kind = 'row') AS rows,
- count(*) FILTER (kind = 'row') AS changes, bool_or(kind = 'xid') AS closed FROM {CHANGES} GROUP BY 1 HAVING count(*) FILTER (kind = 'row') > 0""")
+@check("str8_group_transactions", f"""SELECT gtid, cast(0 AS BIGINT) AS chunk, coalesce(string_agg(cast(pos AS VARCHAR) || op, ',' ORDER BY pos) FILTER (kind = 'row'), '') AS rows,
+ count(*) FILTER (kind = 'row') AS changes, bool_or(kind = 'xid') AS closed FROM {CHANGES} GROUP BY 1""")
 def str8(spark, sf):
     out = ops.group_transactions(changes(spark, sf), ["pos", "op"])
     text = F.array_join(F.transform("rows", lambda r: F.concat(r["pos"].cast("string"), r["op"])), ",")

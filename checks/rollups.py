@@ -252,8 +252,8 @@ def udf1(spark, sf):
     return named.NamedQueries(spark).run("history_totals", {"table_history_stat": stats(spark, sf)}, begin=FROM, end=TO)
 
 
-@check("udf2_check_query", """SELECT cast(row_number() OVER (ORDER BY c_mktsegment) AS INTEGER) AS "#", c_mktsegment, cast(n AS VARCHAR) AS n FROM
+@check("udf2_check_query", """SELECT cast(row_number() OVER (ORDER BY c_mktsegment DESC) AS INTEGER) AS "#", c_mktsegment, cast(n AS VARCHAR) AS n FROM
  (SELECT coalesce(c_mktsegment, 'NULL') AS c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY 1 LIMIT 100)""")
 def udf2(spark, sf):
     read(spark, sf, "customer").createOrReplaceTempView("lagscope_customer")
-    return named.check_query(spark, "SELECT c_mktsegment, count(*) AS n FROM lagscope_customer GROUP BY c_mktsegment")
+    return named.check_query(spark, "SELECT c_mktsegment, count(*) AS n FROM lagscope_customer GROUP BY c_mktsegment ORDER BY c_mktsegment DESC")

@@ -10,6 +10,7 @@ from lagscope.operators.ordered import number_by_position
 from lagscope.operators.rollups import bucket_agg, explode_range
 
 INSERT, UPDATE, DELETE = "I", "U", "D"
+MARK_SCHEMA = "retl"  # fixed value: the schema of that table
 MARK_TABLE = "retl_mark"  # fixed value: the table whose rows mark a synchronised transaction
 
 
@@ -53,7 +54,11 @@ def group_transactions(changes: DataFrame, cols=None, txn: str = "gtid", pos: st
     last = F.greatest(F.ceil(F.col("changes") / chunk_rows) - 1, F.lit(0)).cast("long")
     summary = transaction_summary(changes, txn, pos, kind).withColumns({"_zero": F.lit(0).cast("long"), "_last": last})
     parts = explode_range(summary, "_zero", "_last", "chunk").drop("_zero", "_last")
-    return chunks.join(parts, [txn, "chunk"])
+    # A transaction without row changes keeps its summary and has no rows.
+    joined = parts.join(chunks, [txn, "chunk"], "left")
+    rest = [c for c in summary.columns if c not in (txn, "_zero", "_last")]
+    empty = F.array().cast(chunks.schema["rows"].dataType)
+    return joined.select(txn, "chunk", F.coalesce("rows", empty).alias("rows"), *rest)
 
 
 def drop_looped(changes: DataFrame, channel_id, txn: str = "gtid", table: str = "table",
@@ -61,24 +66,41 @@ def drop_looped(changes: DataFrame, channel_id, txn: str = "gtid", table: str =
     """Changes to apply on this channel.
 
     A transaction that carries this channel's mark came from here and is left out. One with
-    another channel's mark is kept without its mark rows; one without a mark is kept whole. A
+    another channel's mark is kept without its mark rows; one without a mark is kept whole. In an
+    envelope with schemas a mark is a row of the mark schema, and its channel is read from the row. A
     transaction of any size only meets its own key once: AQE splits it on the changes' side.
     """
     is_mark = F.col(table) == mark_table
-    own = changes.filter(is_mark & (F.col(channel_col) == channel_id)).select(txn).distinct()
+    if "schema" in changes.columns:
+        is_mark = is_mark & (F.col("schema") == MARK_SCHEMA)
+    channel = F.col(channel_col) if channel_col in changes.columns else F.coalesce(F.col("after")[channel_col], F.col("before")[channel_col])
+    own = changes.filter(is_mark & (channel == F.lit(channel_id).cast(changes.select(channel.alias("c")).schema["c"].dataType))).select(txn).distinct()
     return changes.filter(~F.coalesce(is_mark, F.lit(False))).join(own, txn, "left_anti").select(*changes.columns)
 
 
 def rows_of(changes: DataFrame, schema: T.StructType, keys, extra=("op", "pos", "gtid", "ts")) -> DataFrame:
-    """Row events of an envelope as typed columns; a deleted row keeps its key from ``before``."""
-    gone = F.col("op") == DELETE
-    image = {}
-    for f in schema.fields:
-        after = F.col("after")[f.name]
-        text = F.when(gone, F.col("before")[f.name]).otherwise(after) if f.name in keys else F.when(~gone, after)
-        image[f.name] = text.try_cast(f.dataType)
-    rows = changes.filter(F.col("kind") == "row")
-    return rows.select(*extra, *[c.alias(n) for n, c in image.items()])
+    """Row events of an envelope as typed columns; a deleted row keeps its key from ``before``.
+
+    An update that changes the key is two rows: a delete of the old key, then the update of the new one.
+    """
+
+    def image(gone: bool) -> list:
+        side = F.col("before") if gone else F.col("after")
+        return [(side[f.name] if f.name in keys or not gone else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+
+    others = [F.col(c) for c in extra if c != "op"]
+    old = F.struct(F.lit(DELETE).alias("op"), *others, *image(True))
+    new = F.struct(F.col("op"), *others, *image(False))
+    moved = F.lit(False)
+    for k in keys:
+        moved = moved | ~F.col("before")[k].eqNullSafe(F.col("after")[k])
+    known = F.col("before").isNotNull()
+    for k in keys:
+        known = known & F.col("before")[k].isNotNull()
+    moved = (F.col("op") == UPDATE) & known & moved
+    events = F.when(F.col("op") == DELETE, F.array(old)).when(moved, F.array(old, new)).otherwise(F.array(new))
+    rows = changes.filter(F.col("kind") == "row").select(F.explode(events).alias("_e"))
+    return rows.select(*[F.col(f"_e.{c}") for c in extra], *[F.col(f"_e.{f.name}") for f in schema.fields])
 
 
 def latest_changes(changes: DataFrame, keys, order, op: str = "op") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lagscope.operators.ordered import preview
 
@@ -42,6 +43,10 @@ class NamedQueries:
 
 
 def check_query(spark: SparkSession, text: str = DEFAULT_CHECK, order_by=None, n: int = 100) -> DataFrame:
-    """Preview of a user's query: at most ``n`` numbered rows as text."""
+    """Preview of a user's query: at most ``n`` numbered rows as text, in the query's own order unless ``order_by`` is given."""
     result = spark.sql(text)
-    return preview(result, order_by or result.columns, n)
+    if order_by:
+        return preview(result, order_by, n)
+    first = result.limit(n)  # one task with at most n rows, which it numbers as they come
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")).alias(c) for c in first.columns]
+    return first.coalesce(1).select((F.monotonically_increasing_id() + 1).cast("int").alias("#"), *cells)

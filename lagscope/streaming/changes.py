@@ -41,8 +41,10 @@ class _Versions:
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if number == 0 or not fs.exists(root):
+        if number == 0:
             return self.spark.createDataFrame([], self.schema)
+        if not fs.exists(root):
+            raise FileNotFoundError(f"{path} is gone: the state of batch {number - 1} is lost")
         return self.spark.read.schema(self.schema).parquet(path)
 
     def write(self, df: DataFrame, number: int) -> DataFrame:
@@ -57,14 +59,14 @@ class _Versions:
             root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
-def stream_transactions(changes: DataFrame, folder: str, timeout_batches: int = 1000, available_now: bool = False):
+def stream_transactions(changes: DataFrame, folder: str, timeout_batches: int | None = None, available_now: bool = False):
     """Starts a query that closes transactions as their end arrives.
 
     Only a summary per open transaction is carried from batch to batch, in ``folder``/open, so
     state does not grow with the size of a transaction. Events are pre-aggregated per transaction
     inside each batch. ``folder``/events gets the batch's events, ``folder``/done the finished
-    transactions; one whose end has not come within ``timeout_batches`` is put out with
-    ``closed = false``. Every write of a batch replaces that batch's own folder, so a repeated
+    transactions. Only with ``timeout_batches`` is one whose end has not come by then put out with
+    ``closed = false``; what comes later is added to it by ``finished_transactions``. Every write of a batch replaces that batch's own folder, so a repeated
     batch changes nothing.
     """
     spark = changes.sparkSession
@@ -84,7 +86,9 @@ def stream_transactions(changes: DataFrame, folder: str, timeout_batches: int =
             F.max("closed").alias("closed"),
             F.min("since").alias("since"),
         )
-        over = F.col("closed") | (F.col("since") <= number - timeout_batches)
+        over = F.col("closed")
+        if timeout_batches is not None:
+            over = over | (F.col("since") <= number - timeout_batches)
         # Written once, then split: what is done and what stays open come from the same rows.
         step = _Versions(spark, f"{folder}/step", OPEN)
         rows = step.write(merged, number)
@@ -100,9 +104,10 @@ def stream_transactions(changes: DataFrame, folder: str, timeout_batches: int =
 
 
 def finished_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    """Transactions put out so far."""
-    return spark.read.schema(OPEN).parquet(f"{folder.rstrip('/')}/done").select(
-        F.col("txn").alias("gtid"), "changes", "first_pos", "last_pos", "closed"
+    """Transactions put out so far, each once: parts of one that was put out early are added up."""
+    done = spark.read.schema(OPEN).parquet(f"{folder.rstrip('/')}/done")
+    return done.groupBy(F.col("txn").alias("gtid")).agg(
+        F.sum("changes").alias("changes"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.max("closed").alias("closed")
     )
 
 

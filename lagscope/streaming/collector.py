@@ -59,11 +59,16 @@ def collect_once(spark: SparkSession, sources: list[Source], positions: Watermar
             low = last - overlap if overlap and last != START_TIME else last
             fresh, label = capture_changes(df, source.position, low), f"{last:%Y%m%dT%H%M%S%f}"
         folder = f"{_folder(out, source.name)}/from={label}"
-        encoded = to_line_protocol(fresh, source.spec).select(F.col(source.position).alias("position"), "line", "reject")
+        # A rejected row stays readable: the position moves past it.
+        row = F.when(F.col("reject").isNotNull(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in fresh.columns])))
+        encoded = to_line_protocol(fresh, source.spec).select(F.col(source.position).alias("position"), "line", "reject", row.alias("row"))
         encoded.write.mode("overwrite").parquet(folder)
-        top = spark.read.schema(encoded.schema).parquet(folder).agg(F.max("position").alias("top")).first()["top"]
-        if top is not None and top > last:
-            moved[source.name] = int(top) if source.by_id else top
+        # As text in the session's zone: a collected timestamp would be in the driver's.
+        top = spark.read.schema(encoded.schema).parquet(folder).agg(F.max("position").cast("string").alias("top")).first()["top"]
+        if top is not None:
+            top = int(top) if source.by_id else datetime.fromisoformat(top)
+            if top > last:
+                moved[source.name] = top
     if moved:
         positions.commit(moved)
     return moved
@@ -76,7 +81,7 @@ def _folder(out: str, name: str) -> str:
 def collected_points(spark: SparkSession, out: str, name: str) -> tuple[DataFrame, DataFrame]:
     """``(lines, rejects)`` of everything collected from a source so far."""
     lines, rejects = split_rejects(spark.read.parquet(_folder(out, name)).drop("from"))
-    return lines, rejects.select("position", "reject")
+    return lines, rejects.select("position", "reject", "row")
 
 
 def stream_points(rows: DataFrame, spec: PointSpec, out: str, available_now: bool = False):
