@@ -59,9 +59,7 @@ def collect_once(spark: SparkSession, sources: list[Source], positions: Watermar
             low = last - overlap if overlap and last != START_TIME else last
             fresh, label = capture_changes(df, source.position, low), f"{last:%Y%m%dT%H%M%S%f}"
         folder = f"{_folder(out, source.name)}/from={label}"
-        # A rejected row stays readable: the position moves past it.
-        row = F.when(F.col("reject").isNotNull(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in fresh.columns])))
-        encoded = to_line_protocol(fresh, source.spec).select(F.col(source.position).alias("position"), "line", "reject", row.alias("row"))
+        encoded = _encoded(fresh, source.spec, source.position)
         encoded.write.mode("overwrite").parquet(folder)
         # As text in the session's zone: a collected timestamp would be in the driver's.
         top = spark.read.schema(encoded.schema).parquet(folder).agg(F.max("position").cast("string").alias("top")).first()["top"]
@@ -74,6 +72,12 @@ def collect_once(spark: SparkSession, sources: list[Source], positions: Watermar
     return moved
 
 
+def _encoded(rows: DataFrame, spec: PointSpec, position: str) -> DataFrame:
+    """Position, line and reject; a rejected row stays readable as JSON, since the position moves past it."""
+    row = F.when(F.col("reject").isNotNull(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    return to_line_protocol(rows, spec).select(F.col(position).alias("position"), "line", "reject", row.alias("row"))
+
+
 def _folder(out: str, name: str) -> str:
     return f"{out.rstrip('/')}/{name}"
 
@@ -90,7 +94,7 @@ def stream_points(rows: DataFrame, spec: PointSpec, out: str, available_now: boo
     Encoding has no state, so the query only appends; Spark's checkpoint below ``out`` keeps the
     position and a repeated batch is written once.
     """
-    encoded = to_line_protocol(rows, spec).select(F.col(spec.time).alias("position"), "line", "reject")
+    encoded = _encoded(rows, spec, spec.time)
     out = out.rstrip("/")
     writer = encoded.writeStream.format("parquet").option("path", f"{out}/{spec.measurement}")
     writer = writer.option("checkpointLocation", f"{out}/checkpoint/{spec.measurement}")
