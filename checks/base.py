@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagscope.schemas import STAT_COLUMNS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -83,6 +85,56 @@ CHANGES = """(SELECT CASE WHEN event_id % 4 = 3 THEN 'xid' ELSE 'row' END AS kin
  event_id AS pos, 't-' || cast(event_id // 4 AS VARCHAR) AS gtid, ts FROM events)"""
 
 
+#: A statistics table's columns, made of the events; the same text is Spark SQL and DuckDB SQL.
+_STAT = {
+    "ID": "event_id", "DELAY_TIME": "cast(round(value * 100) AS BIGINT)", "PIPELINE_ID": "user_id", "GMT_CREATE": "ts", "GMT_MODIFIED": "ts",
+    "NID": "concat('n', cast(user_id % 7 AS VARCHAR(9)))", "CHANNEL_ID": "cast(user_id % 5 AS VARCHAR(9))", "TITLE": "event_type",
+    "MESSAGE": "concat(event_type, ' of ', cast(user_id AS VARCHAR(19)))", "INSERT_COUNT": "cast(event_id % 3 AS BIGINT)",
+    "UPDATE_COUNT": "cast(event_id % 5 AS BIGINT)", "DELETE_COUNT": "cast(event_id % 2 AS BIGINT)", "START_TIME": "ts", "END_TIME": "ts",
+    "TYPE": "event_type", "NUMBER": "cast(event_id % 11 AS BIGINT)", "SIZE": "cast(round(value * 100) AS BIGINT)",
+}
+
+
+def _stat_columns(table: str) -> list[str]:
+    made = _STAT | ({"PIPELINE_ID": "CASE WHEN event_type = 'error' THEN '-1' ELSE cast(user_id AS VARCHAR(19)) END"} if table == "LOG_RECORD" else {})
+    return [f"{made[c]} AS {c}" for c in STAT_COLUMNS[table]]
+
+
+def stat_table(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """The events as a statistics table of the given name, with the columns its collector reads."""
+    return read(spark, sf, "events").selectExpr(*_stat_columns(table))
+
+
+def stat_sql(table: str) -> str:
+    return f"(SELECT {', '.join(_stat_columns(table))} FROM events)"
+
+
+def envelope(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as JSON change events: positions restart with every file, some updates move the key, some lines are torn."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    op = F.when(kind == "signup", F.lit("I")).when(kind == "error", F.lit("D")).otherwise(F.lit("U"))
+    key = F.col("user_id")
+    moved = F.when((op == "U") & (n % 10 == 0), key + 1000).otherwise(key)
+    mark = kind == "view"
+    side = lambda k: F.create_map(F.lit("id"), k.cast("string"), F.lit("value"), F.col("value").cast("string"), F.lit("channel_id"), (key % 2).cast("string"))
+    event = F.struct(
+        F.when(n % 4 == 3, F.lit("xid")).otherwise(F.lit("row")).alias("kind"), op.alias("op"),
+        F.when(mark, F.lit("retl")).otherwise(F.lit("shop")).alias("schema"), F.when(mark, F.lit("retl_mark")).otherwise(F.lit("account")).alias("table"),
+        F.when(op != "I", side(key)).alias("before"), F.when(op != "D", side(moved)).alias("after"),
+        F.concat(F.lit("bin."), (F.floor(n / 4000) + 8).cast("string")).alias("file"), (n % 4000).alias("pos"),
+        F.concat(F.lit("t-"), F.floor(n / 4).cast("string")).alias("gtid"),
+    )
+    return read(spark, sf, "events").select(F.when(n % 97 == 4, F.concat(F.lit("{torn "), n.cast("string"))).otherwise(F.to_json(event)).alias("value"))
+
+
+#: The readable events of ``envelope``.
+ENVELOPE = """(SELECT event_id AS n, CASE WHEN event_id % 4 = 3 THEN 'xid' ELSE 'row' END AS kind,
+ CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op, event_type = 'view' AS mark, user_id AS key,
+ CASE WHEN event_type NOT IN ('signup', 'error') AND event_id % 10 = 0 THEN user_id + 1000 ELSE user_id END AS moved, value, user_id % 2 AS channel,
+ 'bin.' || cast(event_id // 4000 + 8 AS VARCHAR) AS file, event_id % 4000 AS pos, 't-' || cast(event_id // 4 AS VARCHAR) AS gtid
+ FROM events WHERE event_id % 97 <> 4)"""
+
+
 def status(spark: SparkSession, sf: str) -> DataFrame:
     """The suppliers as node status rows."""
     nation, money = F.col("s_nationkey"), F.col("s_acctbal")

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from checks.base import CHANGES, check, changes, read
+from checks.base import CHANGES, ENVELOPE, check, changes, envelope, read
 from lagscope.operators import changes as ops
-from lagscope.session import shared_folder
+from lagscope.schemas import CHANGE_KINDS
+from lagscope.session import temporary_folder
 from lagscope.sources import changes as change_source
 from lagscope.streaming import changes as streams
 
 
 def _scratch(spark, name):
-    return f"{shared_folder(spark, name)}-{uuid.uuid4().hex}"
+    return temporary_folder(spark, name)
+
+
+def _log_files(spark, sf):
+    """A folder with the events as JSON lines."""
+    folder = _scratch(spark, "logs")
+    envelope(spark, sf).write.text(folder)
+    return folder
 
 
 class _streaming:
@@ -79,7 +86,7 @@ def str8_stream(spark, sf):
     folder = _scratch(spark, "transactions")
     query = streams.stream_transactions(changes(_streaming(spark), sf), folder, available_now=True)
     query.awaitTermination()
-    return streams.finished_transactions(spark, folder)
+    return streams.finished_transactions(spark, folder).drop("file")
 
 
 _BASE = "(SELECT c_custkey AS key, c_acctbal AS value FROM customer)"
@@ -108,14 +115,65 @@ def str10(spark, sf):
     return ops.change_stats(changes(spark, sf), ["key"], "1 day")
 
 
-@check("udf3_handle_changes", f"SELECT kind, count(*) AS n, max(pos) AS last_pos FROM {CHANGES} GROUP BY 1")
+@check("src3_read_log_files", f"""SELECT kind, file, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos, cast(0 AS BIGINT) AS torn FROM {ENVELOPE} GROUP BY 1, 2
+ UNION ALL SELECT NULL, NULL, count(*), NULL, NULL, cast(sum(event_id) AS BIGINT) FROM events WHERE event_id % 97 = 4""")
+def src3_files(spark, sf):
+    """Files of events, the torn lines among them counted as rejects."""
+    events = change_source.read_changes(spark, _log_files(spark, sf), streaming=False)
+    number = F.coalesce(F.regexp_extract("reject", "([0-9]+)$", 1).try_cast("long"), F.lit(0).cast("long"))
+    return events.groupBy("kind", "file").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum(number).alias("torn"))
+
+
+@check("joi4_drop_looped_log_files", f"""SELECT file, pos, gtid FROM {ENVELOPE} c WHERE NOT mark AND NOT EXISTS
+ (SELECT 1 FROM {ENVELOPE} m WHERE m.gtid = c.gtid AND m.mark AND m.channel = 1)""")
+def joi4_files(spark, sf):
+    events = change_source.read_changes(spark, _log_files(spark, sf), streaming=False).filter("reject IS NULL")
+    return ops.drop_looped(events, 1).select("file", "pos", "gtid")
+
+
+_ACCOUNT = T.StructType([T.StructField("id", T.LongType()), T.StructField("value", T.DoubleType())])
+_STEPS = f"""(SELECT n, 'D' AS op, key AS id, NULL AS value FROM {ENVELOPE} WHERE kind = 'row' AND (op = 'D' OR moved <> key)
+ UNION ALL SELECT n, op, moved, value FROM {ENVELOPE} WHERE kind = 'row' AND op <> 'D')"""
+_END = f"(SELECT id, op, value FROM {_STEPS} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1)"
+
+
+@check("str9_apply_log_files", f"""SELECT id, value FROM (SELECT c_custkey AS id, c_acctbal AS value FROM customer) WHERE id NOT IN (SELECT id FROM {_END})
+ UNION ALL SELECT id, value FROM {_END} WHERE op <> 'D'""")
+def str9_files(spark, sf):
+    events = change_source.read_changes(spark, _log_files(spark, sf), streaming=False)
+    base = read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_acctbal").alias("value"))
+    return ops.apply_changes(base, ops.rows_of(events, _ACCOUNT, ["id"], ("op", "log", "pos")), ["id"], ["log", "pos"])
+
+
+@check("str9_stream_log_files", f"SELECT id, value FROM {_END} WHERE op <> 'D'")
+def str9_stream_files(spark, sf):
+    folder, order = _scratch(spark, "table"), ["log", "pos"]
+    rows = ops.rows_of(change_source.read_changes(spark, _log_files(spark, sf)), _ACCOUNT, ["id"], ("op", "log", "pos"))
+    streams.stream_table(rows, folder, ["id"], order, available_now=True).awaitTermination()
+    streams.compact_table(spark, folder, ["id"], order)
+    return streams.current_table(spark, folder, ["id"], order)
+
+
+@check("str8_stream_log_files", f"""SELECT gtid, max(file) AS file, count(*) FILTER (kind = 'row') AS changes, min(pos) AS first_pos, max(pos) AS last_pos, true AS closed
+ FROM {ENVELOPE} GROUP BY 1 HAVING bool_or(kind = 'xid')""")
+def str8_stream_files(spark, sf):
+    folder = _scratch(spark, "transactions")
+    streams.stream_transactions(change_source.read_changes(spark, _log_files(spark, sf)), folder, available_now=True).awaitTermination()
+    return streams.finished_transactions(spark, folder)
+
+
+_KINDS = ", ".join(f"'{k}'" for k in CHANGE_KINDS)
+
+
+@check("udf3_handle_changes", f"SELECT list_extract([{_KINDS}], cast(event_id % 7 + 1 AS BIGINT)) AS kind, count(*) AS n, max(event_id) AS last_pos FROM events GROUP BY 1")
 def udf3(spark, sf):
+    """Each kind's own function gets that kind's events."""
     folder = _scratch(spark, "handled")
 
     def save(kind):
         return lambda batch, number: batch.select("kind", "pos").write.mode("overwrite").parquet(f"{folder}/{kind}/batch={number}")
 
-    query = streams.handle_changes(changes(_streaming(spark), sf), {k: save(k) for k in ("row", "xid")}, f"{folder}/checkpoint", available_now=True)
-    query.awaitTermination()
-    seen = spark.read.parquet(f"{folder}/row").unionByName(spark.read.parquet(f"{folder}/xid"))
+    events = changes(_streaming(spark), sf).withColumn("kind", F.element_at(F.array(*[F.lit(k) for k in CHANGE_KINDS]), (F.col("pos") % 7 + 1).cast("int")))
+    streams.handle_changes(events, {k: save(k) for k in CHANGE_KINDS}, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    seen = spark.read.schema("kind string, pos long").option("recursiveFileLookup", "true").parquet(*[f"{folder}/{k}" for k in CHANGE_KINDS])
     return seen.groupBy("kind").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))

@@ -38,9 +38,15 @@ def hlt2(spark, sf):
     return health.cluster_status(status(spark, sf))
 
 
-@check("hlt2_cluster_ok", f"""SELECT cast(NULL AS VARCHAR) AS address, 'OK' AS problem WHERE NOT EXISTS (SELECT 1 FROM {STATUS} WHERE NOT ({_BAD}) AND {_BAD})""")
+_MENDED = f"(SELECT * REPLACE ('' AS io_error, 'YES' AS io_run, 'yes' AS sql_run) FROM {STATUS})"
+
+
+@check("hlt2_cluster_ok", f"""SELECT address, 'bad' AS problem FROM {_MENDED} WHERE {_BAD}
+ UNION ALL SELECT cast(NULL AS VARCHAR), 'OK' WHERE (SELECT count(*) FROM {_MENDED} WHERE {_BAD}) = 0""")
 def hlt2_ok(spark, sf):
-    return health.cluster_status(status(spark, sf).filter(health.is_healthy()))
+    """All nodes after both threads run again, in whatever case they say so."""
+    mended = {"Last_IO_Error": F.lit(""), "Slave_IO_Running": F.lit("YES"), "Slave_SQL_Running": F.lit("yes")}
+    return health.cluster_status(status(spark, sf).withColumns(mended))
 
 
 @check("snk7_health_json", f"""SELECT address, '{{"Address":"' || address || '","SlaveIOState":"' || io_state || '","MasterHost":"' || master_host || '","SlaveSQLRunningState":"' || sql_state

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.base import LOGS, STATS, check, logs, read, stats
 from lagscope.functions.text import MAX_STRING_BYTES
 from lagscope.operators import copying, gauges, points, rollups
-from lagscope.session import shared_folder
+from lagscope.session import temporary_folder
 from lagscope.sources import pages as page_source
 from lagscope.sources import stats as stat_source
 from lagscope.streaming import collector
@@ -23,7 +22,7 @@ NOW = "2024-02-01 08:09:10"
 
 
 def _scratch(spark, name):
-    return f"{shared_folder(spark, name)}-{uuid.uuid4().hex}"
+    return temporary_folder(spark, name)
 
 
 @check("src1_scan_stat", "SELECT event_id, value, user_id, ts FROM events")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import LOGS, STATS, check, logs, read, stats
+from checks.base import LOGS, STATS, check, logs, read, stat_sql, stat_table, stats
 from lagscope.operators import filters, ordered, rollups
 from lagscope.plans import dashboard, named
+from lagscope.schemas import STAT_COLUMNS, STAT_TABLES, struct_of
+from lagscope.session import temporary_folder
+from lagscope.sources import stats as stat_sources
 
 FROM, TO = "2024-01-05 00:00:00", "2024-01-25 12:00:00"
 DAY1, DAY30 = "2024-01-01 00:00:00", "2024-01-30 23:59:59"
@@ -252,6 +255,41 @@ def udf1(spark, sf):
     return named.NamedQueries(spark).run("history_totals", {"table_history_stat": stats(spark, sf)}, begin=FROM, end=TO)
 
 
+_NAMED = {"new_delays": "DELAY_STAT", "new_log_records": "LOG_RECORD", "new_throughput": "THROUGHPUT_STAT", "changed_totals": "TABLE_STAT", "new_history": "TABLE_HISTORY_STAT"}
+
+
+def _check_named(query: str, table: str) -> None:
+    by_id = table == "LOG_RECORD"
+    columns = [c.lower() for c in STAT_COLUMNS[table]]
+    past = "id > 100" if by_id else f"gmt_modified > TIMESTAMP '{FROM}'"
+
+    @check(f"udf1_{query}", f"SELECT {', '.join(f'{c} AS "{c}"' for c in columns)} FROM {stat_sql(table)} WHERE {past}")
+    def run(spark, sf):
+        return named.NamedQueries(spark).run(query, {table.lower(): stat_table(spark, sf, table)}, last=100 if by_id else FROM)
+
+    times = [c for c in STAT_COLUMNS[table] if STAT_TABLES[table].find(f"{c} timestamp") >= 0]
+
+    @check(f"src1_read_{table.lower()}", f"SELECT * FROM {stat_sql(table)}")
+    def read_it(spark, sf):
+        """The table as its owner stores it, written and read through its reader."""
+        folder = temporary_folder(spark, "stat")
+        rows = stat_table(spark, sf, table)
+        kinds = {f.name: f.dataType for f in struct_of(STAT_TABLES[table]).fields}
+        rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in rows.columns]).write.parquet(f"{folder}/{table}")
+        out = stat_sources.read_stat(spark, folder, table)
+        plain = {c: F.col(c).cast("timestamp_ntz") for c in times}
+        return out.withColumns(plain | ({"ID": F.col("ID").cast("long")} if table == "TABLE_HISTORY_STAT" else {}))
+
+
+for _query, _table in _NAMED.items():
+    _check_named(_query, _table)
+
+
+@check("udf1_manager_exception", f"SELECT 1 AS count FROM {stat_sql('LOG_RECORD')} WHERE pipeline_id = '-1' AND gmt_modified BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}' LIMIT 1")
+def udf1_exception(spark, sf):
+    return named.NamedQueries(spark).run("manager_exception", {"log_record": stat_table(spark, sf, "LOG_RECORD")}, begin=FROM, end=TO)
+
+
 @check("udf2_check_query", """SELECT cast(row_number() OVER (ORDER BY c_mktsegment DESC) AS INTEGER) AS "#", c_mktsegment, cast(n AS VARCHAR) AS n FROM
  (SELECT coalesce(c_mktsegment, 'NULL') AS c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY 1 LIMIT 100)""")
 def udf2(spark, sf):

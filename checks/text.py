@@ -126,9 +126,16 @@ def txt11(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.letters_digits("text").alias("text"))
 
 
-@check("txt12_left_bytes", "SELECT page_id, left(url, 20) AS url FROM pages")
+_MIXED = "'é测' || c_custkey || '试ü' || c_name"
+
+
+@check("txt12_left_bytes", f"""SELECT c_custkey, cast(k + short AS BIGINT) AS chars, left(t, k) || repeat(chr(65533), short) AS cut FROM (SELECT *, CASE WHEN strlen(left(t, k)) < 10 THEN 1 ELSE 0 END AS short FROM
+ (SELECT *, list_max(list_transform(range(0, 21), lambda n: CASE WHEN strlen(left(t, n)) <= 10 THEN n ELSE 0 END)) AS k FROM (SELECT c_custkey, {_MIXED} AS t FROM customer)))""")
 def txt12(spark, sf):
-    return read(spark, sf, "pages").select("page_id", text.left_bytes("url", 20).alias("url"))
+    """Ten bytes of texts with characters of one to three bytes; one cut in the middle is shown as replaced."""
+    rows = read(spark, sf, "customer").select("c_custkey", F.concat(F.lit("é测"), F.col("c_custkey").cast("string"), F.lit("试ü"), "c_name").alias("t"))
+    cut = text.left_bytes("t", 10)
+    return rows.select("c_custkey", F.char_length(cut).cast("long").alias("chars"), cut.alias("cut"))
 
 
 @check("txt13_equals_any_ci", "SELECT o_orderkey, lower(o_orderpriority) IN ('1-urgent', '2-high') AS hit FROM orders")

@@ -151,13 +151,22 @@ def group1_all(c: Column | str, pattern: str) -> Column:
     return F.regexp_extract_all(as_col(c), F.lit(pattern), F.lit(1))
 
 
-def _around_group1(pattern: str) -> tuple[str, str, str, str] | None:
-    """Split ``(?i)A(B)C`` into flags, A, B and C when group 1 stands alone at the top level."""
+def _around_group1(pattern: str) -> tuple[str, int, int, list[int]] | None:
+    """The pattern with the texts before, in and after group 1 captured at every level around it.
+
+    Also the number of levels, of groups in group 1 (itself included), and of groups in what follows on each level (likewise).
+
+    None where that cannot be said: group 1 or a group around it is repeated, optional, one of several alternatives or part of
+    a look-around, or the pattern refers back to groups or sets flags half-way.
+    """
     flags = re.match(r"(\(\?[a-zA-Z]+\))*", pattern).group(0)
     rest = pattern[len(flags):]
     if re.search(r"\(\?[a-zA-Z]*-?[a-zA-Z]+\)", rest):
         return None  # a flag set half-way would end with the group around it
-    depth, start, end, in_class, i = 0, -1, -1, False, 0
+    openings: list[tuple[int, str]] = []  # groups open at this place: where, and the text that opens them
+    around, start, end, in_class, i = None, -1, -1, False, 0
+    ends: list[int] = []  # where the groups around group 1 close, inner ones first
+    bars: list[int] = []  # levels still open that have had alternatives before group 1
     while i < len(rest):
         ch = rest[i]
         if ch == "\\":
@@ -170,41 +179,81 @@ def _around_group1(pattern: str) -> tuple[str, str, str, str] | None:
         elif ch == "[":
             in_class = True
         elif ch == "(":
-            if start < 0 and (rest[i + 1 : i + 2] != "?" or re.match(r"\(\?P?<(?![=!])", rest[i:])):
-                if depth or rest[i + 1 : i + 2] == "?":
+            opening = re.match(r"\((\?(?:P?<(?![=!])[^>]*>|[a-zA-Z-]*:|[=!>]|<[=!]))?", rest[i:]).group(0)
+            captures = opening == "(" or re.match(r"\(\?P?<(?![=!])", opening)
+            if captures and start < 0:
+                if opening != "(" or any(not o.endswith(":") for _, o in openings) or bars:
                     return None
-                start = i
-            depth += 1
+                start, around = i, list(openings)
+            openings.append((i, opening))
+            i += len(opening)
+            continue
         elif ch == ")":
-            depth -= 1
-            if depth == 0 and start >= 0 and end < 0:
+            if not openings:
+                return None
+            at, _ = openings.pop()
+            if at == start:
                 end = i
-        elif ch == "|" and depth == 0:
-            return None
+            if start >= 0 and (at == start or any(at == o for o, _ in around)):
+                if rest[i + 1 : i + 2] in ("*", "+", "?", "{"):
+                    return None
+                if at != start:
+                    ends.append(i)
+            bars = [level for level in bars if level <= len(openings)]
+        elif ch == "|":
+            if start < 0:
+                bars.append(len(openings))
+            elif end < 0 and len(openings) > len(around) or end >= 0 and len(openings) > len(around) - len(ends):
+                pass  # inside group 1, or in a group beside it
+            else:
+                return None
         i += 1
-    if end < 0 or rest[end + 1 : end + 2] in ("*", "+", "?", "{"):
+    if end < 0:
         return None
-    return flags, rest[:start], rest[start + 1 : end], rest[end + 1 :]
+    out, at = flags, 0
+    for where, opening in around:
+        out += f"({rest[at:where]}){opening}"
+        at = where + len(opening)
+    out += f"({rest[at:start]})({rest[start + 1 : end]})"
+    at = end + 1
+    for where in ends:
+        out += f"({rest[at:where]}))"
+        at = where + 1
+    return out + f"({rest[at:]})", len(around) + 1, capture_groups(f"({rest[start + 1 : end]})"), [capture_groups(f"({p})") for p in _tails(rest, end, ends)]
+
+
+def _tails(rest: str, end: int, ends: list[int]) -> list[str]:
+    """The texts that follow group 1, one per level."""
+    cuts = [end, *ends, len(rest)]
+    return [rest[a + 1 : b] for a, b in zip(cuts, cuts[1:])]
 
 
 def replace_group1(c: Column | str, pattern: str, repl: str) -> Column:
-    """Put ``repl`` in place of group 1 of every match; NULL where nothing matches.
+    """Put ``repl`` in place of group 1 of every match; NULL where nothing matches, or where a match has no group 1.
 
-    A pattern whose group 1 stands at the top level is rewritten to three groups and stays in
-    the JVM; any other pattern goes through an Arrow-batched helper that cuts at match spans.
+    A pattern in which every match has its group 1 is rewritten to capture what stands around it and stays in
+    the JVM. Others, where group 1 is optional or one of several alternatives, go through an Arrow-batched helper that cuts at match
+    spans; their syntax must be valid in both dialects, which is checked here.
     """
     _require_group(pattern)
     col = as_col(c)
     parts = _around_group1(pattern)
     if parts is None:
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            raise ValueError(f"pattern {pattern!r} has an optional or alternative group 1 and cannot be cut outside the JVM: {e}") from e
         return _replace_spans(pattern, repl)(col)
-    flags, before, inside, after = parts
-    last = 2 + capture_groups(f"({inside})")
+    wide, levels, inside, after = parts
+    numbers, at = [], levels + inside + 1
+    for groups in after:
+        numbers.append(at)
+        at += groups
     literal = repl.replace("\\", "\\\\").replace("$", "\\$")
-    changed = F.regexp_replace(
-        col, F.lit(f"{flags}({before})({inside})({after})"), F.lit(f"$1{literal}${last}")
-    )
-    return F.when(col.rlike(pattern), changed)
+    if literal[:1].isdigit():
+        literal = "\\" + literal  # else it could be read as part of the number before it
+    text = "".join(f"${n}" for n in range(1, levels + 1)) + literal + "".join(f"${n}" for n in numbers)
+    return F.when(col.rlike(pattern), F.regexp_replace(col, F.lit(wide), F.lit(text)))
 
 
 def _replace_spans(pattern: str, repl: str):
@@ -217,11 +266,13 @@ def _replace_spans(pattern: str, repl: str):
         def one(text):
             if text is None:
                 return None
-            out, at = [], 0
+            out, at, matched = [], 0, False
             for match in compiled.finditer(text):
+                if match.start(1) < 0:
+                    return None
                 out += [text[at : match.start(1)], repl]
-                at = match.end(1)
-            return "".join(out) + text[at:] if at else None
+                at, matched = match.end(1), True
+            return "".join(out) + text[at:] if matched else None
 
         return values.map(one)
 

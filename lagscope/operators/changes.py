@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lagscope.operators.ordered import number_by_position
 from lagscope.operators.rollups import bucket_agg, explode_range
+from lagscope.sources.changes import log_number
 
 INSERT, UPDATE, DELETE = "I", "U", "D"
 MARK_SCHEMA = "retl"  # fixed value: the schema of that table
@@ -15,8 +16,13 @@ MARK_TABLE = "retl_mark"  # fixed value: the table whose rows mark a synchronise
 
 
 def transaction_summary(changes: DataFrame, txn: str = "gtid", pos: str = "pos", kind: str = "kind") -> DataFrame:
-    """One row per transaction: changes, first and last position, and whether its end was seen."""
+    """One row per transaction: changes, first and last position, and whether its end was seen.
+
+    With ``file`` in an envelope also the log file; a transaction never spans two.
+    """
+    file = [F.max("file").alias("file")] if "file" in changes.columns else []
     return changes.filter(F.col(txn).isNotNull()).groupBy(txn).agg(
+        *file,
         F.count_if(F.col(kind) == "row").alias("changes"),
         F.min(pos).alias("first_pos"),
         F.max(pos).alias("last_pos"),
@@ -38,7 +44,7 @@ def group_transactions(changes: DataFrame, cols=None, txn: str = "gtid", pos: st
     A transaction of usual size is one row with ``chunk`` 0. A larger one continues in chunks 1,
     2, …, so no task ever holds more than one chunk; nothing is dropped.
     """
-    cols = list(cols) if cols is not None else [c for c in changes.columns if c not in (txn, kind)]
+    cols = list(cols) if cols is not None else [c for c in changes.columns if c not in (txn, kind, "file", "reject")]
     cols = [pos, *[c for c in cols if c != pos]]
     rows = transaction_rows(changes, txn, pos, kind, "_seq")
     rows = rows.withColumn("chunk", F.floor((F.col("_seq") - 1) / chunk_rows).cast("long"))
@@ -81,8 +87,11 @@ def drop_looped(changes: DataFrame, channel_id, txn: str = "gtid", table: str =
 def rows_of(changes: DataFrame, schema: T.StructType, keys, extra=("op", "pos", "gtid", "ts")) -> DataFrame:
     """Row events of an envelope as typed columns; a deleted row keeps its key from ``before``.
 
-    An update that changes the key is two rows: a delete of the old key, then the update of the new one.
+    An update that changes the key is two rows: a delete of the old key, then the update of the new one. ``log`` in ``extra``
+    is the number of the log file: with it, order by ``["log", "pos"]`` wherever changes come from more than one file.
     """
+    if "log" in extra and "log" not in changes.columns:
+        changes = changes.withColumn("log", log_number("file"))
 
     def image(gone: bool) -> list:
         side = F.col("before") if gone else F.col("after")
@@ -117,7 +126,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, keys, order, op: str = "o
     """The table after the changes: the last change per key wins, a delete removes the row.
 
     Only the last change per key meets ``base``. If those fit the broadcast limit, ``base`` is
-    not shuffled at all.
+    not shuffled at all; the keys to take out of it are aggregated alone, without the rows.
     """
     keys = list(keys)
     last = latest_changes(changes, keys, order, op)

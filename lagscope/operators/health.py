@@ -17,7 +17,7 @@ ERRTEXT = "(Last_Error = %s)"
 IO_STOPPED = "I/O thread for reading the master's binary log is not running (Slave_IO_Running)"
 SQL_STOPPED = "SQL thread for executing events in the relay log is not running (Slave_SQL_Running)"
 LAG_NULL = "The Slave is reporting 'NULL' (Seconds_Behind_Master)"
-LAG_HIGH = "The Slave is at least 60 seconds behind the master (Seconds_Behind_Master)"
+LAG_HIGH = "The Slave is at least %s seconds behind the master (Seconds_Behind_Master)"
 
 # Fields of one cluster status row, in display order.
 STATUS_FIELDS = {
@@ -62,7 +62,7 @@ def replication_errors(status: DataFrame, max_lag: float = 60, lexical_lag: bool
         F.when(errno != "0", F.format_string(ERRTEXT, first_word)),
         F.when(_text("Slave_IO_Running") != "Yes", F.lit(IO_STOPPED)),
         F.when(_text("Slave_SQL_Running") != "Yes", F.lit(SQL_STOPPED)),
-        F.when(lag_null, F.lit(LAG_NULL)).when(high, F.lit(LAG_HIGH)),
+        F.when(lag_null, F.lit(LAG_NULL)).when(high, F.lit(LAG_HIGH % f"{max_lag:g}")),
     ]
     out = status.withColumn("errors", F.array_compact(F.array(*checks)))
     return out.withColumns({"n_errors": F.size("errors"), "ok": F.size("errors") == 0})
@@ -78,7 +78,7 @@ def is_healthy() -> Column:
 
 
 def cluster_status(status: DataFrame) -> DataFrame:
-    """One text block per bad node, ordered by address; the single row ``OK`` if there is none."""
+    """One text block per bad node; the single row ``OK`` if there is none. Looking for the first bad node stops each task there."""
     bad = status.filter(~is_healthy()).select(
         "address",
         F.format_string(
@@ -86,17 +86,17 @@ def cluster_status(status: DataFrame) -> DataFrame:
             F.col("address"), _text("Slave_IO_Running"), _text("Slave_SQL_Running"), _text("Last_IO_Error"),
         ).alias("problem"),
     )
-    fine = bad.agg(F.count("*").alias("n")).filter("n = 0").select(
+    fine = status.filter(~is_healthy()).limit(1).agg(F.count("*").alias("n")).filter("n = 0").select(
         F.lit(None).cast("string").alias("address"), F.lit("OK").alias("problem")
     )
-    return bad.unionByName(fine).orderBy("address")
+    return bad.unionByName(fine)
 
 
 def health_report(status: DataFrame, fmt: str = "") -> DataFrame:
     """Cluster status as ``json`` (one record per node), ``table`` or, by default, problem text."""
     record = [_text(c).alias(n) for n, c in STATUS_FIELDS.items()]
     if fmt == "json":
-        return status.select("address", json_of(F.struct(*record)).alias("json")).orderBy("address")
+        return status.select("address", json_of(F.struct(*record)).alias("json"))
     if fmt == "table":
         rows = number_rows(status.select(*record), ["Address", *[n for n in STATUS_FIELDS if n != "Address"]], name="#")
         return rows.select("#", *[F.col(n).alias(camel_name_to_words(n)) for n in STATUS_FIELDS])

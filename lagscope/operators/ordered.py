@@ -8,13 +8,11 @@ tasks before them is one small row per task.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagscope.session import shared_folder
+from lagscope.session import temporary_folder
 
 _SPAN = 1_000_000
 _PLACE_BITS = 33  # of monotonically_increasing_id: the task's number above, the place below
@@ -24,41 +22,101 @@ def _names(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def sorted_table(df: DataFrame, order_by, ranges: int | None = None) -> DataFrame:
+def sorted_table(df: DataFrame, order_by, ranges: int | None = None, runs_of=(), marks_of=()) -> DataFrame:
     """The rows sorted and written to the shared folder, with ``_range`` and ``_place`` in it.
 
     The numbers depend on where the sort cut the table, so they are fixed by writing them: every
-    later read, and every retry after a lost executor, sees the same ones.
+    later read, and every retry after a lost executor, sees the same ones. While the sorted rows pass, each is compared
+    with the one above it in its task: with ``runs_of`` it gets ``_nth``, its 1-based place in the run of equal values, and
+    ``_head``, whether that is the task's first run; ``_same_<i>`` says whether column i of ``marks_of`` repeats.
+    The folder is removed when the program ends.
     """
     order_by = _names(order_by)
     ordered = df.orderBy(*order_by)
     if ranges:
         ordered = df.repartitionByRange(ranges, *order_by).sortWithinPartitions(*order_by)
-    path = f"{shared_folder(df.sparkSession, 'sorted')}-{uuid.uuid4().hex}"
-    ordered.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
-    schema = T.StructType([*df.schema.fields, T.StructField("_id", T.LongType())])
-    table = df.sparkSession.read.schema(schema).parquet(path)
+    ordered = ordered.withColumn("_id", F.monotonically_increasing_id())
+    if runs_of or marks_of:
+        ordered = _compared(ordered, list(runs_of), list(marks_of))
+    path = temporary_folder(df.sparkSession, "sorted")
+    ordered.write.parquet(path)
+    table = df.sparkSession.read.schema(ordered.schema).parquet(path)
     place = F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-    return table.select(*df.columns, F.shiftright("_id", _PLACE_BITS).alias("_range"), place.alias("_place"))
+    return table.withColumns({"_range": F.shiftright("_id", _PLACE_BITS), "_place": place}).drop("_id")
+
+
+def _compared(ordered: DataFrame, runs_of: list[str], marks_of: list[str]) -> DataFrame:
+    """Sorted rows with the results of comparing each with the row above it; whole Arrow batches, no shuffle."""
+    texts = {f"_run_{i}": F.col(c).cast("string") for i, c in enumerate(runs_of)}
+    texts |= {f"_mark_{i}": F.col(c).cast("string") for i, c in enumerate(marks_of)}
+    made = [T.StructField("_nth", T.LongType()), T.StructField("_head", T.BooleanType())] if runs_of else []
+    made += [T.StructField(f"_same_{i}", T.BooleanType()) for i in range(len(marks_of))]
+    kept, runs, marks = ordered.columns, [f"_run_{i}" for i in range(len(runs_of))], [f"_mark_{i}" for i in range(len(marks_of))]
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        above: dict[str, pa.Array] = {}  # the last value of each column so far
+        nth, head = 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            equal = {}
+            for name in (*runs, *marks):
+                column = batch.column(name)
+                before = pa.concat_arrays([above.get(name, pa.nulls(1, column.type)), column.slice(0, batch.num_rows - 1)])
+                same = pc.fill_null(pc.equal(column, before), False)
+                if name in runs:
+                    same = pc.or_(same, pc.and_(pc.is_null(column), pc.is_null(before)))
+                equal[name] = np.asarray(same)
+                if name not in above:
+                    equal[name] = np.concatenate([[name in runs], equal[name][1:]])  # the task's first row begins its first run
+                above[name] = column.slice(batch.num_rows - 1, 1)
+            columns = [batch.column(c) for c in kept]
+            if runs:
+                new = ~np.logical_and.reduce([equal[n] for n in runs])
+                rows = np.arange(batch.num_rows)
+                since = np.maximum.accumulate(np.where(new, rows, -1))  # -1: the run that came over from the batch before
+                place = np.where(since < 0, rows + nth, rows - since) + 1
+                columns += [pa.array(place, pa.int64()), pa.array(head & (since < 0))]
+                nth, head = int(place[-1]), bool(head and since[-1] < 0)
+            columns += [pa.array(equal[n]) for n in marks]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(f.name for f in made)])
+
+    return ordered.withColumns(texts).mapInArrow(work, T.StructType([*ordered.schema.fields, *made]))
 
 
 def number_rows(df: DataFrame, order_by, by=(), name: str = "row_number", ranges: int | None = None) -> DataFrame:
-    """1-based row number in ``order_by``, restarting for every ``by``; the order must be total."""
+    """1-based row number in ``order_by``, restarting for every ``by``; the order must be total.
+
+    Rows are numbered inside their sorted task. Only the rows of a task's first run (the whole task without ``by``) lack what
+    came before, which is one number per task.
+    """
     by, order_by = _names(by), _names(order_by)
-    table = sorted_table(df, [*by, *order_by], ranges)
-    sizes = table.groupBy("_range").agg(F.count("*").alias("_size"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
-    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    numbered = table.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_place") + F.col("_before") + 1)
     if not by:
-        return numbered.select(*df.columns, name)
-    # The sort keeps a group together, so its numbers only have to start at 1.
-    firsts = numbered.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min(name).alias("_first"))
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    started = numbered.join(firsts, same)
-    return started.select(*df.columns, (F.col(name) - F.col("_first") + 1).alias(name))
+        table = sorted_table(df, order_by, ranges)
+        sizes = table.groupBy("_range").agg(F.count("*").alias("_size"))
+        earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+        offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+        numbered = table.join(F.broadcast(offsets), "_range")  # two numbers per task
+        return numbered.select(*df.columns, (F.col("_place") + F.col("_before") + 1).alias(name))
+    table = sorted_table(df, [*by, *order_by], ranges, runs_of=by)
+    key = F.struct(*by)
+    ends = table.groupBy("_range").agg(
+        F.min_by(key, "_place").alias("_first"), F.max_by(key, "_place").alias("_last"),
+        F.max_by("_nth", "_place").alias("_tail"), F.bool_and("_head").alias("_single"),
+    )
+    tasks = Window.orderBy("_range")  # one row per task
+    goes_on = F.coalesce(F.col("_first").eqNullSafe(F.lag("_last").over(tasks)), F.lit(False))
+    through = goes_on & F.coalesce(F.lag("_single").over(tasks), F.lit(False))
+    steps = ends.select("_range", F.when(goes_on, F.lag("_tail").over(tasks)).otherwise(0).alias("_step"), (~through).cast("long").alias("_new"))
+    blocks = steps.withColumn("_block", F.sum("_new").over(tasks.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = blocks.select("_range", F.sum("_step").over(within).alias("_before"))
+    numbered = table.join(F.broadcast(offsets), "_range")  # two numbers per task
+    return numbered.select(*df.columns, (F.col("_nth") + F.when(F.col("_head"), F.col("_before")).otherwise(0)).alias(name))
 
 
 def number_by_position(df: DataFrame, pos: str, by, name: str = "seq", span: int = _SPAN, by_has_nulls: bool = True) -> DataFrame:
@@ -83,20 +141,26 @@ def number_by_position(df: DataFrame, pos: str, by, name: str = "seq", span: int
 
 
 def ditto(df: DataFrame, cols, order_by, mark: str = '"', ranges: int | None = None) -> DataFrame:
-    """A non-empty cell equal to the one above it becomes ``mark``; empty text and NULL stay."""
-    table = sorted_table(df, order_by, ranges)
-    cells = F.struct(*[F.col(c) for c in cols])
-    above = F.lag(cells).over(Window.partitionBy("_range").orderBy("_place"))
-    # The first row of a range looks at the last row of the range before: one row per range.
-    last = table.groupBy("_range").agg(F.max_by(cells, "_place").alias("_last"))
-    before = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carry"))
-    rows = table.withColumn("_above", above).join(F.broadcast(before), "_range")
-    rows = rows.withColumn("_above", F.when(F.col("_place") == 0, F.col("_carry")).otherwise(F.col("_above")))
-    shown = {}
-    for c in cols:
-        text = F.col(c).cast("string")
-        shown[c] = F.when((text != "") & (F.col(f"_above.{c}") == F.col(c)), F.lit(mark)).otherwise(text)
-    return rows.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in df.columns])
+    """A non-empty cell equal to the one above it becomes ``mark``; empty text and NULL stay.
+
+    Cells are compared as the sorted rows pass. Only the first row of a task has its upper neighbour in another task; these few rows
+    are put right on their own, the rest is read as it was written.
+    """
+    cols = _names(cols)
+    table = sorted_table(df, order_by, ranges, marks_of=cols)
+
+    def shown(rows: DataFrame, same) -> DataFrame:
+        out = {}
+        for i, c in enumerate(cols):
+            text = F.col(c).cast("string")
+            out[c] = F.when((text != "") & same(i, c), F.lit(mark)).otherwise(text)
+        return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
+
+    inner = shown(table.filter("_place > 0"), lambda i, c: F.col(f"_same_{i}"))
+    last = table.groupBy("_range").agg(F.max_by(F.struct(*cols), "_place").alias("_last"))
+    carry = last.select(F.col("_range").alias("_r"), F.lag("_last").over(Window.orderBy("_range")).alias("_above"))  # one row per task
+    firsts = table.filter("_place = 0").join(carry, F.col("_range") == F.col("_r"), "left")
+    return inner.unionByName(shown(firsts, lambda i, c: F.col(f"_above.{c}").cast("string") == F.col(c).cast("string")))
 
 
 def head(df: DataFrame, n: int, order_by) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
 
@@ -32,15 +33,34 @@ def reconcile_counts(a: DataFrame, b: DataFrame, by=()) -> DataFrame:
     })
 
 
+def _alike(a: DataFrame, b: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides' columns in the wider type that Spark finds for their union."""
+    for c in cols:
+        one, two = a.schema[c].dataType, b.schema[c].dataType
+        if isinstance(one, T.StringType) != isinstance(two, T.StringType):
+            raise ValueError(f"column {c!r} is {one.simpleString()} on one side and {two.simpleString()} on the other")
+    wide = a.select(*cols).unionAll(b.select(*cols)).schema
+    return tuple(df.select(*[F.col(c).cast(wide[c].dataType).alias(c) for c in cols]) for df in (a, b))
+
+
+def _hashable(col: Column, kind: T.DataType) -> Column:
+    """A map as its entries in order, since a map has no hash."""
+    return F.array_sort(F.map_entries(col)) if isinstance(kind, T.MapType) else col
+
+
 def reconcile_rows(a: DataFrame, b: DataFrame, keys, cols=None) -> DataFrame:
     """Keys that are missing on one side or hold other rows: ``only_a``, ``only_b``, ``differs``.
 
+    Columns whose types differ, such as int and bigint or decimals of other scales, are compared in the wider type of both; a
+    text column only compares with a text column.
+
     Rows are compared by a 64-bit hash of the non-key columns and their NULL flags, summed per key
     in two halves, so repeated keys compare as bags of rows.
     """
     keys = list(keys)
     cols = list(cols) if cols is not None else [c for c in a.columns if c not in keys]
-    parts = [F.col(c) for c in cols] + [F.col(c).isNull() for c in cols]
+    a, b = _alike(a, b, [*keys, *cols])
+    parts = [_hashable(F.col(c), a.schema[c].dataType) for c in cols] + [F.col(c).isNull() for c in cols]
     digest = F.xxhash64(*parts) if parts else F.lit(0).cast("long")
     stacked = _stack(a, b, [*[F.col(k) for k in keys], digest.alias("_h")])
     sign = F.col("_a") - F.col("_b")

@@ -190,6 +190,11 @@ def duplicate_identity(df: DataFrame, id_col: str, node_col: str) -> DataFrame:
 
 
 def identity_members(df: DataFrame, id_col: str, node_col: str) -> DataFrame:
-    """One row per (identity, node) of every shared identity."""
-    shared = duplicate_identity(df, id_col, node_col).select(id_col)
-    return df.filter(F.col(id_col).isNotNull()).select(id_col, node_col).distinct().join(shared, id_col, "left_semi")
+    """One row per (identity, node) of every shared identity.
+
+    An identity is shared if its least and greatest node differ, which takes no distinct pairs; those are only made of what is shared.
+    """
+    known = df.filter(F.col(id_col).isNotNull())
+    ends = known.groupBy(id_col).agg(F.min(node_col).alias("_low"), F.max(node_col).alias("_high"))
+    shared = ends.filter("_low <> _high").select(id_col)
+    return known.select(id_col, node_col).join(shared, id_col, "left_semi").distinct()

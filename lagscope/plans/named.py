@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagscope.operators.ordered import preview
+from lagscope.schemas import STAT_COLUMNS, STAT_POSITION
 
 # Fixed value: the check query used when none is given.
 DEFAULT_CHECK = "select current_date()"
 
+
+def _newer(table: str) -> str:
+    """The collector's columns of the rows past a position."""
+    return f"SELECT {', '.join(STAT_COLUMNS[table]).lower()} FROM {table.lower()} WHERE {STAT_POSITION[table].lower()} > :last"
+
+
 # The collectors' and gauges' queries over views named like the tables.
 COLLECT_QUERIES = {
-    "new_delays": "SELECT id, delay_time, pipeline_id, gmt_modified FROM delay_stat WHERE gmt_modified > :last",
-    "new_log_records": "SELECT id, pipeline_id, title, message, gmt_modified FROM log_record WHERE id > :last",
-    "new_throughput": "SELECT id, type, number, size, pipeline_id, start_time, end_time, gmt_modified FROM throughput_stat WHERE gmt_modified > :last",
-    "changed_totals": "SELECT id, insert_count, update_count, delete_count, pipeline_id, gmt_modified FROM table_stat WHERE gmt_modified > :last",
-    "new_history": "SELECT id, insert_count, update_count, delete_count, pipeline_id, start_time, end_time, gmt_modified FROM table_history_stat WHERE gmt_modified > :last",
+    "new_delays": _newer("DELAY_STAT"),
+    "new_log_records": _newer("LOG_RECORD"),
+    "new_throughput": _newer("THROUGHPUT_STAT"),
+    "changed_totals": _newer("TABLE_STAT"),
+    "new_history": _newer("TABLE_HISTORY_STAT"),
     "manager_exception": "SELECT 1 AS count FROM log_record WHERE pipeline_id = '-1' AND gmt_modified BETWEEN :begin AND :end LIMIT 1",
     "history_totals": (
         "SELECT pipeline_id, sum(insert_count) AS insert_count, sum(update_count) AS update_count, "

@@ -58,8 +58,10 @@ SYSTEM_SCHEMAS = ("performance_schema", "information_schema", "mysql", "sys")
 CHANGE_KINDS = ("rotate", "table_changed", "ddl", "row", "xid", "gtid", "pos_synced")
 CHANGE = (
     "kind string, op string, schema string, table string, key string, "
-    "before map<string,string>, after map<string,string>, pos long, gtid string, ts timestamp"
+    "before map<string,string>, after map<string,string>, file string, pos long, next_file string, "
+    "ddl string, force boolean, gtid string, gtid_set string, ts timestamp"
 )
+CHANGE_READ = CHANGE + ", reject string"  # as read: an event that cannot be read is its own text, and nothing else
 
 GAUGE = (
     "ipPort string, keys array<string>, time string, category string, "

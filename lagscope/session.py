@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ def get_session(master: str | None = None, partitions: int | None = None, **extr
 
 
 _local_folders: dict[str, str] = {}
+_temporary: set[str] = set()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -51,6 +54,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for data that is removed when the session's program ends."""
+    path = f"{shared_folder(spark, name)}-{uuid.uuid4().hex}"
+    _temporary.add(path)
+    return path
+
+
+def remove_temporary(spark: SparkSession | None = None) -> None:
+    """Removes all temporary folders; called at exit, or by a long program when it no longer reads from them."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(_temporary):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(hadoop).delete(target, True)
+        _temporary.discard(path)
+
+
+atexit.register(remove_temporary)
+
+
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

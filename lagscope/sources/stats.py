@@ -11,13 +11,21 @@ from lagscope.schemas import STAT_COLUMNS, STAT_TABLES, struct_of
 
 
 def jdbc_options(source: dict, table: str, partition_column: str | None = None) -> dict[str, str]:
-    """Reader options of one table; a split by key needs its bounds and a number of partitions."""
+    """Reader options of one table, read in ranges of its key.
+
+    A table with a key needs ``lowerBound`` (for example the last position), ``upperBound`` and ``numPartitions``; ``"single": True``
+    in the source asks for one connection instead. Zero dates of a MySQL server are NULL.
+    """
     options = {str(k): str(v) for k, v in source.get("options", {}).items()}
     options.setdefault("fetchsize", "10000")
     options["dbtable"] = table
-    bounds = {"lowerBound", "upperBound", "numPartitions"}
-    if partition_column and bounds <= options.keys():
+    if options.get("url", "").startswith("jdbc:mysql:"):
+        options.setdefault("zeroDateTimeBehavior", "CONVERT_TO_NULL")
+    missing = {"lowerBound", "upperBound", "numPartitions"} - options.keys()
+    if partition_column and not missing:
         options["partitionColumn"] = partition_column
+    elif partition_column and not source.get("single"):
+        raise ValueError(f"{table} would be read by one task: give {', '.join(sorted(missing))}, or single=True")
     return options
 
 

@@ -4,25 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagscope.operators.changes import DELETE, latest_changes, transaction_summary
 from lagscope.schemas import CHANGE_KINDS
 
-OPEN = "txn string, changes long, first_pos long, last_pos long, closed boolean, since long"
+OPEN = "txn string, file string, changes long, first_pos long, last_pos long, closed boolean, since long"
 
 
 def handle_changes(changes: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str,
                    available_now: bool = False):
-    """Starts a query that hands the events of each kind in a batch to that kind's function."""
+    """Starts a query that hands the events of each kind in a batch to that kind's function; the batch's source is read once."""
     unknown = set(handlers) - set(CHANGE_KINDS)
     if unknown:
         raise ValueError(f"unknown kinds: {', '.join(sorted(unknown))}")
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        for kind, handler in handlers.items():
-            handler(batch.filter(F.col("kind") == kind), number)
+        batch.persist(StorageLevel.MEMORY_AND_DISK)  # a lost executor's part is read again
+        try:
+            for kind, handler in handlers.items():
+                handler(batch.filter(F.col("kind") == kind), number)
+        finally:
+            batch.unpersist()
 
     writer = changes.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     if available_now:
@@ -76,10 +81,13 @@ def stream_transactions(changes: DataFrame, folder: str, timeout_batches: int |
     def on_batch(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
         events = spark.read.schema(batch.schema).parquet(f"{folder}/events/batch={number}")
-        fresh = transaction_summary(events).select(
-            F.col("gtid").alias("txn"), "changes", "first_pos", "last_pos", "closed", F.lit(number).cast("long").alias("since")
+        summary = transaction_summary(events)
+        file = F.col("file") if "file" in summary.columns else F.lit(None).cast("string")
+        fresh = summary.select(
+            F.col("gtid").alias("txn"), file.alias("file"), "changes", "first_pos", "last_pos", "closed", F.lit(number).cast("long").alias("since")
         )
         merged = held.before(number).unionByName(fresh).groupBy("txn").agg(
+            F.max("file").alias("file"),
             F.sum("changes").alias("changes"),
             F.min("first_pos").alias("first_pos"),
             F.max("last_pos").alias("last_pos"),
@@ -107,7 +115,7 @@ def finished_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Transactions put out so far, each once: parts of one that was put out early are added up."""
     done = spark.read.schema(OPEN).parquet(f"{folder.rstrip('/')}/done")
     return done.groupBy(F.col("txn").alias("gtid")).agg(
-        F.sum("changes").alias("changes"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.max("closed").alias("closed")
+        F.max("file").alias("file"), F.sum("changes").alias("changes"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.max("closed").alias("closed")
     )
 
 

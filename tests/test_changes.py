@@ -10,7 +10,7 @@ import fixtures
 from lagscope.operators import changes as ops
 from lagscope.operators.copying import fan_out_copy
 from lagscope.operators.points import PointSpec, dedupe_points
-from lagscope.schemas import CHANGE, struct_of
+from lagscope.schemas import CHANGE_KINDS, CHANGE_READ, struct_of
 from lagscope.sources import changes as source
 from lagscope.sources.stats import jdbc_options, list_schemas, list_tables, read_stat, read_texts
 from lagscope.streaming import changes as streams
@@ -47,7 +47,7 @@ def write(folder, name, events):
 def test_envelope(spark, tmp_path):
     write(tmp_path / "in", "0.json", EVENTS)
     batch = source.read_changes(spark, str(tmp_path / "in"), streaming=False)
-    assert batch.schema.simpleString() == struct_of(CHANGE).simpleString()
+    assert batch.schema.simpleString() == struct_of(CHANGE_READ).simpleString()
     assert source.of_kind(batch, "row").count() == 5 and source.of_kind(batch, "xid").count() == 2
     with pytest.raises(ValueError):
         source.of_kind(batch, "other")
@@ -310,7 +310,11 @@ def test_sources(spark, tmp_path):
     jdbc = {"format": "jdbc", "options": {"url": "jdbc:mysql://h/db", "lowerBound": 0, "upperBound": 100, "numPartitions": 4}}
     options = jdbc_options(jdbc, "DELAY_STAT", "ID")
     assert options["partitionColumn"] == "ID" and options["numPartitions"] == "4" and options["dbtable"] == "DELAY_STAT"
-    assert "partitionColumn" not in jdbc_options({"options": {"url": "u"}}, "T", "ID")
+    assert options["zeroDateTimeBehavior"] == "CONVERT_TO_NULL"
+    with pytest.raises(ValueError, match="one task"):
+        jdbc_options({"options": {"url": "u"}}, "T", "ID")
+    single = jdbc_options({"options": {"url": "u"}, "single": True}, "T", "ID")
+    assert "partitionColumn" not in single and "zeroDateTimeBehavior" not in single
     (tmp_path / "conf").mkdir()
     (tmp_path / "conf" / "a.cnf").write_text("x=1\ny=2\n")
     assert read_texts(spark, str(tmp_path / "conf")).first().text == "x=1\ny=2\n"
@@ -328,3 +332,44 @@ def test_fan_out_copy(spark, tmp_path):
     tables = {"t": spark.range(5), "mysql.help_topic": spark.range(1)}
     written = fan_out_copy(tables, [str(tmp_path / "a"), str(tmp_path / "b")])
     assert list(written) == ["t"] and [spark.read.parquet(p).count() for p in written["t"]] == [5, 5]
+
+
+def test_unreadable_events_are_rejected(spark, tmp_path):
+    lines = ['{"kind":"ddl","file":"bin.000009","pos":4,"ddl":"DROP TABLE t","gtid_set":"s:1-5"}', "{broken", '{"kind":"other"}', '{"pos":"x","kind":"row"}', "[]",
+             '{"kind":"rotate","next_file":"bin.000010","force":true}']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines) + "\n")
+    events = source.read_changes(spark, str(tmp_path / "in"), streaming=False)
+    assert sorted(r.reject for r in events.filter("reject IS NOT NULL").collect()) == sorted(lines[1:5])
+    good = {r.kind: r for r in events.filter("reject IS NULL").collect()}
+    assert (good["ddl"].ddl, good["ddl"].file, good["ddl"].gtid_set) == ("DROP TABLE t", "bin.000009", "s:1-5")
+    assert (good["rotate"].next_file, good["rotate"].force) == ("bin.000010", True)
+    empty = source.decode_changes(spark.createDataFrame([(None,)], "value string")).first()
+    assert empty.reject == "" and empty.kind is None
+    with pytest.raises(Exception, match="unreadable change event"):
+        source.read_changes(spark, str(tmp_path / "in"), streaming=False, strict=True).count()
+
+
+def test_positions_restart_with_every_log_file(spark):
+    rows = [("row", "I", "bin.9", 500, {"id": "1", "name": "old"}), ("row", "U", "bin.10", 4, {"id": "1", "name": "new"})]
+    changes = spark.createDataFrame([(k, o, f, p, None, a) for k, o, f, p, a in rows],
+                                    "kind string, op string, file string, pos long, before map<string,string>, after map<string,string>")
+    typed = ops.rows_of(changes, T.StructType.fromDDL("id int, name string"), ["id"], ("op", "log", "pos"))
+    base = spark.createDataFrame([(1, "base"), (2, "b")], "id int, name string")
+    assert sorted(tuple(r) for r in ops.apply_changes(base, typed, ["id"], ["log", "pos"]).collect()) == [(1, "new"), (2, "b")]
+
+
+def test_handlers_of_all_kinds_read_the_source_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    spark.range(70).selectExpr("id", f"element_at(array({', '.join(repr(k) for k in CHANGE_KINDS)}), cast(id % 7 AS INT) + 1) AS kind").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, kind string").parquet(str(tmp_path / "in")).mapInArrow(count, "id long, kind string")
+    seen = {}
+    handlers = {k: (lambda batch, number, k=k: seen.__setitem__(k, batch.count())) for k in CHANGE_KINDS}
+    streams.handle_changes(stream, handlers, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    assert seen == dict.fromkeys(CHANGE_KINDS, 10) and read.value == 70
