@@ -9,7 +9,9 @@ sequence as one shingle if it has fewer words, and empty without words.
 2. Equal sets collapse to one. Equal bands are joined by star edges, whose components are rough clusters.
 3. Inside a rough cluster the collision-corrected Jaccard estimate discards what lies five standard deviations
    below the threshold; the rest is confirmed on full sets. A pair already connected needs no check, so only a
-   spanning forest leaves a task. A cluster beyond a block's size is cut into blocks, each pair of blocks a task.
+   spanning forest leaves a task. A cluster beyond a block's size is cut into blocks. Each block is confirmed together with a few
+   pivots of its cluster, which connects a large group of copies in linear time. What is not yet connected to the
+   cluster's largest part then meets every block; pairs inside that part need no check.
 4. Components of the confirmed links give the result.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing. A row without id takes part, never
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import binary, buckets, column_bytes, components, map_arrow, partitions, saved, sliced
@@ -34,7 +36,7 @@ MANTISSA = 10
 COLLISION = 0.17 / (1 << MANTISSA)  # two independent minima share a register this often
 _FLUSH = 1 << 20
 _PROBES = 64
-_BLOCK_SHINGLES, _BLOCK_SETS = 1 << 20, 512
+_BLOCK_SHINGLES, _BLOCK_SETS, _PIVOTS = 1 << 20, 512, 8
 
 
 def band_rows(threshold: float, miss: float = 1e-5) -> int:
@@ -240,13 +242,13 @@ def links(sets: list[np.ndarray], side: np.ndarray | None, threshold: float) ->
 def _confirm(threshold: float):
     def work(key: tuple, table: pa.Table) -> pa.Table:
         one, two = key[1].as_py(), key[2].as_py()
-        table = table.sort_by([("label", "ascending"), ("digest", "ascending")])
+        table = table.sort_by([("label", "ascending"), ("digest", "ascending"), ("block", "ascending")])
         labels = np.asarray(table.column("label"))
         digest, blobs, block = table.column("digest").to_pylist(), table.column("shingles").to_pylist(), np.asarray(table.column("block"))
         _, at = sliced(labels, labels)
         u, v = [], []
         for s, e in zip(at, at[1:]):
-            rows = [r for r in range(s, e) if r == s or digest[r] != digest[r - 1]]
+            rows = [r for r in range(s, e) if r == s or digest[r] != digest[r - 1] or one != two and block[r] != block[r - 1]]
             for i, j in links([np.frombuffer(blobs[r], U) for r in rows], block[rows] if one != two else None, threshold):
                 u.append(digest[rows[i]])
                 v.append(digest[rows[j]])
@@ -255,6 +257,40 @@ def _confirm(threshold: float):
     return work
 
 
+def _confirmed(own: DataFrame, threshold: float, count: int) -> DataFrame:
+    """Links (u, v) that connect what is linked inside each rough cluster: rows are (label, blocks, block, digest, shingles)."""
+
+    def confirm(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("part", "one", "two").applyInArrow(_confirm(threshold), "u binary, v binary")
+
+    columns = ["part", "one", "two", "label", "digest", "shingles", "block"]
+    zero = F.lit(0)
+    small = own.filter("blocks = 1").select(F.pmod(F.hash("label"), F.lit(4 * count)).cast("long").alias("part"), zero.alias("one"), zero.alias("two"), *columns[3:])
+    # Large clusters: each block with the cluster's pivots.
+    large = own.filter("blocks > 1")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("digest"))
+    chosen = large.select("label", "digest").withColumn("rank", rank).filter(F.col("rank") <= _PIVOTS).select("digest")
+    pivots = large.join(chosen, "digest", "left_semi").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+    first = large.unionByName(pivots).select(F.col("label").alias("part"), F.col("block").alias("one"), F.col("block").alias("two"), *columns[3:])
+    near = saved(confirm(small.unionByName(first)), "links")
+    # What is outside the largest connected part of its cluster meets every block of the cluster.
+    nodes = large.select("label", "digest", (F.octet_length("shingles") / 8).alias("n"))
+    parts = components(near.join(nodes.select(F.col("digest").alias("u")), "u", "left_semi"))
+    placed = nodes.join(parts.withColumnRenamed("label", "own"), F.col("digest") == F.col("node"), "left").select("label", "digest", "n", F.coalesce("own", "digest").alias("own"))
+    sizes = placed.groupBy("label", "own").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+    most = sizes.groupBy("label").agg(F.max_by("own", F.struct("sets", "own")).alias("most"))
+    outer = sizes.join(most, "label").filter("own <> most")
+    cut = F.ceil(F.greatest(F.sum("n") / _BLOCK_SHINGLES, F.sum("sets") / _BLOCK_SETS)).cast("int")
+    rests = outer.groupBy("label").agg(cut.alias("rests"))
+    outside = placed.join(outer.select("label", "own"), ["label", "own"], "left_semi").select("digest")
+    left = large.join(rests, "label")
+    rest = F.pmod(F.xxhash64("digest"), F.col("rests").cast("long")).cast("int")
+    with_rest = left.withColumn("two", F.col("block")).withColumn("rest", F.explode(F.expr("sequence(0, rests - 1)"))).withColumn("side", zero)
+    of_rest = left.join(outside, "digest", "left_semi").withColumn("rest", rest).withColumn("two", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("side", F.lit(1))
+    pairs = with_rest.unionByName(of_rest).select(F.col("label").alias("part"), (-1 - F.col("rest")).alias("one"), "two", "label", "digest", "shingles", F.col("side").alias("block"))
+    return near.unionByName(confirm(pairs))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (its id is the component's)."""
     spark = docs.sparkSession
@@ -276,18 +312,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     members = saved(members.join(size, "label"), "members")
     found = texts.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("text", "label", "blocks", "digest")
-    blocks = map_arrow(found, _members("id", "text", width), "label long, blocks int, digest binary, shingles binary")
-    block = F.pmod(F.hash("digest"), F.col("blocks"))
-    pairs = (
-        blocks.withColumn("block", block)
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select(
-            F.when(F.col("blocks") == 1, F.pmod(F.hash("label"), F.lit(4 * count)).cast("long")).otherwise(F.col("label")).alias("part"),
-            F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "label", "digest", "shingles", "block",
-        )
+    own = saved(
+        map_arrow(found, _members("id", "text", width), "label long, blocks int, digest binary, shingles binary").withColumn("block", F.pmod(F.hash("digest"), F.col("blocks"))),
+        "blocks",
     )
-    confirmed = pairs.groupBy("part", "one", "two").applyInArrow(_confirm(threshold), "u binary, v binary")
-    joined = components(confirmed)
+    joined = components(_confirmed(own, threshold, count))
     labelled = unique.select("digest", "rep").join(joined, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("least"))
     classes = labelled.join(least, "label").select("digest", F.col("least").alias("component_id"))
