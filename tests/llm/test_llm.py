@@ -178,33 +178,6 @@ def test_links_across_blocks(docs, monkeypatch):
     assert sorted(map(tuple, near_dedup.near_duplicates(docs).select("doc_id", "component_id").collect()), key=str) == want
 
 
-def test_large_clusters_with_chains_and_strays(spark, monkeypatch):
-    """Chains that no pivot reaches, strays of a rough cluster, copies: all as if compared pair by pair."""
-    rng = random.Random(5)
-    base = [f"w{i}" for i in range(60)]
-    rows, at = [], list(base)
-    for i in range(60):  # each text is near its neighbours only
-        at[rng.randrange(60)] = f"x{i}"
-        rows.append((i, " ".join(at)))
-    rows += [(100 + i, " ".join([*base[:30 + i], *[f"y{i}{k}" for k in range(30 - i)]])) for i in range(0, 30, 2)]
-    rows += [(200 + i, rows[i][1]) for i in range(0, 60, 7)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = [shingles(t) for _, t in rows]
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                label = [label[j] if x == label[i] else x for x in label]
-    least = {x: min(r[0] for r, y in zip(rows, label) if y == x) for x in label}
-    want = {r[0]: least[x] for r, x in zip(rows, label)}
-    assert 1 < len(set(want.values())) < len(rows)
-    monkeypatch.setattr(near_dedup, "_BLOCK_SETS", 4)
-    monkeypatch.setattr(near_dedup, "_PIVOTS", 2)
-    # one row per band: every rough cluster takes in whatever shares a register
-    monkeypatch.setattr(near_dedup, "band_rows", lambda threshold: 1)
-    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table).collect()} == want
-
-
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
