@@ -307,7 +307,9 @@ def repeated_paths(docs: DataFrame, id_col: str, text_col: str, width: int) -> D
         F.coalesce("doc", "copy").alias("doc"), "anchors", F.col("c.original").alias("original"), F.col("c.digest").alias("digest")
     )
     same = F.md5("text") == F.col("digest")
-    found = texts.join(wanted.hint("merge"), F.col("id") == F.col("doc")).select("id", "text", "anchors", F.when(same, F.col("original")).alias("original"))
+    # An outer join with a null-safe filter keeps the texts' side as remove_repeats joins it, so that their shuffle is shared.
+    found = texts.join(wanted.hint("merge"), F.col("id") == F.col("doc"), "left").filter(F.col("id").eqNullSafe(F.col("doc")))
+    found = found.select("id", "text", "anchors", F.when(same, F.col("original")).alias("original"))
     edges = map_arrow(found, _send_edges(count, width), _EDGES)
     later = edges.groupBy("bucket").applyInArrow(_later_spans(count), _EDGES)
     return later.groupBy("bucket").applyInArrow(_document_spans, "doc long, at binary, n binary, one binary, source binary, source_at binary")
@@ -320,10 +322,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     made = ["n_words", "n_removed", "kept", "spans"]
     own = [c for c in docs.columns if c not in made] if keep_columns else [id_col]
-    row = F.struct(*[F.col(f"`{c}`") for c in own])
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
+    id_type = docs.schema[id_col].dataType
+    # Columns travel under their place; the id and the text travel once if the cast gives them back.
+    place = {c: f"_{k}" for k, c in enumerate(own)}
+    if isinstance(id_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        place |= {id_col: "id"} if id_col in place else {}
+    if docs.schema[text_col].dataType == T.StringType() and text_col in place and text_col != id_col:
+        place[text_col] = "text"
+    carried = [F.col(f"`{c}`").alias(p) for c, p in place.items() if p not in ("id", "text")]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carried)
     later = repeated_paths(docs, id_col, text_col, width)
-    rows = texts.join(later.hint("merge"), F.col("id") == F.col("doc"), "left").select("row", "text", "at", "n", "one", "source", "source_at")
+    row = F.struct(*[(F.col(p).cast(id_type) if p == "id" else F.col(p)).alias(c) for c, p in place.items()])
+    rows = texts.join(later.hint("merge"), F.col("id") == F.col("doc"), "left").select(row.alias("row"), "text", "at", "n", "one", "source", "source_at")
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType)])
     for name, kind in zip(made, ("long", "long", "string", SPANS)):
         schema = schema.add(name, T.DataType.fromDDL(kind))
