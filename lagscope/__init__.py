@@ -31,9 +31,12 @@ from lagscope.sources.stats import (
     gen_rows, list_schemas, list_tables, read_node_status, read_stat, read_table, read_texts, read_variables,
 )
 from lagscope.streaming.changes import (
-    compact_table, current_table, finished_transactions, handle_changes, stream_table, stream_transactions,
+    compact_table, compact_transactions, current_table, finished_transactions, handle_changes, stream_table, stream_transactions,
+    transaction_events,
+)
+from lagscope.streaming.collector import (
+    Source, capture_changes, collect_once, collected_points, fold_points, latest_state, run_collect, stream_points,
 )
-from lagscope.streaming.collector import Source, capture_changes, collect_once, collected_points, latest_state, run_collect, stream_points
 from lagscope.streaming.positions import WatermarkTable
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lagscope.operators.changes import DELETE, latest_changes, transaction_summary
 from lagscope.schemas import CHANGE_KINDS
+from lagscope.streaming.folders import Parts, complete, remove
 
 OPEN = "txn string, file string, changes long, first_pos long, last_pos long, closed boolean, since long"
 
@@ -59,9 +60,7 @@ class _Versions:
 
     def drop(self, number: int) -> None:
         if number >= 0:
-            jvm = self.spark._jvm
-            root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={number}")
-            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
+            remove(self.spark, f"{self.path}/batch={number}")
 
 
 def stream_transactions(changes: DataFrame, folder: str, timeout_batches: int | None = None, available_now: bool = False):
@@ -71,14 +70,16 @@ def stream_transactions(changes: DataFrame, folder: str, timeout_batches: int |
     state does not grow with the size of a transaction. Events are pre-aggregated per transaction
     inside each batch. ``folder``/events gets the batch's events, ``folder``/done the finished
     transactions. Only with ``timeout_batches`` is one whose end has not come by then put out with
-    ``closed = false``; what comes later is added to it by ``finished_transactions``. Every write of a batch replaces that batch's own folder, so a repeated
-    batch changes nothing.
+    ``closed = false``; what comes later is added to it by ``finished_transactions``. Every write of a batch replaces that
+    batch's own folder, so a repeated batch changes nothing. ``compact_transactions`` folds the folders so far.
     """
     spark = changes.sparkSession
     folder = folder.rstrip("/")
     held = _Versions(spark, f"{folder}/open", OPEN)
 
     def on_batch(batch: DataFrame, number: int) -> None:
+        if number == 0 and not Parts(spark, f"{folder}/done", "batch").empty_after("0"):
+            raise ValueError(f"{folder} has the batches of another checkpoint")
         batch.write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
         events = spark.read.schema(batch.schema).parquet(f"{folder}/events/batch={number}")
         summary = transaction_summary(events)
@@ -113,12 +114,23 @@ def stream_transactions(changes: DataFrame, folder: str, timeout_batches: int |
 
 def finished_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Transactions put out so far, each once: parts of one that was put out early are added up."""
-    done = spark.read.schema(OPEN).parquet(f"{folder.rstrip('/')}/done")
+    done = Parts(spark, f"{folder.rstrip('/')}/done", "batch").read(OPEN)
     return done.groupBy(F.col("txn").alias("gtid")).agg(
         F.max("file").alias("file"), F.sum("changes").alias("changes"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.max("closed").alias("closed")
     )
 
 
+def transaction_events(spark: SparkSession, folder: str) -> DataFrame:
+    """All events that ``stream_transactions`` has kept."""
+    return Parts(spark, f"{folder.rstrip('/')}/events", "batch").read()
+
+
+def compact_transactions(spark: SparkSession, folder: str) -> None:
+    """Folds the folders of all batches but the last of ``stream_transactions``; run it while nothing reads them."""
+    Parts(spark, f"{folder.rstrip('/')}/events", "batch").fold()
+    Parts(spark, f"{folder.rstrip('/')}/done", "batch").fold(OPEN)
+
+
 def stream_table(rows: DataFrame, folder: str, keys, order, available_now: bool = False):
     """Starts a query that gathers the last typed change per key of every batch.
 
@@ -135,21 +147,9 @@ def stream_table(rows: DataFrame, folder: str, keys, order, available_now: bool
     return writer.start()
 
 
-def _numbers(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete ``name=number`` folders below a path."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    folders = [s.getPath() for s in fs.listStatus(root) if "=" in s.getPath().getName()]
-    done = [f for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
-    return sorted(int(f.getName().split("=")[1]) for f in done)
-
-
 def _table_state(spark: SparkSession, folder: str, keys, order) -> tuple[DataFrame, int]:
     folder = folder.rstrip("/")
-    states, batches = _numbers(spark, f"{folder}/state"), _numbers(spark, f"{folder}/changes")
+    states, batches = (sorted(map(int, complete(spark, f"{folder}/{a}", b))) for a, b in (("state", "upto"), ("changes", "batch")))
     upto = states[-1] if states else -1
     paths = [f"{folder}/state/upto={upto}"] if states else []
     paths += [f"{folder}/changes/batch={n}" for n in batches if n > upto]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from lagscope.operators.filters import after_id, newer_than
 from lagscope.operators.points import PointSpec, split_rejects, to_line_protocol
 from lagscope.operators.rollups import last_value_by
 from lagscope.session import typed_time
+from lagscope.streaming.folders import Parts
 from lagscope.streaming.positions import START_ID, START_TIME, WatermarkTable
 
 
@@ -39,39 +42,46 @@ def latest_state(states: DataFrame, key: str, ts: str, cols, tie: str | None = N
 
 
 def collect_once(spark: SparkSession, sources: list[Source], positions: WatermarkTable, out: str,
-                 overlap: timedelta | None = None) -> dict[str, object]:
-    """One run over all sources; returns the new positions.
+                 overlap: timedelta | None = None, side_by_side: int = 4) -> dict[str, object]:
+    """One run over all sources, ``side_by_side`` at a time; returns the new positions.
 
     A source is read once: its new rows are encoded and written, and the new position is the
     largest one among the rows just written, so rows that arrive meanwhile wait for the next run.
     A run writes to a folder named after the position it starts from and saves the new positions
     last; a run that died is repeated into the same folder. With ``overlap`` the read starts
-    earlier and ``dedupe_points`` removes what was written before.
+    earlier and ``dedupe_points`` removes what was written before. If a source fails, the others
+    are still collected and their positions saved before its error is raised.
     """
-    moved: dict[str, object] = {}
-    for source in sources:
-        df = source.read(spark)
-        if source.by_id:
-            last = positions.get(source.name, START_ID)
-            fresh, label = after_id(df, source.position, last), str(last)
-        else:
-            last = positions.get(source.name, START_TIME)
-            low = last - overlap if overlap and last != START_TIME else last
-            fresh, label = capture_changes(df, source.position, low), f"{last:%Y%m%dT%H%M%S%f}"
-        folder = f"{_folder(out, source.name)}/from={label}"
-        encoded = _encoded(fresh, source.spec, source.position)
-        encoded.write.mode("overwrite").parquet(folder)
-        # As text in the session's zone: a collected timestamp would be in the driver's.
-        top = spark.read.schema(encoded.schema).parquet(folder).agg(F.max("position").cast("string").alias("top")).first()["top"]
-        if top is not None:
-            top = int(top) if source.by_id else datetime.fromisoformat(top)
-            if top > last:
-                moved[source.name] = top
+    starts = {s.name: positions.get(s.name, START_ID if s.by_id else START_TIME) for s in sources}
+    with ThreadPoolExecutor(max(1, side_by_side)) as pool:
+        runs = {s.name: pool.submit(inheritable_thread_target(spark)(_collect), spark, s, starts[s.name], out, overlap) for s in sources}
+    moved = {name: run.result() for name, run in runs.items() if run.exception() is None and run.result() is not None}
     if moved:
         positions.commit(moved)
+    for run in runs.values():
+        run.result()
     return moved
 
 
+def _collect(spark: SparkSession, source: Source, last, out: str, overlap: timedelta | None):
+    """Writes a source's new points; its new position, None if it did not move."""
+    df = source.read(spark)
+    if source.by_id:
+        fresh, label = after_id(df, source.position, last), str(last)
+    else:
+        low = last - overlap if overlap and last != START_TIME else last
+        fresh, label = capture_changes(df, source.position, low), f"{last:%Y%m%dT%H%M%S%f}"
+    folder = f"{_folder(out, source.name)}/from={label}"
+    encoded = _encoded(fresh, source.spec, source.position)
+    encoded.write.mode("overwrite").parquet(folder)
+    # As text in the session's zone: a collected timestamp would be in the driver's.
+    top = spark.read.schema(encoded.schema).parquet(folder).agg(F.max("position").cast("string").alias("top")).first()["top"]
+    if top is None:
+        return None
+    top = int(top) if source.by_id else datetime.fromisoformat(top)
+    return top if top > last else None
+
+
 def _encoded(rows: DataFrame, spec: PointSpec, position: str) -> DataFrame:
     """Position, line and reject; a rejected row stays readable as JSON, since the position moves past it."""
     row = F.when(F.col("reject").isNotNull(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
@@ -84,10 +94,19 @@ def _folder(out: str, name: str) -> str:
 
 def collected_points(spark: SparkSession, out: str, name: str) -> tuple[DataFrame, DataFrame]:
     """``(lines, rejects)`` of everything collected from a source so far."""
-    lines, rejects = split_rejects(spark.read.parquet(_folder(out, name)).drop("from"))
+    lines, rejects = split_rejects(_runs(spark, out, name).read())
     return lines, rejects.select("position", "reject", "row")
 
 
+def fold_points(spark: SparkSession, out: str, name: str) -> None:
+    """Folds the folders of all runs of a source but the last, which may be repeated; run it while nothing reads them."""
+    _runs(spark, out, name).fold()
+
+
+def _runs(spark: SparkSession, out: str, name: str) -> Parts:
+    return Parts(spark, _folder(out, name), "from", lambda label: (len(label), label))
+
+
 def stream_points(rows: DataFrame, spec: PointSpec, out: str, available_now: bool = False):
     """Starts a query that writes the points of a stream of rows, read back by ``collected_points``.
 

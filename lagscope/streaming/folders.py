@@ -1,0 +1,77 @@
+"""Folders named ``key=value`` below one path, each written whole, and their folding into one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def complete(spark: SparkSession, path: str, key: str) -> list[str]:
+    """Values of the folders ``key=value`` below ``path`` whose success marker exists."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{key}=")]
+    return [f.getName().split("=", 1)[1] for f in found if fs.exists(hadoop_path(f, "_SUCCESS"))]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Parts:
+    """Rows kept in folders ``key=value`` that a writer adds or replaces, the newest last, beside at most one fold.
+
+    ``order`` turns a value into something that grows. A fold ``upto=value`` stands for every folder up to that value;
+    it counts once it is complete, so one that died half-way is written again and reads stay right at every moment.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, order: Callable = int):
+        self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, order
+
+    def _state(self) -> tuple[list[str], list[str]]:
+        folds = sorted(complete(self.spark, self.path, "upto"), key=self.order)
+        values = sorted(complete(self.spark, self.path, self.key), key=self.order)
+        return folds, values
+
+    def _paths(self, folds: list[str], values: list[str]) -> list[str]:
+        later = [v for v in values if not folds or self.order(v) > self.order(folds[-1])]
+        return [f"{self.path}/upto={f}" for f in folds[-1:]] + [f"{self.path}/{self.key}={v}" for v in later]
+
+    def read(self, schema=None) -> DataFrame:
+        """All rows: the newest fold and the folders after it; with a schema, none are an empty table."""
+        paths = self._paths(*self._state())
+        if not paths and schema is not None:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*(paths or [self.path]))
+
+    def empty_after(self, value: str) -> bool:
+        """Whether nothing was written behind ``value``, folded or not."""
+        folds, values = self._state()
+        return not folds and all(self.order(v) <= self.order(value) for v in values)
+
+    def fold(self, schema=None) -> str | None:
+        """Folds all folders but the newest, which its writer may still replace; returns the value reached.
+
+        What a fold stands for is removed after it is complete: do not fold while another job reads.
+        """
+        folds, values = self._state()
+        old = [v for v in values[:-1] if not folds or self.order(v) > self.order(folds[-1])]
+        reached = folds[-1] if folds else None
+        if old:
+            reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+            reader.parquet(*self._paths(folds, old)).write.mode("overwrite").parquet(f"{self.path}/upto={old[-1]}")
+            reached = old[-1]
+        if reached is not None:
+            for fold in folds:
+                if fold != reached:
+                    remove(self.spark, f"{self.path}/upto={fold}")
+            for v in values:
+                if self.order(v) <= self.order(reached):
+                    remove(self.spark, f"{self.path}/{self.key}={v}")
+        return reached

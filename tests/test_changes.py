@@ -14,7 +14,7 @@ from lagscope.schemas import CHANGE_KINDS, CHANGE_READ, struct_of
 from lagscope.sources import changes as source
 from lagscope.sources.stats import jdbc_options, list_schemas, list_tables, read_stat, read_texts
 from lagscope.streaming import changes as streams
-from lagscope.streaming.collector import Source, capture_changes, collect_once, collected_points, latest_state, run_collect, stream_points
+from lagscope.streaming.collector import Source, capture_changes, collect_once, collected_points, fold_points, latest_state, run_collect, stream_points
 from lagscope.streaming.positions import START_ID, START_TIME, WatermarkTable
 
 USER = T.StructType().add("id", "long").add("email", "string").add("age", "integer")
@@ -123,10 +123,26 @@ def test_streamed_transactions(spark, tmp_path):
     _run_in_parts(spark, tmp_path, lambda s: streams.stream_transactions(s, str(tmp_path / "out"), available_now=True))
     got = {r.gtid: (r.changes, r.first_pos, r.last_pos, r.closed) for r in streams.finished_transactions(spark, str(tmp_path / "out")).collect()}
     assert got == {"g1": (2, 1, 4, True), "g2": (2, 7, 9, True)}
+    kept = streams.transaction_events(spark, str(tmp_path / "out"))
+    before = sorted(map(str, kept.collect()))
+    for _ in range(2):  # a second fold has nothing to do
+        streams.compact_transactions(spark, str(tmp_path / "out"))
+        assert sorted(p.name for p in (tmp_path / "out" / "done").glob("*=*")) == ["batch=2", "upto=1"]
+        assert sorted(map(str, streams.transaction_events(spark, str(tmp_path / "out")).collect())) == before
+        folded = {r.gtid: (r.changes, r.first_pos, r.last_pos, r.closed) for r in streams.finished_transactions(spark, str(tmp_path / "out")).collect()}
+        assert folded == got
     still_open = spark.read.parquet(str(tmp_path / "out" / "open" / "batch=2")).collect()
     assert [(r.txn, r.changes) for r in still_open] == [("g3", 1)]
 
 
+def test_streamed_transactions_refuse_another_checkpoint(spark, tmp_path):
+    write(tmp_path / "in", "0.json", EVENTS)
+    (tmp_path / "out" / "done" / "batch=3").mkdir(parents=True)
+    (tmp_path / "out" / "done" / "batch=3" / "_SUCCESS").touch()
+    with pytest.raises(Exception, match="another checkpoint"):
+        streams.stream_transactions(source.read_changes(spark, str(tmp_path / "in")), str(tmp_path / "out"), available_now=True).awaitTermination()
+
+
 def test_streamed_transaction_timeout(spark, tmp_path):
     _run_in_parts(spark, tmp_path, lambda s: streams.stream_transactions(s, str(tmp_path / "out"), timeout_batches=0, available_now=True))
     got = sorted((r.gtid, r.closed) for r in streams.finished_transactions(spark, str(tmp_path / "out")).collect())
@@ -219,6 +235,30 @@ def test_two_runs_equal_one(spark, tmp_path):
     assert run("once", 99) == run("thrice", 3, 7, 99) and len(run("again", 99)) == 12
 
 
+def test_folded_points_equal_all_runs(spark, tmp_path):
+    delays, out = fixtures.delays(spark), str(tmp_path / "out")
+    positions = WatermarkTable(spark, str(tmp_path / "pos"))
+    lines = lambda: sorted(r.line for r in collected_points(spark, out, "delay")[0].collect())
+    for most in (3, 7, 99, 99):
+        collect_once(spark, [_delay_source(delays.filter(F.col("ID") <= most))], positions, out)
+        before = lines()
+        fold_points(spark, out, "delay")
+        assert lines() == before
+    assert len(lines()) == 7 and len(list((tmp_path / "out" / "delay").glob("*=*"))) <= 2
+
+
+def test_a_source_that_fails_leaves_the_others_collected(spark, tmp_path):
+    def broken(_):
+        raise RuntimeError("no such table")
+
+    positions = WatermarkTable(spark, str(tmp_path / "pos"))
+    good = _delay_source(fixtures.delays(spark))
+    with pytest.raises(RuntimeError, match="no such table"):
+        collect_once(spark, [Source("bad", broken, "GMT_MODIFIED", good.spec), good], positions, str(tmp_path / "out"))
+    assert positions.get("delay") == datetime(2020, 4, 20, 4, 20, 11) and positions.get("bad") == START_TIME
+    assert collected_points(spark, str(tmp_path / "out"), "delay")[0].count() == 7
+
+
 def test_run_that_died_repeats_into_the_same_place(spark, tmp_path):
     positions = WatermarkTable(spark, str(tmp_path / "pos"))
     commit, positions.commit = positions.commit, lambda moved: None
