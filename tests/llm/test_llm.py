@@ -237,6 +237,19 @@ def test_repeats_equal_brute_force(docs):
                 assert own[s.start : s.start + s.length] == source[s.source_start : s.source_start + s.length]
 
 
+def test_repeats_keep_columns_as_they_are(spark):
+    """Own columns in order and type, whatever their names; the four results replace columns of the same names."""
+    long = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, long, "a", 1.5, "x"), (2, f"{long} end", None, None, "y"), (None, None, "c", 2.5, "z"), (2, "", "d", 0.0, "v")]
+    table = spark.createDataFrame(rows, "doc int, text string, id string, `at.b` double, kept string")
+    got = repeats.remove_repeats(table, id_col="doc", keep_columns=True)
+    assert got.dtypes[:6] == [("doc", "int"), ("text", "string"), ("id", "string"), ("at.b", "double"), ("n_words", "bigint"), ("n_removed", "bigint")]
+    want = [(1, long, "a", 1.5, 20, 0, long), (2, f"{long} end", None, None, 21, 20, "end"), (None, None, "c", 2.5, 0, 0, ""), (2, "", "d", 0.0, 0, 0, "")]
+    assert Counter(tuple(r)[:7] for r in got.collect()) == Counter(want)
+    text_ids = table.select(F.col("doc").cast("string").alias("doc"), "text")
+    assert sorted((r.doc or "", r.n_removed) for r in repeats.remove_repeats(text_ids, id_col="doc").collect()) == [("", 0), ("1", 0), ("2", 0), ("2", 20)]
+
+
 def test_leaks_equal_brute_force(spark, words):
     pool, rnd = words
     items = [(i, " ".join(f"b{rnd.randrange(300)}" for _ in range(n))) for i, n in enumerate((1, 4, 9, 15, 25, 40))] + [(9, None), (None, "x y"), (10, "")]
