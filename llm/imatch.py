@@ -3,12 +3,16 @@
 Terms are the distinct words (A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``) of a text. The lexicon holds the terms whose share of
 documents lies in a band: ``LEAST`` to ``MOST``, that is an inverse document frequency between two bounds. It is
 counted over all documents. At most ``terms per document / LEAST`` terms can reach the lower bound, however large the
-corpus: that bounds what is broadcast. A text without lexicon terms takes all its terms, one without terms is hashed as it stands.
+corpus: that bounds what is broadcast. The lexicon stands for a text if it holds at least ``CARRIED`` of the text's terms.
+Otherwise all terms do: copies that make up a large share of the rows have most of their terms above the band. A text
+without terms is hashed as it stands.
 
-The fingerprint is 16 hex digits of the sorted lexicon terms, then two digits for each of ``SEEDS`` random subsets of the
-lexicon at each of ``LEVELS`` rates (1/4, 1/16, ...): the hash of the terms in that subset, ``00`` if there are none.
-Two texts agree in a subset that none of their differing terms falls into, so the shares of agreeing and of empty
-subsets at a rate estimate the sizes of difference and union; the likeness is 2 J / (1 + J) of the resulting Jaccard value.
+The fingerprint is 16 hex digits of the sorted terms that stand for the text, two digits that say which (``01``: the lexicon's,
+``00``: all), then two digits for each of ``SEEDS`` random subsets of the lexicon at each of ``LEVELS`` rates (1/4, 1/16, ...): the
+hash of the terms in that subset, ``00`` if there are none; then the same for subsets of all terms. Two texts are compared by the
+lexicon if it stands for both, else both by all their terms. They agree in a subset that none of their differing terms
+falls into, so the shares of agreeing and of empty subsets at a rate estimate the sizes of difference and union; the
+likeness is 2 J / (1 + J) of the resulting Jaccard value.
 
 Nulls: a null text is an empty one. Rows without id come first, equal ids in text order. Repeated rows all come out.
 An empty table gives an empty result. Other columns are not read.
@@ -28,6 +32,7 @@ from llm.common import buckets, column_bytes, map_arrow, partitions
 from llm.kernel import U, chunks, mix, split_words
 
 LEAST, MOST = 0.001, 0.25
+CARRIED = 0.25
 SEEDS, LEVELS = 40, 6
 _FLUSH = 1 << 20
 
@@ -93,14 +98,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST, most:
     return np.sort(np.concatenate([np.zeros(0, U), *(np.frombuffer(r.terms, U) for r in kept.toLocalIterator())]))
 
 
-def fingerprints(texts: pa.Array, known: np.ndarray) -> list[bytes]:
-    """8 bytes of the whole term list and SEEDS * LEVELS bytes of its subsets for each text."""
-    terms, at = distinct_terms(texts)
-    n = len(at) - 1
-    owner = np.repeat(np.arange(n), np.diff(at))
-    inside = known[np.minimum(np.searchsorted(known, terms), len(known) - 1)] == terms if len(known) else np.zeros(len(terms), bool)
-    inside |= (np.bincount(owner[inside], minlength=n) == 0)[owner]
-    terms, owner = terms[inside], owner[inside]
+def _subsets(terms: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """One byte per text, rate and random subset: the hash of the text's terms in it, 0 if there are none."""
     subsets = np.zeros((n, SEEDS, LEVELS), U)
     value = mix(terms, 50)
     for group in range(-(-SEEDS // 4)):  # 16 bits of a hash for each of four subsets
@@ -112,13 +111,26 @@ def fingerprints(texts: pa.Array, known: np.ndarray) -> list[bytes]:
             level = np.minimum((15 - np.floor(np.log2(np.maximum(u[rows], 1))).astype(np.int64)) // 2, LEVELS) - 1
             np.add.at(subsets, (owner[rows], seed, level), value[rows])
     subsets = np.cumsum(subsets[:, :, ::-1], axis=2, dtype=U)[:, :, ::-1]  # a rare level's terms are in every wider one
-    small = np.where(subsets == 0, 0, mix(subsets, 70) % U(255) + U(1)).astype(np.uint8).transpose(0, 2, 1).reshape(n, -1)
+    return np.where(subsets == 0, 0, mix(subsets, 70) % U(255) + U(1)).astype(np.uint8).transpose(0, 2, 1).reshape(n, -1)
+
+
+def fingerprints(texts: pa.Array, known: np.ndarray) -> list[bytes]:
+    """For each text 8 bytes of its whole term list, one that says which terms, SEEDS * LEVELS of the lexicon's subsets and as many of all terms'."""
+    terms, at = distinct_terms(texts)
+    n = len(at) - 1
+    owner = np.repeat(np.arange(n), np.diff(at))
+    inside = known[np.minimum(np.searchsorted(known, terms), len(known) - 1)] == terms if len(known) else np.zeros(len(terms), bool)
+    held = np.bincount(owner[inside], minlength=n)
+    carried = (held > 0) & (held >= CARRIED * np.diff(at))
+    banded, every = _subsets(terms[inside], owner[inside], n), _subsets(terms, owner, n)
+    stands = inside | ~carried[owner]
+    terms, owner = terms[stands], owner[stands]
     bounds = np.searchsorted(owner, np.arange(n + 1))
     raw = texts.fill_null("").to_pylist() if (np.diff(bounds) == 0).any() else None
     out = []
     for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
         whole = terms[a:b].tobytes() if b > a else b"text" + raw[i].encode("utf-8", "surrogatepass")
-        out.append(hashlib.blake2b(whole, digest_size=8).digest() + small[i].tobytes())
+        out.append(hashlib.blake2b(whole, digest_size=8).digest() + bytes([int(carried[i])]) + banded[i].tobytes() + every[i].tobytes())
     return out
 
 
@@ -126,8 +138,10 @@ def likeness(one: bytes, two: bytes) -> float:
     """0 to 1 from two fingerprints: 1 if the whole term lists agree."""
     if one[:8] == two[:8]:
         return 1.0
-    a = np.frombuffer(one, np.uint8, offset=8).reshape(LEVELS, SEEDS)
-    b = np.frombuffer(two, np.uint8, offset=8).reshape(LEVELS, SEEDS)
+    size = SEEDS * LEVELS
+    at = 9 if one[8] and two[8] else 9 + size  # the lexicon speaks for both texts, or all terms do for both
+    a = np.frombuffer(one, np.uint8, size, at).reshape(LEVELS, SEEDS)
+    b = np.frombuffer(two, np.uint8, size, at).reshape(LEVELS, SEEDS)
     same = (a == b).mean(1)
     empty = ((a == 0) & (b == 0)).mean(1)
     level = int(np.argmin(np.abs(empty - 0.4)))  # the rate that tells most about this union

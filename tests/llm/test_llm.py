@@ -151,6 +151,25 @@ def test_fingerprints(spark, docs):
         assert r.edited == texts[a][: len(texts[a]) - cut] + texts[b][:cut]
 
 
+def test_fingerprints_of_a_text_that_holds_a_third_of_the_rows(spark):
+    """Its terms lie above the lexicon's band; a few foreign terms within it must not stand for the edited text."""
+    rnd = random.Random(8)
+    hot = " ".join(f"h{i}" for i in range(120))
+    rows = [(i, hot if i % 3 == 0 else " ".join(f"t{rnd.randrange(900)}" for _ in range(120))) for i in range(600)]
+    rows += [(600 + i, " ".join([*(f"h{k}" for k in range(114)), *(f"n{i}x{k}" for k in range(6))])) for i in range(300)]
+    got = imatch.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    for r in got:
+        own, new = set(texts[r.doc_id].split()), set(r.edited.split())
+        want = 2 * len(own & new) / (len(own) + len(new))
+        if r.doc_id % 3 == 0 or r.doc_id >= 600:
+            assert want > 0.7 and abs(r.near_edited - want) < 0.25, (r.doc_id, want, r.near_edited)
+    near = [r.near_next for r in got if 600 <= r.doc_id < 899]
+    assert min(near) > 0.75 and sum(near) / len(near) > 0.9
+    other = [r.near_next for r in got if r.doc_id < 600 and r.doc_id % 3 == 0]
+    assert max(other) < 0.4
+
+
 def test_near_duplicates_equal_brute_force(docs):
     for threshold in (0.8, 0.85):
         rows = plain(docs)
