@@ -7,6 +7,11 @@ go from the leaves up and from the root down; an element whose marginal is at le
 Both kinds of potentials are smoothed counts over labelled pages. The pages have no labels of their own, so ``label`` marks
 them by markup: inside ``article`` or ``main`` and outside all boilerplate. Up to ``sample`` pages (2,048; smallest hashes) are counted.
 
+Two potentials are fixed. An element of page furniture, by its tag or by a name of ``NAMES``, has ``SEALED`` less log odds of its
+own. It hears nothing from its children, however many they are, and if it is not content, nothing below it is. A name does not
+make furniture of what frames the page: html, body, whatever holds a ``main``, and an outer article with half of the page's
+text with all that holds it.
+
 Text: character references decoded, white space inside a block as one space, blocks joined by one space, in page
 order. Scripts, styles, forms, templates and the head never give text.
 
@@ -31,6 +36,7 @@ from llm.kernel import chunks
 
 SAMPLE = 2048
 _SMOOTH = 0.5
+SEALED = 12.0  # log odds: strong in itself, whatever the sample held
 # Element names of HTML by their role, and words that name page furniture
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -140,12 +146,26 @@ class Page:
             for i in range(n)
         ]
 
+    def furniture(self) -> list[bool]:
+        """Elements of page furniture: by tag, or by name unless they frame the page."""
+        n = len(self.tags)
+        total, frame, outer = list(self.direct), [t in ("#page", "html", "body", "main") for t in self.tags], [True] * n
+        for i in range(n - 1, 0, -1):
+            total[self.parents[i]] += total[i]
+        for i in range(1, n):
+            p = self.parents[i]
+            outer[i] = outer[p] and self.tags[p] not in ("article", "main")
+            frame[i] |= self.tags[i] == "article" and outer[i] and 2 * total[i] >= total[0]
+        for i in range(n - 1, 0, -1):
+            frame[self.parents[i]] |= frame[i]
+        return [self.tags[i] in FURNITURE or bool(self.names[i]) and not frame[i] for i in range(n)]
+
     def labels(self) -> list[int]:
         """1 for elements inside article or main and outside boilerplate; by markup alone."""
-        out, inside, gone = [], [False], [False]
+        out, inside, gone, furniture = [], [False], [False], self.furniture()
         for i, (tag, p) in enumerate(zip(self.tags, self.parents)):
             if i:
-                gone.append(gone[p] or tag in NEVER or tag in FURNITURE or bool(self.names[i]))
+                gone.append(gone[p] or tag in NEVER or furniture[i])
                 inside.append(inside[p] or tag in ("article", "main"))
             out.append(int(inside[i] and not gone[i]))
         return out
@@ -175,38 +195,29 @@ class Model:
         edge = [[tally.get(("edge", str(p), c), 0) + _SMOOTH for c in (0, 1)] for p in (0, 1)]
         # P(child | parent) over P(child): what the parent says beyond the child's prior
         base = [edge[0][c] + edge[1][c] for c in (0, 1)]
-        # nothing below an element of page furniture that is not content is content
-        self.sealed = [[math.log(x) - math.log(base[c] / sum(base)) for c, x in enumerate(row)] for row in ((1 - 1e-9, 1e-9), (0.5, 0.5))]
         self.edge = [[math.log(edge[p][c] / sum(edge[p])) - math.log(base[c] / sum(base)) for c in (0, 1)] for p in (0, 1)]
 
     def marginals(self, page: Page) -> list[float]:
-        """Log odds of content for each element, by sum-product messages up and down the tree."""
-        n, parents = len(page.tags), page.parents
-        own = [self.prior + sum(self.shown.get(f, 0.0) for f in shown) for shown in page.features()]
-        edges = [self.edge] * n  # to the element's children
-        for i in range(n):
-            if page.names[i] or page.tags[i] in FURNITURE:
-                own[i] -= 12.0  # a name of page furniture: strong in itself, whatever the sample held
-                edges[i] = self.sealed
-            elif i:
-                edges[i] = edges[parents[i]]
-        up, message = list(own), [0.0] * n
+        """Log odds of content for each element, by sum-product messages up and down the tree; none go up into page furniture."""
+        n, parents, furniture = len(page.tags), page.parents, page.furniture()
+        own = [self.prior + sum(self.shown.get(f, 0.0) for f in shown) - SEALED * sealed for shown, sealed in zip(page.features(), furniture)]
+        e = self.edge
+        up, message = own, [0.0] * n
         for i in range(n - 1, 0, -1):
-            e = edges[parents[i]]
-            message[i] = _pass(up[i], e[0][0], e[0][1], e[1][0], e[1][1])
-            up[parents[i]] += message[i]
+            if not furniture[parents[i]]:
+                message[i] = _pass(up[i], e[0][0], e[0][1], e[1][0], e[1][1])
+                up[parents[i]] += message[i]
         out = list(up)
         for i in range(1, n):
-            e = edges[parents[i]]
             without = out[parents[i]] - message[i]
             out[i] = up[i] + _pass(without, e[0][0], e[1][0], e[0][1], e[1][1])
         return out
 
     def text(self, page: Page) -> str:
-        odds = self.marginals(page)
+        odds, furniture = self.marginals(page), page.furniture()
         gone = [False] * len(page.tags)
         for i in range(1, len(gone)):
-            gone[i] = gone[page.parents[i]] or page.tags[i] in NEVER or page.tags[i] in FURNITURE and odds[i] < 0
+            gone[i] = gone[page.parents[i]] or page.tags[i] in NEVER or furniture[i] and odds[i] < 0
         blocks = [text if text == " " or (odds[i] >= 0 and not gone[i]) else "" for i, text in page.pieces]
         return " ".join("".join(blocks).split())
 

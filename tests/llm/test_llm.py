@@ -339,6 +339,22 @@ def test_main_text(spark):
     assert got == {i: (t, len(t)) for i, _, t in rows}
 
 
+def test_main_text_drops_furniture_of_any_length(spark):
+    """Comments, sidebars and related boxes within the article, and frames that only carry such a name."""
+    model = main_text.train(spark.read.parquet(f"{SF}/pages.parquet"))
+    body = "<h1>Title</h1>" + "<p>One two three four five six seven eight nine ten.</p>" * 3
+    want = " ".join(["Title", *["One two three four five six seven eight nine ten."] * 3])
+    boxes = ["<section class='comments'>{}</section>", "<aside>{}</aside>", "<div class='related'>{}</div>", "<div class='comments'><div>{}</div></div>", "<nav><ul><li>{}</li></ul></nav>"]
+    for count in (1, 2, 10, 40):
+        filler = "<p>Somebody wrote a longer remark about this text here.</p>" * count
+        for box in boxes:
+            furniture = box.format(filler)
+            assert model.text(main_text.Page(f"<html><body><article>{body}{furniture}</article></body></html>")) == want, (count, box)
+            assert model.text(main_text.Page(f"<html><body><article>{body}</article>{furniture}</body></html>")) == want, (count, box)
+    for page in ("<body class='has-sidebar'><article>{}</article></body>", "<body><div class='with-sidebar'><main>{}</main></div></body>", "<body><div class='with-sidebar'><article class='post'>{}</article></div></body>"):
+        assert model.text(main_text.Page(page.format(body))) == want, page
+
+
 def test_url_rules_and_list(spark):
     rows = [
         (1, "http://Example.NET/en/1?x", "example.net", "/en/1", "example.net/en/", "allow"), (2, "https://a.b.net/", "a.b.net", "/", "net/", "block"),
