@@ -1,15 +1,16 @@
-"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows, then exact edit distance.
+"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows, then exact fitting distance.
 
 Texts and items are lower-cased and read as words: runs of letters, digits and other characters above 127. A document leaks
-an item of m words if some m consecutive words of it lie within floor((1 - similarity) * m) word edits of the item.
+an item of m words if some consecutive words of it, however many, lie within floor((1 - similarity) * m) word edits of the item.
 
 1. At most that many edits leave one run of at least q = ceil((m - edits) / (edits + 1)) words of the item as it is. So the
    candidate windows are those of the item's length whose start lies within the edits of where such a run of q
-   words says; no leak can be elsewhere.
+   words says; no leak can be elsewhere. Windows may reach beyond the text by the edits: pads stand there.
 2. Windows and items walk by the CGK embedding: a random bit per step and symbol says whether the walk moves on, which
    maps edit distance to Hamming distance. Each repetition samples ``SAMPLED`` steps of the walk as a key. The number of
    repetitions follows from the target recall and the agreement expected at the largest distance.
-3. Windows that share a key with an item of their length are confirmed by the exact distance, many pairs at a time.
+3. Where a window shares a key with an item of its length, the item is fitted into the window widened by the edits of both:
+   the exact distance to any words in it, with free ends, many pairs at a time.
 
 The items are collected and sent to every task: the benchmark must be below ``MAX_ITEM_BYTES`` of text, else it is refused.
 
@@ -36,7 +37,10 @@ RECALL = 0.99
 AGREEMENT = 0.5  # share of equal steps expected at the largest distance
 MAX_ITEM_BYTES = 64 << 20
 _BATCH = 1 << 12
+_CELLS = 1 << 19  # words of the texts that are fitted at a time
 _HELD = 1 << 17  # windows of a batch that wait for one another
+_EDIT = 1 << 32
+_SPAN = 1 << 40
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -82,17 +86,19 @@ def keys(symbols: np.ndarray, count: int) -> np.ndarray:
     return key
 
 
-def edit_distance(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Word edit distances of paired rows of equal length."""
-    n, m = one.shape
-    row = np.tile(np.arange(m + 1, dtype=np.int32), (n, 1))
-    steps = np.arange(m + 1, dtype=np.int32)
-    for i in range(m):
+def fit(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fewest word edits between each item and any words of the text beside it, and where these begin and end."""
+    n, width = texts.shape
+    steps = np.arange(width + 1, dtype=np.int64)
+    row = np.tile(steps, (n, 1))  # edits, and in the low bits where the words begin: the earliest of equals
+    for i in range(items.shape[1]):
         new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, :-1] + (two != one[:, i : i + 1]), row[:, 1:] + 1)
-        row = np.minimum.accumulate(new - steps, 1) + steps  # insertions run along the row
-    return row[:, -1]
+        new[:, 0] = row[:, 0] + _EDIT
+        new[:, 1:] = np.minimum(row[:, :-1] + _EDIT * (texts != items[:, i : i + 1]), row[:, 1:] + _EDIT)
+        row = np.minimum.accumulate(new - steps * _EDIT, 1) + steps * _EDIT  # insertions run along the row
+    end = np.argmin(row, 1)
+    best = row[np.arange(n), end]
+    return best // _EDIT, best % _EDIT, end
 
 
 class Items:
@@ -123,10 +129,11 @@ class Items:
             small[(found >> U(48)).astype(np.int64)] = True
             self.runs[q] = (small, found[order], at[order], m[order])
 
-    def windows(self, hashes: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of the windows that may leak an item, by length."""
+    def windows(self, hashes: np.ndarray, first: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Texts and starts of the windows that may leak an item, by length; starts count from the text's first word."""
         stops = np.repeat(first[1:], np.diff(first))
         begins = np.repeat(first[:-1], np.diff(first))
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         out: dict[int, list[np.ndarray]] = {}
         for q, (small, known, offset, length) in self.runs.items():
             found, at, _ = grams(hashes, first, q)
@@ -140,25 +147,48 @@ class Items:
                 edits = self.lengths[m][4]
                 starts = (place[own] - offset[rows[own]])[:, None] + np.arange(-edits, edits + 1)
                 home = np.broadcast_to(place[own][:, None], starts.shape)
-                good = (starts >= begins[home]) & (starts + m <= stops[home])
-                out.setdefault(m, []).append(np.unique(starts[good]))
-        return {m: np.unique(np.concatenate(parts)) for m, parts in out.items()}
-
-    def confirm(self, m: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Rows of ``windows`` that leak, the item's id and the edits."""
+                good = (starts >= begins[home] - edits) & (starts + m <= stops[home] + edits)
+                # one number for text and start: what lies before one text's words is not after another's
+                out.setdefault(m, []).append(np.unique(owner[home[good]] * _SPAN + (starts - begins[home])[good] + _SPAN // 2))
+        both = {m: np.unique(np.concatenate(parts)) for m, parts in out.items()}
+        return {m: (x // _SPAN, x % _SPAN - _SPAN // 2) for m, x in both.items()}
+
+    def confirm(self, m: int, held: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, item's id, edits, start, words) of the leaks in windows (words of texts, their bounds, rows, text and start of each window)."""
         ids, symbols, table, order, edits = self.lengths[m]
-        for s in range(0, len(windows), _BATCH):
-            part = windows[s : s + _BATCH]
-            key, pairs = keys(part, self.repetitions), []
+        hashes = np.concatenate([h for h, *_ in held])
+        shift = np.cumsum([0, *(len(h) for h, *_ in held)])[:-1]
+        begins = np.concatenate([f[:-1][x] + s for (_, f, _, x, _), s in zip(held, shift)])
+        stops = np.concatenate([f[1:][x] + s for (_, f, _, x, _), s in zip(held, shift)])
+        rows, starts = np.concatenate([r for _, _, r, *_ in held]), np.concatenate([s for *_, s in held])
+
+        def words(at: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+            place = (begins[at] + starts)[:, None] + np.arange(width)
+            inside = (place >= begins[at][:, None]) & (place < stops[at][:, None])
+            return np.where(inside, hashes[np.clip(place, 0, len(hashes) - 1)], U(0))
+
+        left, step = 2 * edits, edits + 1
+        width = m + 5 * edits + step - 1  # a leak begins and ends within twice and thrice the edits of each window near its run
+        size = max(1, min(_BATCH, _CELLS // width))
+        for s in range(0, len(rows), _BATCH):
+            at = np.arange(s, min(s + _BATCH, len(rows)))
+            key, pairs = keys(words(at, starts[at], m), self.repetitions), []
             for r in range(self.repetitions):
                 low, high = np.searchsorted(table[:, r], key[:, r]), np.searchsorted(table[:, r], key[:, r], side="right")
-                pairs.append(np.repeat(np.arange(len(part)), high - low) * len(ids) + order[run_indices(low, high - low), r])
+                pairs.append(np.repeat(np.arange(len(at)), high - low) * len(ids) + order[run_indices(low, high - low), r])
             both = np.unique(np.concatenate(pairs))
-            for c in range(0, len(both), _BATCH):
-                row, item = both[c : c + _BATCH] // len(ids), both[c : c + _BATCH] % len(ids)
-                far = edit_distance(part[row], symbols[item])
+            near, item = at[both // len(ids)], both % len(ids)
+            # windows of a text that begin close to each other are fitted once
+            block = starts[near] // step * step
+            _, once = np.unique(np.stack([begins[near], block, item]), axis=1, return_index=True)
+            near, item, block = near[once], item[once], block[once]
+            for c in range(0, len(near), size):
+                own, b, i = near[c : c + size], block[c : c + size] - left, item[c : c + size]
+                far, low, high = fit(symbols[i], words(own, b, width))
+                length = stops[own] - begins[own]
+                low, high = np.clip(b + low, 0, length), np.clip(b + high, 0, length)
                 good = far <= edits
-                yield s + row[good], ids[item[good]], far[good]
+                yield rows[own[good]], ids[i[good]], far[good], low[good], (high - low)[good]
 
 
 def load_items(benchmark: DataFrame, item_col: str, text_col: str, similarity: float, recall: float) -> Items:
@@ -174,7 +204,7 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     similarity: float = 0.8, recall: float = RECALL, keep_columns: bool = False,
 ) -> DataFrame:
-    """Per row: id, n_items, leaks: array of (item_id, edits, start word, n_words), the closest window of each leaked item.
+    """Per row: id, n_items, leaks: array of (item_id, edits, start word, n_words), the closest words to each leaked item.
 
     With ``keep_columns`` the row's own columns come first, and those two replace columns of the same names.
     """
@@ -188,10 +218,9 @@ def find_leaks(
 
         def settle() -> None:
             for m, parts in held.items():
-                rows, starts, windows = (np.concatenate(x) for x in zip(*parts))
-                for at, ids, far in items.confirm(m, windows):
-                    for row, s, i, e in zip(rows[at].tolist(), starts[at].tolist(), ids.tolist(), far.tolist()):
-                        new = (e, s, m)
+                for found in items.confirm(m, parts):
+                    for row, i, e, s, n in zip(*(x.tolist() for x in found)):
+                        new = (e, s, n)
                         if i not in best[row] or new < best[row][i]:
                             best[row][i] = new
             held.clear()
@@ -199,12 +228,14 @@ def find_leaks(
         before = size = 0
         for piece in chunks(part, "text"):
             hashes, first = word_hashes(piece.column("text"))
-            for m, starts in items.windows(hashes, first).items():
+            for m, (texts, starts) in items.windows(hashes, first).items():
                 for s in range(0, len(starts), _HELD):
-                    at = starts[s : s + _HELD]
-                    rows = np.searchsorted(first, at, side="right") - 1
-                    held.setdefault(m, []).append((rows + before, at - first[rows], hashes[at[:, None] + np.arange(m)]))
-                    size += len(at)
+                    at, own = starts[s : s + _HELD], texts[s : s + _HELD]
+                    used = np.unique(own)  # only texts with windows wait
+                    lengths = np.diff(first)[used]
+                    words = hashes[run_indices(first[used], lengths)]
+                    held.setdefault(m, []).append((words, np.concatenate([[0], np.cumsum(lengths)]), own + before, np.searchsorted(used, own), at))
+                    size += len(at) + len(words) // 8
                     if size >= _HELD:
                         settle()
                         size = 0

@@ -297,6 +297,44 @@ def test_leaks_equal_brute_force(spark, words):
     assert found <= want and len(found) >= 0.97 * len(want) and len(want) > 40
 
 
+def test_leaks_with_dropped_and_added_words(spark):
+    """Copies with mixed edits up to the limit, texts shorter than the item, and texts just beyond the limit."""
+    rnd = random.Random(12)
+    items = [(i, [f"b{rnd.randrange(2000)}" for _ in range(n)]) for i, n in enumerate((9, 15, 20, 25, 33, 40, 59))]
+    rows, want = [], set()
+
+    def fitted(words, item):  # free ends in the text
+        row = [0] * (len(words) + 1)
+        for x in item:
+            new = [row[0] + 1]
+            for j, y in enumerate(words, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    for k in range(400):
+        i, item = items[k % len(items)]
+        w, limit = list(item), len(item) // 5
+        for _ in range(limit + (k % 5 == 4) * 2):
+            at, kind = rnd.randrange(len(w)), rnd.randrange(3)
+            w[at : at + (kind != 1)] = ["new"] * (kind != 2)
+        if k % 3:
+            w = [*(f"x{rnd.randrange(500)}" for _ in range(rnd.randrange(20))), *w, *(f"x{rnd.randrange(500)}" for _ in range(rnd.randrange(20)))]
+        rows.append((k, " ".join(w)))
+        want |= {(k, j) for j, b in items if fitted(w, b) <= len(b) // 5}
+    rows += [(1000 + i, " ".join(item[1:])) for i, item in items] + [(2000 + i, " ".join(item[:-1])) for i, item in items]
+    want |= {(1000 + i, i) for i, _ in items} | {(2000 + i, i) for i, _ in items}
+    bench = spark.createDataFrame([(i, " ".join(b)) for i, b in items], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    texts, known = dict(rows), dict(items)
+    for r in got:
+        for x in r.leaks:
+            span = texts[r.doc_id].split()[x.start : x.start + x.n_words]
+            assert len(span) == x.n_words and distance(span, known[x.item_id]) == x.edits
+    found = {(r.doc_id, x.item_id) for r in got for x in r.leaks}
+    assert found <= want and len(found) >= 0.99 * len(want) and 340 < len(want) < 414, (len(found), len(want))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
