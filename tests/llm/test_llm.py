@@ -483,3 +483,66 @@ def test_pipeline_stages(spark):
         docs = out
     assert docs.filter("NOT round_trip").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage drops and cuts what it should, and nothing else."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    quality_stage, near, cut, leaks = [f for _, f in corpus_pipeline.STAGES[:4]]
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "text"), model).collect()}
+    kept = {r.doc_id for r in quality_stage(spark, docs, SF).collect()}
+    assert kept == {i for i, s in scores.items() if s >= 0.7} and 0 < len(kept) < len(scores)
+
+    rnd = random.Random(21)
+    base = [r.text.split()[:150] for r in docs.filter("length(text) > 600").orderBy("doc_id").limit(40).collect()]
+    items = [(r.item_id, re.findall(r"[0-9a-z\x80-\U0010ffff]+", r.text.lower())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = [" ".join(w) for w in base]
+    for k in range(12):
+        near_copy = list(base[k])
+        near_copy[rnd.randrange(len(near_copy))] = "changed"
+        texts.append(" ".join(near_copy))
+        texts.append(" ".join([*base[k + 12][-60:-10], *base[k + 25][:50], f"end{k}"]))
+        leaked = list(items[k % len(items)][1])
+        del leaked[len(leaked) // 2]
+        texts.append(" ".join([*base[k + 20][:30], *leaked, f"tail{k}"]))
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    want = {i for i, x in enumerate(label) if i == x}
+    assert {r.doc_id for r in near(spark, table, SF).collect()} == want and len(want) < len(texts)
+
+    seen, left = {}, {}
+    for i, t in enumerate(texts):
+        w, at = SPACE.findall(t), range(len(SPACE.findall(t)) - 39)
+        keep = [True] * len(w)
+        for k in at:
+            if seen.setdefault(tuple(w[k : k + 40]), i) < i:
+                keep[k : k + 40] = [False] * 40
+        rest = " ".join(x for x, y in zip(w, keep) if y)
+        if all(keep) or rest:
+            left[i] = t if all(keep) else rest
+    got = {r.doc_id: (r.text, r.n_chars) for r in cut(spark, table, SF).collect()}
+    assert got == {i: (t, len(t)) for i, t in left.items()} and left != dict(enumerate(texts))
+
+    few = table.filter("doc_id >= 64 OR doc_id < 4")
+    clean = set()
+    for r in few.collect():
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", r.text.lower())
+        for _, item in items:
+            row = [0] * (len(w) + 1)
+            for x in item:
+                new = [row[0] + 1]
+                for j, y in enumerate(w, 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+                row = new
+            if min(row) <= int(0.2 * len(item) + 1e-9):
+                break
+        else:
+            clean.add(r.doc_id)
+    assert {r.doc_id for r in leaks(spark, few, SF).collect()} == clean and 0 < len(clean) < few.count()
