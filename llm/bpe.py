@@ -3,7 +3,7 @@
 Encoding cuts texts into the vocabulary's pre-tokens by classes of code points, then merges the distinct pre-tokens of
 a batch together: their symbols lie in one flat array, each round finds every pair's rank by binary search over the
 sorted pair keys, merges the lowest rank of each word, and closes the gaps. Seen pre-tokens are kept in a table of
-fixed size per worker, keyed by a 64-bit hash and the length in bytes. Memory follows the chunk and the longest text.
+fixed size per worker, found by a hash and compared by their bytes. Memory follows the chunk and the longest text.
 
 The result equals the tokenizers library's for a byte-level BPE file without normaliser: added tokens are cut out
 first, ids are whole texts', no special tokens are added.
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.kernel import U, Words, buffers, chunks, run_indices
+from llm.common import map_arrow, spare_name
+from llm.kernel import U, Words, buffers, chunks, run_indices, same_bytes
 
 _LETTER, _NUMBER, _BLANK, _OTHER = 0, 1, 2, 3
-_SLOTS = 1 << 20
-_STORE = 1 << 23
+_SLOTS = 1 << 18
+_STORE, _SPELT = 1 << 21, 1 << 22
+_IDS = 1 << 16
 _NONE = np.iinfo(np.int64).max
 # The contractions of the pre-token pattern, and the printable code points that stand for their own byte
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -96,6 +98,17 @@ def token_starts(points: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return start
 
 
+def _distinct(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that stand for all distinct words, and which of them each row is; a word that only shares a hash stands for itself."""
+    _, pick, back = np.unique(hashes, return_index=True, return_inverse=True)
+    alike = sizes == sizes[pick[back]]
+    long = np.flatnonzero(alike & (sizes > 8))
+    alike[long] = same_bytes(raw, starts[long], raw, starts[pick[back[long]]], sizes[long])
+    odd = np.flatnonzero(~alike)
+    back[odd] = len(pick) + np.arange(len(odd))
+    return np.concatenate([pick, odd]), back
+
+
 class Vocabulary:
     """Merge table of a tokenizers file, and the pre-tokens it has already encoded."""
 
@@ -131,6 +144,8 @@ class Vocabulary:
         self.slot_size = np.full(_SLOTS, -1, np.int32)
         self.slot_at = np.zeros(_SLOTS, np.int64)
         self.slot_n = np.zeros(_SLOTS, np.int32)
+        self.slot_word = np.zeros(_SLOTS, np.int64)
+        self.words, self.spelt = np.zeros(1 << 20, np.uint8), 0
         self.store = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
@@ -200,15 +215,17 @@ class Vocabulary:
         hashes, sizes = words.hashes(False), (ends - starts).astype(np.int32)
         slot = (hashes & U(_SLOTS - 1)).astype(np.int64)
         miss = (self.slot_key[slot] != hashes) | (self.slot_size[slot] != sizes)
+        long = np.flatnonzero(~miss & (sizes > 8))  # up to eight bytes, the hash is the word
+        miss[long] = ~same_bytes(raw, starts[long], self.words, self.slot_word[slot[long]], sizes[long].astype(np.int64))
         token_at, token_n = self.slot_at[slot], self.slot_n[slot]
         if miss.any():
             rows = np.flatnonzero(miss)
-            _, pick, back = np.unique(hashes[rows], return_index=True, return_inverse=True)
-            first = rows[pick]
+            first, back = _distinct(raw, starts[rows], sizes[rows].astype(np.int64), hashes[rows])
+            first = rows[first]
             lengths = sizes[first].astype(np.int64)
             data = raw[run_indices(starts[first], lengths)]
             ids, n = self.merge(data, np.concatenate([[0], np.cumsum(lengths)]))
-            if self.used + len(ids) > _STORE:
+            if self.used + len(ids) > _STORE or self.spelt + len(data) > _SPELT:
                 # what this batch found in the store moves to the front of a new one
                 hit = np.flatnonzero(~miss)
                 own = self.store[run_indices(token_at[hit], token_n[hit].astype(np.int64))]
@@ -218,8 +235,12 @@ class Vocabulary:
             base = self._add(ids)
             where = base + np.cumsum(n) - n
             token_at[rows], token_n[rows] = where[back], n[back]
-            self.slot_key[slot[first]], self.slot_size[slot[first]] = hashes[first], sizes[first]
-            self.slot_at[slot[first]], self.slot_n[slot[first]] = where, n
+            if self.spelt + len(data) <= _SPELT:
+                own = slot[first]
+                self.slot_key[own], self.slot_size[own] = hashes[first], sizes[first]
+                self.slot_at[own], self.slot_n[own] = where, n
+                self.slot_word[own] = self.spelt + np.cumsum(lengths) - lengths
+                self._spell(data)
         counts = token_n.astype(np.int64)
         total = np.concatenate([[0], np.cumsum(counts)])
         return self.store[run_indices(token_at, counts)], total[words.first]
@@ -232,6 +253,12 @@ class Vocabulary:
         self.used = base + len(ids)
         return base
 
+    def _spell(self, data: np.ndarray) -> None:
+        if self.spelt + len(data) > len(self.words):
+            self.words = np.concatenate([self.words, np.zeros(max(len(self.words), len(data)), np.uint8)])
+        self.words[self.spelt : self.spelt + len(data)] = data
+        self.spelt += len(data)
+
     def _encode_added(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces, kinds, counts = [], [], []
         for text in texts.to_pylist():
@@ -277,17 +304,29 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     """The rows with ``ids_col`` (array<int>): the ids of the whole text."""
     source = df.drop(ids_col) if ids_col != text_col else df
     kept = [c for c in source.columns if c != ids_col]
-    work_text = source.withColumn("_text", F.col(f"`{text_col}`").cast("string"))
+    text = spare_name(source)
+    work_text = source.withColumn(text, F.col(f"`{text_col}`").cast("string"))
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
         for batch in batches:
-            for part in chunks(batch, "_text"):
-                ids, at = known.encode(part.column("_text"))
+            for part in chunks(batch, text):
+                ids, at = known.encode(part.column(text))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), id_lists(ids, at)], names=[*kept, ids_col])
 
-    return work_text.mapInArrow(work, schema)
+    return map_arrow(work_text, work, schema)
+
+
+def _some_ids(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``_IDS`` ids each."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0)
+    at = np.concatenate([[0], np.cumsum(np.asarray(sizes).astype(np.int64) + 1)])
+    row = 0
+    while row < len(batch):
+        stop = max(row + 1, int(np.searchsorted(at, at[row] + _IDS, side="right")) - 1)
+        yield batch.slice(row, stop - row)
+        row = stop
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -295,14 +334,14 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     source = df.drop(text_col) if text_col != ids_col else df
     kept = [c for c in source.columns if c != text_col]
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField(text_col, T.StringType())])
-    work_ids = source.withColumn("_ids", F.col(f"`{ids_col}`").cast("array<int>"))
+    held = spare_name(source)
+    work_ids = source.withColumn(held, F.col(f"`{ids_col}`").cast("array<int>"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
         for batch in batches:
-            for row in range(0, len(batch), 512):
-                part = batch.slice(row, 512)
-                lists = part.column("_ids")
+            for part in _some_ids(batch, held):
+                lists = part.column(held)
                 sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).astype(np.int64)
                 ids = lists.flatten()
                 valid = np.asarray(pa.compute.fill_null(ids, -1))
@@ -313,4 +352,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
                 texts = pa.array([raw[s:e].decode("utf-8", "replace") for s, e in zip(at.tolist(), at[1:].tolist())], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), texts], names=[*kept, text_col])
 
-    return work_ids.mapInArrow(work, schema)
+    return map_arrow(work_ids, work, schema)

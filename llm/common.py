@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,20 +15,29 @@ from pyspark.sql import functions as F
 from lagscope.session import shared_folder
 
 _saved: set[str] = set()
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's; others give memory back by themselves
+_LARGE = 1 << 20
+FILE_ROWS = 1 << 17
 
 
-def _forget() -> None:
+def folders() -> set[str]:
+    """The folders of this module that exist now."""
+    return set(_saved)
+
+
+def forget(paths: set[str] | None = None) -> None:
+    """Deletes these folders, or all: what was read from them must have been written on."""
     spark = SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in list(_saved):
+    for path in list(_saved if paths is None else paths):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(hadoop).delete(target, True)
         _saved.discard(path)
 
 
-atexit.register(_forget)
+atexit.register(forget)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -37,9 +47,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write once below ``spark.checkpoint.dir`` and read back: cuts lineage, survives lost executors, removed at exit."""
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write once below ``spark.checkpoint.dir`` and read back: cuts lineage, survives lost executors, removed at exit.
+
+    ``rows``, if an upper bound is known, keeps a small table in few files.
+    """
     path = new_folder(df.sparkSession, name)
+    if rows is not None and rows // FILE_ROWS + 1 < partitions(df.sparkSession):
+        df = df.coalesce(rows // FILE_ROWS + 1)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -86,14 +101,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable from each node of the undirected ``edges`` (u, v).
 
     Large-star and small-star rounds on distinct edges: each round is a few keyed aggregations and joins, so a
-    node with a third of all edges combines on the map side. Rounds end when no edge changes. Each is checkpointed.
+    node with a third of all edges combines on the map side. Rounds end when no edge changes. Each is written once, and
+    the one before it is deleted.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+    older: set[str] = set()
 
-    def keep(df: DataFrame) -> DataFrame:
-        return df.checkpoint()
+    def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
+        nonlocal older
+        before = folders()
+        out = saved(df, "links", rows)
+        forget(older)
+        older = folders() - before
+        return out
 
     def star(df: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -109,15 +128,49 @@ def components(edges: DataFrame) -> DataFrame:
         return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     current = keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    seen, rows = None, None
     while True:
-        current = keep(star(star(current, True), False))
+        current = keep(star(star(current, True), False), rows)
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
-        seen = mark
+        seen, rows = mark, 3 * mark[0]  # a round adds at most an edge for each it has and one for each of its nodes
     return current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).union(current.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+def spare_name(df: DataFrame) -> str:
+    """A column name that clashes with none of the frame's, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for name in map("_held{}".format, range(len(taken) + 1)) if name not in taken)
+
+
+def release() -> None:
+    """Hands memory that a task no longer needs back to the system: idle Python workers live on beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` that releases what it held at the end of each task."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(held, schema)
+
+
+def group_arrow(df: DataFrame, keys: list[str], work: Callable, schema) -> DataFrame:
+    """``applyInArrow`` on a key and its table that releases what a group held."""
+
+    def held(key: tuple, table: pa.Table) -> pa.Table:
+        out = work(key, table)
+        if table.nbytes > _LARGE:
+            del table
+            release()
+        return out
+
+    return df.groupBy(*keys).applyInArrow(held, schema)

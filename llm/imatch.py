@@ -11,8 +11,8 @@ The fingerprint is 16 hex digits of the sorted terms that stand for the text, tw
 ``00``: all), then two digits for each of ``SEEDS`` random subsets of the lexicon at each of ``LEVELS`` rates (1/4, 1/16, ...): the
 hash of the terms in that subset, ``00`` if there are none; then the same for subsets of all terms. Two texts are compared by the
 lexicon if it stands for both, else both by all their terms. They agree in a subset that none of their differing terms
-falls into, so the shares of agreeing and of empty subsets at a rate estimate the sizes of difference and union; the
-likeness is 2 J / (1 + J) of the resulting Jaccard value.
+falls into, so the shares of agreeing and of empty subsets at a rate estimate the sizes of difference and union. The rates'
+estimates of the Jaccard value count by the inverse of their variance; the likeness is 2 J / (1 + J).
 
 Nulls: a null text is an empty one. Rows without id come first, equal ids in text order. Repeated rows all come out.
 An empty table gives an empty result. Other columns are not read.
@@ -142,15 +142,17 @@ def likeness(one: bytes, two: bytes) -> float:
     at = 9 if one[8] and two[8] else 9 + size  # the lexicon speaks for both texts, or all terms do for both
     a = np.frombuffer(one, np.uint8, size, at).reshape(LEVELS, SEEDS)
     b = np.frombuffer(two, np.uint8, size, at).reshape(LEVELS, SEEDS)
-    same = (a == b).mean(1)
-    empty = ((a == 0) & (b == 0)).mean(1)
-    level = int(np.argmin(np.abs(empty - 0.4)))  # the rate that tells most about this union
-    if same[level] <= empty[level]:
-        return 0.0
-    union = np.log(max(empty[level], 0.5 / SEEDS))
-    if union == 0:
-        return 0.0
-    jaccard = 1 - np.log(same[level]) / union
+    same, empty = (a == b).mean(1), ((a == 0) & (b == 0)).mean(1)
+    told = (empty < 1) & (empty >= 3 / SEEDS)
+    if not told.any():
+        told = np.arange(LEVELS) == np.argmin(np.abs(empty - 0.4))
+    same, empty = same[told], np.clip(empty[told], 0.5 / SEEDS, 1 - 0.5 / SEEDS)
+    same = np.maximum(same, empty)  # below chance is no likeness
+    union, alike = np.log(empty), np.log(same)
+    # each rate's estimate counts by its spread: of both shares, smoothed
+    smooth_same, smooth_empty = (same * SEEDS + 0.5) / (SEEDS + 1), (empty * SEEDS + 0.5) / (SEEDS + 1)
+    spread = (1 - smooth_same) / smooth_same / union**2 + (alike / union**2) ** 2 * (1 - smooth_empty) / smooth_empty
+    jaccard = np.sum((1 - alike / union) / spread) / np.sum(1 / spread)
     return float(min(1.0, max(0.0, 2 * jaccard / (1 + jaccard))))
 
 

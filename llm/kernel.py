@@ -6,15 +6,15 @@ always whole documents), so memory follows the chunk and the longest single docu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 
 # White space of the word pattern [^\x20\x09-\x0D]+
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -22,20 +22,8 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-with np.errstate(over="ignore"):
-    _LOW = np.concatenate([np.ones(1, U), np.cumprod(np.full((1 << 20) - 1, _BASE, U))])
-    _INV_BASE = U(pow(_BASE, -1, 1 << 64))
-    _LOW_INV = np.concatenate([np.ones(1, U), np.cumprod(np.full((1 << 20) - 1, _INV_BASE, U))])
-
-
-def _powers(low: np.ndarray, base: int, index: np.ndarray) -> np.ndarray:
-    """base ** index modulo 2**64 for any index, from a table of the first 2**20 powers."""
-    top = int(index[-1]) >> 20 if len(index) else 0
-    if not top:
-        return low[index]
-    step = pow(base, 1 << 20, 1 << 64)
-    high = np.array([pow(step, k, 1 << 64) for k in range(top + 1)], U)
-    return low[index & 0xFFFFF] * high[index >> 20]
+_LONG = 64
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -54,13 +42,22 @@ class Words(NamedTuple):
     ends: np.ndarray
     first: np.ndarray
 
-    def hashes(self, lower: bool) -> np.ndarray:
+    def hashes(self, lower: bool, seed: int = 0) -> np.ndarray:
+        """A hash per word, eight bytes at a time; words of one size up to eight bytes never share one. Seeds are independent."""
         data = LOWER[self.data] if lower else self.data
-        terms = data.astype(U) + U(1)
-        terms *= _LOW[: len(data)] if len(data) <= len(_LOW) else _powers(_LOW, _BASE, np.arange(len(data)))
-        sums = np.zeros(len(data) + 1, U)
-        np.cumsum(terms, out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * _powers(_LOW_INV, int(_INV_BASE), self.starts))
+        blocks = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+        sizes = self.ends - self.starts
+        out = mix(sizes.astype(U), seed)
+        rows = np.flatnonzero(sizes <= _LONG)
+        at, left = self.starts[rows], sizes[rows]
+        while len(rows):
+            out[rows] = mix(out[rows] ^ (blocks[at] & _MASKS[np.minimum(left, 8)]), seed)
+            more = left > 8
+            rows, at, left = rows[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(sizes > _LONG):
+            word = data[self.starts[i] : self.ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=bytes([seed])).digest(), "little")
+        return out
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +122,14 @@ def run_indices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
+def same_bytes(one: np.ndarray, one_at: np.ndarray, two: np.ndarray, two_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each run of non-zero size in ``one`` has the bytes of the one in ``two``."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    equal = one[run_indices(one_at, sizes)] == two[run_indices(two_at, sizes)]
+    return np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+
+
 def joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The kept words of each document joined by one space: all bytes, and bounds per document."""
     data = words.data.copy()

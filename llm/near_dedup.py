@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import binary, buckets, column_bytes, components, map_arrow, partitions, saved, sliced
+from llm.common import binary, buckets, column_bytes, components, folders, forget, group_arrow, map_arrow, partitions, saved, sliced
 from llm.kernel import U, chunks, grams, mix, split_words
 
 REGISTERS = 252
 MANTISSA = 10
 COLLISION = 0.17 / (1 << MANTISSA)  # two independent minima share a register this often
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
 _PROBES = 64
 _BLOCK_SHINGLES, _BLOCK_SETS = 1 << 20, 512
 
@@ -266,8 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "unique",
     )
+    lasting = folders()
     packed = map_arrow(unique.select("digest", "bands"), _collide(count), "bucket int, keys binary, nodes binary")
-    rough = components(packed.groupBy("bucket").applyInArrow(_edges, "u long, v long"))
+    rough = components(group_arrow(packed, ["bucket"], _edges, "u long, v long"))
 
     nodes = map_arrow(unique.select("digest", "rep", "n"), _nodes, "digest binary, rep long, n long, node long")
     members = nodes.join(rough, "node").select("label", "digest", "rep", "n")
@@ -286,8 +287,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "label", "digest", "shingles", "block",
         )
     )
-    confirmed = pairs.groupBy("part", "one", "two").applyInArrow(_confirm(threshold), "u binary, v binary")
+    confirmed = group_arrow(pairs, ["part", "one", "two"], _confirm(threshold), "u binary, v binary")
+    inner = folders() - lasting
     joined = components(confirmed)
+    forget(inner)
     labelled = unique.select("digest", "rep").join(joined, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("least"))
     classes = labelled.join(least, "label").select("digest", F.col("least").alias("component_id"))

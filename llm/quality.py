@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import map_arrow
+from llm.common import map_arrow, spare_name
 from llm.kernel import IS_SPACE, U, Words, buffers, chunks, mix
 
 BITS = 18
@@ -123,18 +123,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The rows with ``score_col``: the probability of label 1."""
-    kept = [c for c in df.columns if c != score_col]
+    kept = [c for c in df.columns if c.lower() != score_col.lower()]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(score_col, T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
+    held = spare_name(df)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
-            for part in chunks(batch, "_text"):
-                number, value, at = features(part.column("_text"))
+            for part in chunks(batch, held):
+                number, value, at = features(part.column(held))
                 owner = np.repeat(np.arange(len(part)), np.diff(at))
                 dot = np.bincount(owner, value * weights[number], minlength=len(part)) + bias
                 out = 1 / (1 + np.exp(-np.clip(dot, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(out)], names=[*kept, score_col])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(work, schema)
+    texts = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias(held))
+    return map_arrow(texts, work, schema)

@@ -5,7 +5,7 @@ first and its last ``width - 1`` words. A word goes if a window over it also sta
 
 1. A window's anchor is the smallest hash of its short word grams. Equal windows have equal anchors, so windows
    whose anchor occurs in one document only are unique; anchors are about ``2 / (width - 3)`` of the windows.
-2. Windows with a shared anchor become edges (128-bit hash, id, position). Their first occurrence, by id and position, is their source.
+2. Windows with a shared anchor become edges (64 and 32 bits of two independent hashes, id, position). Their first occurrence, by id and position, is their source.
 3. Edges that continue each other in the document and in the source compact into paths: spans with source
    coordinates and the sum of their windows' hashes. A join by id brings them back to their texts, where a span only
    counts if the text's own windows give that sum. Whole copies are spans of their own, found by a text digest.
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.common import buckets, column_bytes, ids_of, map_arrow, partitions, sliced
+from llm.common import buckets, column_bytes, group_arrow, ids_of, map_arrow, partitions, sliced
 from llm.kernel import U, chunks, grams, joined, mix, split_words
 
 _GRAM = 5
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
 _HITS = "bucket int, docs binary, anchors binary"
 # Edges: one and two are a window's hashes. Spans: runs of ``n`` windows, one is the sum of their hashes.
 _NAMES = ["docs", "at", "n", "one", "two", "source", "source_at"]
@@ -132,7 +132,7 @@ def _schema(names: list[str]) -> pa.Schema:
 def _per_document(names: list[str], kinds: list):
     """One row per document of a document bucket, its entries packed."""
 
-    def work(table: pa.Table) -> pa.Table:
+    def work(key: tuple, table: pa.Table) -> pa.Table:
         docs = column_bytes(table.column("docs"), np.int64)
         order = np.argsort(docs, kind="stable")
         owners, at = sliced(docs, docs[order])
@@ -210,7 +210,7 @@ def _send_edges(count: int, width: int):
                     sums = np.concatenate([np.zeros(1, U), np.cumsum(window)])
                     zero, n = np.zeros(len(whole), np.uint32), np.diff(at)[whole].astype(np.uint32)
                     yield from _pack_spans(count, ids[whole], zero, n, (sums[at[1:]] - sums[at[:-1]])[whole], origin[whole], zero)
-                second, _, _ = grams(mix(hashes, 21), words.first, width)
+                second, _, _ = grams(words.hashes(False, 1), words.first, width)
                 hit = _member((anchors >> U(32)).astype(np.uint32), at, part.column("anchors").to_pylist())
                 owner = np.repeat(np.arange(len(ids)), np.diff(at))
                 hit &= ~copied[owner]
@@ -239,7 +239,7 @@ def _later_spans(count: int):
     return work
 
 
-def _document_spans(table: pa.Table) -> pa.Table:
+def _document_spans(key: tuple, table: pa.Table) -> pa.Table:
     """One row per document of a document bucket: its paths, packed."""
     cols = [column_bytes(table.column(c), k) for c, k in zip(_NAMES, _KINDS) if c != "two"]
     docs, *cols = compact(*cols)
@@ -296,8 +296,8 @@ def repeated_paths(docs: DataFrame, id_col: str, text_col: str, width: int) -> D
     count = partitions(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sent = map_arrow(texts, _send_anchors(count, width), _HITS)
-    shared = sent.groupBy("bucket").applyInArrow(_shared_anchors(count), _HITS)
-    hits = shared.groupBy("bucket").applyInArrow(_per_document(["anchors"], [np.uint32]), "doc long, anchors binary")
+    shared = group_arrow(sent, ["bucket"], _shared_anchors(count), _HITS)
+    hits = group_arrow(shared, ["bucket"], _per_document(["anchors"], [np.uint32]), "doc long, anchors binary")
     # Whole copies are settled by a digest; only the smallest id of a text goes on as edges.
     digest = texts.filter("id IS NOT NULL AND text IS NOT NULL").select("id", F.md5("text").alias("digest"))
     groups = digest.groupBy("digest").agg(F.min("id").alias("original"), F.max("id").alias("_last")).filter("original <> _last").drop("_last")
@@ -311,8 +311,8 @@ def repeated_paths(docs: DataFrame, id_col: str, text_col: str, width: int) -> D
     found = texts.join(wanted.hint("merge"), F.col("id") == F.col("doc"), "left").filter(F.col("id").eqNullSafe(F.col("doc")))
     found = found.select("id", "text", "anchors", F.when(same, F.col("original")).alias("original"))
     edges = map_arrow(found, _send_edges(count, width), _EDGES)
-    later = edges.groupBy("bucket").applyInArrow(_later_spans(count), _EDGES)
-    return later.groupBy("bucket").applyInArrow(_document_spans, "doc long, at binary, n binary, one binary, source binary, source_at binary")
+    later = group_arrow(edges, ["bucket"], _later_spans(count), _EDGES)
+    return group_arrow(later, ["bucket"], _document_spans, "doc long, at binary, n binary, one binary, source binary, source_at binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep_columns: bool = False) -> DataFrame:

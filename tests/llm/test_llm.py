@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from llm import bpe, checks, decontaminate, imatch, main_text, near_dedup, quality, repeats, shard_tree, token_files, url_filter
 from llm.common import components, new_folder
+from llm.kernel import Words, split_words
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,6 +103,45 @@ def test_bpe_equals_the_library(spark, docs):
     assert [r.decoded for r in bpe.decode(odd, PATH).collect()] == ["", "", "<|endoftext|>a"]
 
 
+def alike_words(order=10):
+    """Two words of 2**order letters that polynomial hashes modulo 2**64 cannot tell apart, whatever their base."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << order))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_deceive_polynomial_hashes(spark):
+    one, two = alike_words()
+    hashes = split_words(pa.array([f"{one} {two} {one}"])).hashes(False)
+    assert hashes[0] == hashes[2] != hashes[1]
+    library, known = Tokenizer.from_file(PATH), bpe.vocabulary(PATH)
+    for text in (one, two, f"{one} {two}"):
+        ids, _ = known.encode(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    body = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, " ".join([one, *body])), (2, " ".join([two, *body])), (3, " ".join([one] * 6)), (4, " ".join([two] * 6))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs, width=13).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, threshold=0.9).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_cached_words_are_compared_by_their_bytes(monkeypatch):
+    """Hashes of longer words may collide: here all of them do."""
+    monkeypatch.setattr(Words, "hashes", lambda self, lower, seed=0: np.where(self.ends - self.starts > 8, 5, np.arange(len(self.starts))).astype(np.uint64))
+    library, known = Tokenizer.from_file(PATH), bpe.Vocabulary(PATH)
+    for texts in (["unbelievable extraordinary", "extraordinary circumstance"], ["circumstance unbelievable" * 3]):
+        ids, at = known.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_own_columns_survive_whatever_their_names(spark):
+    df = spark.createDataFrame([(1, "hello there", "mine", [1], "b")], "doc_id long, text string, _text string, _ids array<int>, _held0 string")
+    row = bpe.decode(bpe.encode(df, PATH), PATH).first()
+    assert (row._text, row._ids, row._held0, row.decoded) == ("mine", [1], "b", "hello there")
+    model = (np.zeros(1 << quality.BITS, np.float32), 0.0)
+    scored = quality.score(df.withColumn("Score", F.lit("x")), model)
+    assert scored.filter("score >= 0.4").first()._text == "mine" and "Score" not in scored.columns
+
+
 def test_token_files_round_trip(spark, docs):
     folder = new_folder(spark, "test")
     token_files.write_tokens(docs, PATH, folder, shards=3)
