@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import bpe, decontaminate, near_dedup, quality, repeats
-from llm.common import saved
+from llm.common import folders, forget, saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of the shortest passage that counts as repeated.
@@ -68,7 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, older = _table(spark, sf_dir, "documents"), set()
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before = folders()
+        made = stage(spark, docs, sf_dir)
+        scratch = folders() - before
+        docs = saved(made, name)
+        forget(scratch | older)  # the stage's own tables and the table it read
+        older = folders() - before - scratch
     return STAGES[-1][1](spark, docs, sf_dir)
