@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, decontaminate, imatch, main_text, near_dedup, quality, repeats, shard_tree, token_files, url_filter
+from llm import bpe, collocations, decontaminate, imatch, main_text, near_dedup, quality, repeats, shard_tree, token_files, url_filter
 from llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,29 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     pages = read(spark, sf, "pages")
     return main_text.extract(pages, main_text.train(pages))
+
+
+_OP13 = """WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w, len(w) AS k FROM w WHERE len(w) > 0),
+one AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM (SELECT lang, unnest(w) AS w1 FROM g) GROUP BY ALL),
+two AS (SELECT lang, x.a AS w1, x.b AS w2, count(*)::HUGEINT AS f FROM (SELECT lang, unnest(list_transform(range(1, k), lambda i: {'a': w[i], 'b': w[i + 1]})) AS x FROM g WHERE k > 1) GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, x.a AS w1, x.b AS w2, x.c AS w3, count(*)::HUGEINT AS f FROM (SELECT lang, unnest(list_transform(range(1, k - 1), lambda i: {'a': w[i], 'b': w[i + 1], 'c': w[i + 2]})) AS x FROM g WHERE k > 2) GROUP BY ALL HAVING count(*) >= 10),
+inner2 AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY ALL),
+c AS (SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, x.f AS l, y.f AS r, (1000000 * t.f * t.f) // (x.f * y.f) AS score FROM two t
+ JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN one y ON y.lang = t.lang AND y.w1 = t.w2
+ LEFT JOIN inner2 i ON i.lang = t.lang AND i.w1 = t.w1 AND i.w2 = t.w2 WHERE i.f IS NULL OR 100 * i.f < 50 * t.f
+UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM (
+ SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2,
+  (1000000 * t.f * t.f) // (x.f * yz.f) AS s1, (1000000 * t.f * t.f) // (xy.f * z.f) AS s2 FROM three t
+ JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN one z ON z.lang = t.lang AND z.w1 = t.w3
+ JOIN two xy ON xy.lang = t.lang AND xy.w1 = t.w1 AND xy.w2 = t.w2 JOIN two yz ON yz.lang = t.lang AND yz.w1 = t.w2 AND yz.w2 = t.w3)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM c)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM k JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_collocations", _OP13)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf, "documents"))

@@ -63,6 +63,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucket_count(df: DataFrame, size: int = 1 << 23) -> int:
+    """Buckets for packed groups: one for each ``size`` bytes that the planner expects of ``df``, and no fewer than shuffle partitions."""
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = expected < 1 << 60  # else the planner has no idea
+    return max(partitions(df.sparkSession), -(-expected // size) if known else 1)
+
+
 def binary(arrays: list[bytes]) -> pa.Array:
     return pa.array(arrays, pa.binary())
 
