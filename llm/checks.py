@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, collocations, decontaminate, imatch, main_text, near_dedup, quality, repeats, shard_tree, token_files, url_filter
+from llm import bpe, collocations, decontaminate, imatch, main_text, near_dedup, prefix_trie, private_data, quality, repeats, shard_tree, token_files, url_filter
 from llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,37 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, sc
 @query("op13_collocations", _OP13)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(read(spark, sf, "documents"))
+
+
+_OP12 = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv_id, regexp_extract_all(hex(encode(cast(conv_id AS VARCHAR))), '..') AS h FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS lender, ({_crc_sql()}) % 4 AS k FROM i),
+r AS (SELECT c.conv_id, 0 AS part, n, role, text FROM c JOIN t ON t.conv_id = c.lender AND n <= k UNION ALL SELECT c.conv_id, 1, n, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND n > k),
+d AS (SELECT conv_id, text, row_number() OVER w AS depth, string_agg(md5(length(role) || ':' || role || ':' || text), '') OVER w AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, n)),
+a AS (SELECT conv_id, '' AS text, 0 AS depth, '' AS path FROM c UNION ALL SELECT * FROM d),
+m AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ended FROM a),
+x AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\\x20\\x09-\\x0D]+')) AS own,
+ sha256(coalesce(string_agg(cast(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+u AS (SELECT x.*, (SELECT count(*) FROM x y WHERE y.depth = x.depth + 1 AND starts_with(y.path, x.path)) AS n_children FROM x),
+v AS (SELECT u.path, count(*) FILTER (WHERE z.n_children = 0) AS n_leaves, sum(z.own)::BIGINT AS saved_tokens FROM u JOIN u z ON starts_with(z.path, u.path) GROUP BY 1)
+SELECT u.conv_id, u.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, u.n_convs, u.n_children, n_leaves, saved_tokens, u.ends_sha256
+ FROM u JOIN v USING (path) LEFT JOIN x q ON q.depth = u.depth - 1 AND q.path = left(u.path, 32 * (u.depth::INT - 1))"""
+
+
+@query("op12_prefix_trie", _OP12)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf, "conversations"), share=True)
+
+
+@query("op11_private_data")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    found = private_data.find(docs, private_data.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in private_data.KINDS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
