@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from checks.base import CHANGES, ENVELOPE, check, changes, envelope, read
 from lagscope.operators import changes as ops
+from lagscope.operators import gtid
 from lagscope.schemas import CHANGE_KINDS
 from lagscope.session import temporary_folder
 from lagscope.sources import changes as change_source
@@ -177,3 +178,42 @@ def udf3(spark, sf):
     streams.handle_changes(events, {k: save(k) for k in CHANGE_KINDS}, f"{folder}/checkpoint", available_now=True).awaitTermination()
     seen = spark.read.schema("kind string, pos long").option("recursiveFileLookup", "true").parquet(*[f"{folder}/{k}" for k in CHANGE_KINDS])
     return seen.groupBy("kind").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"))
+
+
+# Transaction ids of three sources, and a replica that lacks runs of them and has some of its own.
+_GTIDS = "(SELECT concat('SRC-', cast(event_id % 3 AS VARCHAR(9))) AS source, event_id // 3 + 1 AS n, event_id FROM events)"
+_REPLICA = f"(SELECT * FROM {_GTIDS} WHERE (event_id // 40) % 7 <> 3 AND event_id % 101 <> 5)"
+
+
+def _gtids(spark, sf, replica=False):
+    n = F.col("event_id")
+    rows = read(spark, sf, "events").select(F.concat(F.lit("SRC-"), (n % 3).cast("string"), F.lit(":"), (F.floor(n / 3) + 1).cast("string")).alias("gtid"), "event_id")
+    return rows.filter((F.floor(n / 40) % 7 != 3) & (n % 101 != 5)) if replica else rows
+
+
+def _islands_sql(numbers):
+    return f"""SELECT lower(source) AS source, min(n) AS first, max(n) AS last FROM (SELECT source, n, n - row_number() OVER (PARTITION BY source ORDER BY n) AS g
+ FROM (SELECT DISTINCT source, n FROM {numbers})) GROUP BY source, g"""
+
+
+@check("agg3_gtid_executed", _islands_sql(_REPLICA))
+def gtid_executed(spark, sf):
+    """The executed set of a replica, printed as text and read back."""
+    text = gtid.gtid_text(gtid.executed_intervals(_gtids(spark, sf, replica=True)))
+    return gtid.gtid_intervals(text).filter("reject IS NULL").drop("reject")
+
+
+@check("str8_gtid_missing", _islands_sql(f"(SELECT source, n FROM {_GTIDS} EXCEPT SELECT source, n FROM {_REPLICA})"))
+def gtid_missing(spark, sf):
+    """The transactions that the replica lacks."""
+    return gtid.subtract_intervals(gtid.executed_intervals(_gtids(spark, sf)), gtid.executed_intervals(_gtids(spark, sf, replica=True)))
+
+
+@check("src3_gtid_contained", f"""SELECT a.server, a.lacking = 0 AS contained, a.lacking AS missing FROM (SELECT event_type AS server,
+ count(*) FILTER (WHERE event_id NOT IN (SELECT event_id FROM {_REPLICA})) AS lacking FROM events GROUP BY 1) a""")
+def gtid_contained(spark, sf):
+    """Per server, whether the replica has everything that the server executed."""
+    kinds = read(spark, sf, "events").select("event_id", F.col("event_type").alias("server"))
+    own = gtid.executed_intervals(_gtids(spark, sf).join(kinds, "event_id"), keys=["server"])
+    replica = gtid.executed_intervals(_gtids(spark, sf, replica=True).join(kinds, "event_id"), keys=["server"])
+    return gtid.contains_intervals(replica, own, by=["server"])

@@ -31,11 +31,10 @@ from lagscope.sources.stats import (
     gen_rows, list_schemas, list_tables, read_node_status, read_stat, read_table, read_texts, read_variables,
 )
 from lagscope.streaming.changes import (
-    compact_table, compact_transactions, current_table, finished_transactions, handle_changes, stream_table, stream_transactions,
-    transaction_events,
+    closed_transactions, compact_table, current_table, finished_transactions, handle_changes, open_transactions, stream_table, stream_transactions,
 )
 from lagscope.streaming.collector import (
-    Source, capture_changes, collect_once, collected_points, fold_points, latest_state, run_collect, stream_points,
+    Source, capture_changes, collect_once, collected_points, latest_state, run_collect, stream_points,
 )
 from lagscope.streaming.positions import WatermarkTable
 

@@ -11,8 +11,8 @@ from lagscope.functions.text import is_backup_name
 
 
 def unused(candidates: DataFrame, used: DataFrame, keys) -> DataFrame:
-    """Candidates that are not among the used names."""
-    return candidates.join(used.select(*keys), list(keys), "left_anti")
+    """Candidates that are not among the used names. A name used by a third of the rows is one row per task before it is shuffled."""
+    return candidates.join(used.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def smallest_free_suffix(names: DataFrame, name: str = "name", by=(), stem: str = "_bak") -> DataFrame:

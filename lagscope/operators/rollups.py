@@ -27,8 +27,10 @@ def interval_seconds(interval: str) -> int:
 
 
 def bucket(ts: Column | str, interval: str) -> Column:
-    """Start of the epoch-aligned tumbling bucket."""
-    return F.window(as_col(ts), interval)["start"]
+    """Start of the epoch-aligned tumbling bucket; NULL without a time."""
+    time = as_col(ts)
+    some = F.coalesce(time, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))  # a window drops rows without a time
+    return F.when(time.isNotNull(), F.window(some, interval)["start"])
 
 
 def bucket_agg(df: DataFrame, ts: str, interval: str, aggs: dict[str, Column], by=(), name: str = "bucket") -> DataFrame:

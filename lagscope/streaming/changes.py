@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from lagscope.operators.changes import DELETE, latest_changes, transaction_summary
+from lagscope.operators.changes import DELETE, latest_changes
+from lagscope.operators.rollups import interval_seconds
 from lagscope.schemas import CHANGE_KINDS
-from lagscope.streaming.folders import Parts, complete, remove
 
-OPEN = "txn string, file string, changes long, first_pos long, last_pos long, closed boolean, since long"
+DONE = "gtid string, file string, changes long, first_pos long, last_pos long, closed boolean"
+_OPEN = "file string, changes long, first_pos long, last_pos long"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def handle_changes(changes: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str,
@@ -36,139 +39,164 @@ def handle_changes(changes: DataFrame, handlers: dict[str, Callable[[DataFrame,
     return writer.start()
 
 
-class _Versions:
-    """A table with one version per batch; the version of a repeated batch is written again."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def before(self, number: int) -> DataFrame:
-        path = f"{self.path}/batch={number - 1}"
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if number == 0:
-            return self.spark.createDataFrame([], self.schema)
-        if not fs.exists(root):
-            raise FileNotFoundError(f"{path} is gone: the state of batch {number - 1} is lost")
-        return self.spark.read.schema(self.schema).parquet(path)
+class _Transactions(StatefulProcessor):
+    """A summary per open transaction as keyed state; one that ends, or whose time is over, comes out and is forgotten."""
+
+    def __init__(self, timeout_ms: int | None):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", _OPEN)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        known = self.open.exists()
+        file, changes, first, last = self.open.get() if known else (None, 0, None, None)
+        closed = False
+        for events in rows:
+            names, places = events["file"].dropna(), events["pos"].dropna()
+            file = max(filter(None, (file, names.max() if len(names) else None)), default=None)
+            changes += int((events["kind"] == "row").sum())
+            if len(places):
+                first = min(x for x in (first, int(places.min())) if x is not None)
+                last = max(x for x in (last, int(places.max())) if x is not None)
+            closed = closed or bool((events["kind"] == "xid").any())
+        if closed:
+            self._forget()
+            yield self._row(pd, key, (file, changes, first, last), True)
+            return
+        self.open.update((file, changes, first, last))
+        if self.timeout_ms is not None and not known:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        if self.open.exists():
+            found = self.open.get()
+            self._forget()
+            yield self._row(pd, key, found, False)
+
+    def _forget(self) -> None:
+        self.open.clear()
+        for timer in list(self.handle.listTimers()) if self.timeout_ms is not None else []:
+            self.handle.deleteTimer(timer)
+
+    @staticmethod
+    def _row(pd, key, found, closed: bool):
+        file, changes, first, last = found
+        frame = pd.DataFrame({"gtid": [key[0]], "file": [file], "changes": [changes], "first_pos": [first], "last_pos": [last], "closed": [closed]})
+        return frame.astype({"first_pos": "Int64", "last_pos": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def closed_transactions(changes: DataFrame, timeout: str | None = None) -> DataFrame:
+    """A streaming table of transactions (``DONE``), each put out in the batch in which its end arrives.
+
+    Spark's state store holds a summary per open transaction, not its events, so state does not grow with a transaction's
+    size; a huge one passes its task in Arrow batches. With ``timeout`` (``"10 minutes"`` of processing time since its first
+    event) one whose end has not come is put out with ``closed = false``; what comes later is put out as another part. The session
+    needs the RocksDB state store, which ``stream_transactions`` sets.
+    """
+    file = F.col("file") if "file" in changes.columns else F.lit(None).cast("string")
+    events = changes.filter(F.col("gtid").isNotNull()).select("gtid", file.alias("file"), "kind", F.col("pos").cast("long").alias("pos"))
+    milliseconds = None if timeout is None else interval_seconds(timeout) * 1000
+    return events.groupBy("gtid").transformWithStateInPandas(_Transactions(milliseconds), DONE, "Append", "None" if timeout is None else "ProcessingTime")
 
-    def write(self, df: DataFrame, number: int) -> DataFrame:
-        path = f"{self.path}/batch={number}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(self.schema).parquet(path)
 
-    def drop(self, number: int) -> None:
-        if number >= 0:
-            remove(self.spark, f"{self.path}/batch={number}")
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def stream_transactions(changes: DataFrame, folder: str, timeout_batches: int | None = None, available_now: bool = False):
-    """Starts a query that closes transactions as their end arrives.
+def stream_transactions(changes: DataFrame, folder: str, timeout: str | None = None, available_now: bool = False, trigger: str | None = None):
+    """Starts a query that writes ``closed_transactions`` to ``folder``/done, its state and position to ``folder``/checkpoint.
 
-    Only a summary per open transaction is carried from batch to batch, in ``folder``/open, so
-    state does not grow with the size of a transaction. Events are pre-aggregated per transaction
-    inside each batch. ``folder``/events gets the batch's events, ``folder``/done the finished
-    transactions. Only with ``timeout_batches`` is one whose end has not come by then put out with
-    ``closed = false``; what comes later is added to it by ``finished_transactions``. Every write of a batch replaces that
-    batch's own folder, so a repeated batch changes nothing. ``compact_transactions`` folds the folders so far.
+    A batch is written once, whatever is repeated: Spark's file sink keeps a log. Results without the checkpoint that they belong to are refused.
     """
-    spark = changes.sparkSession
-    folder = folder.rstrip("/")
-    held = _Versions(spark, f"{folder}/open", OPEN)
-
-    def on_batch(batch: DataFrame, number: int) -> None:
-        if number == 0 and not Parts(spark, f"{folder}/done", "batch").empty_after("0"):
-            raise ValueError(f"{folder} has the batches of another checkpoint")
-        batch.write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
-        events = spark.read.schema(batch.schema).parquet(f"{folder}/events/batch={number}")
-        summary = transaction_summary(events)
-        file = F.col("file") if "file" in summary.columns else F.lit(None).cast("string")
-        fresh = summary.select(
-            F.col("gtid").alias("txn"), file.alias("file"), "changes", "first_pos", "last_pos", "closed", F.lit(number).cast("long").alias("since")
-        )
-        merged = held.before(number).unionByName(fresh).groupBy("txn").agg(
-            F.max("file").alias("file"),
-            F.sum("changes").alias("changes"),
-            F.min("first_pos").alias("first_pos"),
-            F.max("last_pos").alias("last_pos"),
-            F.max("closed").alias("closed"),
-            F.min("since").alias("since"),
-        )
-        over = F.col("closed")
-        if timeout_batches is not None:
-            over = over | (F.col("since") <= number - timeout_batches)
-        # Written once, then split: what is done and what stays open come from the same rows.
-        step = _Versions(spark, f"{folder}/step", OPEN)
-        rows = step.write(merged, number)
-        rows.filter(over).write.mode("overwrite").parquet(f"{folder}/done/batch={number}")
-        held.write(rows.filter(~over), number)
-        step.drop(number - 1)
-        held.drop(number - 3)
-
-    writer = changes.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{folder}/checkpoint")
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    spark, folder = changes.sparkSession, folder.rstrip("/")
+    if _exists(spark, f"{folder}/done/_spark_metadata") and not _exists(spark, f"{folder}/checkpoint"):
+        raise ValueError(f"{folder} has the batches of another checkpoint")
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = closed_transactions(changes, timeout).writeStream.format("parquet").option("path", f"{folder}/done").option("checkpointLocation", f"{folder}/checkpoint")
+        if available_now:
+            writer = writer.trigger(availableNow=True)
+        elif trigger:
+            writer = writer.trigger(processingTime=trigger)
+        return writer.start()  # the query keeps the settings it was started with
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
 
 
 def finished_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Transactions put out so far, each once: parts of one that was put out early are added up."""
-    done = Parts(spark, f"{folder.rstrip('/')}/done", "batch").read(OPEN)
-    return done.groupBy(F.col("txn").alias("gtid")).agg(
+    done = spark.read.schema(DONE).parquet(f"{folder.rstrip('/')}/done")
+    return done.groupBy("gtid").agg(
         F.max("file").alias("file"), F.sum("changes").alias("changes"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.max("closed").alias("closed")
     )
 
 
-def transaction_events(spark: SparkSession, folder: str) -> DataFrame:
-    """All events that ``stream_transactions`` has kept."""
-    return Parts(spark, f"{folder.rstrip('/')}/events", "batch").read()
-
-
-def compact_transactions(spark: SparkSession, folder: str) -> None:
-    """Folds the folders of all batches but the last of ``stream_transactions``; run it while nothing reads them."""
-    Parts(spark, f"{folder.rstrip('/')}/events", "batch").fold()
-    Parts(spark, f"{folder.rstrip('/')}/done", "batch").fold(OPEN)
+def open_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions whose end has not come, read from the state of ``stream_transactions``."""
+    state = spark.read.format("statestore").option("stateVarName", "open").load(f"{folder.rstrip('/')}/checkpoint")
+    return state.select("key.gtid", "value.*")
 
 
 def stream_table(rows: DataFrame, folder: str, keys, order, available_now: bool = False):
-    """Starts a query that gathers the last typed change per key of every batch.
+    """Starts a query that adds the last typed change per key of every batch to ``folder``/changes, a table partitioned by batch.
 
-    ``rows`` has the table's columns, ``op`` and the order columns. A batch costs as much as the
-    batch is large, whatever the size of the table; ``current_table`` merges on read and
+    ``rows`` has the table's columns, ``op`` and the order columns. A batch costs as much as the batch is large, whatever
+    the size of the table; a repeated batch overwrites its own partition. ``current_table`` merges on read and
     ``compact_table`` folds the batches so far into one state.
     """
+    folder = folder.rstrip("/")
+
     def on_batch(batch: DataFrame, number: int) -> None:
-        latest_changes(batch, keys, order).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/changes/batch={number}")
+        out = latest_changes(batch, keys, order).withColumn("_batch", F.lit(number).cast("long"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{folder}/changes")
 
-    writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint")
+    writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{folder}/checkpoint")
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
-def _table_state(spark: SparkSession, folder: str, keys, order) -> tuple[DataFrame, int]:
+def _table_rows(spark: SparkSession, folder: str, keys, order) -> tuple[DataFrame, int]:
+    """Last change per key, deletes among them, and the batch reached. Partitions that a fold covers are not read."""
     folder = folder.rstrip("/")
-    states, batches = (sorted(map(int, complete(spark, f"{folder}/{a}", b))) for a, b in (("state", "upto"), ("changes", "batch")))
-    upto = states[-1] if states else -1
-    paths = [f"{folder}/state/upto={upto}"] if states else []
-    paths += [f"{folder}/changes/batch={n}" for n in batches if n > upto]
-    return latest_changes(spark.read.parquet(*paths), keys, order), max([upto, *batches])
+    changes, upto = spark.read.parquet(f"{folder}/changes"), -1
+    rows = changes
+    if _exists(spark, f"{folder}/state"):
+        state = spark.read.parquet(f"{folder}/state")
+        upto = state.agg(F.max("_upto")).first()[0]
+        upto = -1 if upto is None else upto
+        rows = changes.filter(F.col("_batch") > upto).drop("_batch").unionByName(state.filter(F.col("_upto") == upto).drop("_upto"))
+    reached = changes.agg(F.max("_batch")).first()[0]
+    return latest_changes(rows.drop("_batch"), keys, order), max(upto, -1 if reached is None else reached)
 
 
 def current_table(spark: SparkSession, folder: str, keys, order) -> DataFrame:
-    """The table after all complete batches: last change per key, deleted rows left out."""
+    """The table after all batches: last change per key, deleted rows left out."""
     order = [order] if isinstance(order, str) else list(order)
-    rows, _ = _table_state(spark, folder, keys, order)
+    rows, _ = _table_rows(spark, folder, keys, order)
     return rows.filter(F.col("op") != DELETE).drop("op", *order)
 
 
 def compact_table(spark: SparkSession, folder: str, keys, order) -> int:
-    """Folds all complete batches into one state; returns the batch it reaches.
+    """Folds all batches so far into a partition of ``folder``/state; returns the batch it reaches.
 
-    The state keeps the order columns and deleted keys, so changes that arrive late still merge
-    rightly.
+    The state keeps the order columns and deleted keys, so changes that arrive late still merge rightly.
     """
-    rows, upto = _table_state(spark, folder, keys, order)
-    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/state/upto={upto}")
+    rows, upto = _table_rows(spark, folder, keys, order)
+    out = rows.withColumn("_upto", F.lit(upto).cast("long"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_upto").parquet(f"{folder.rstrip('/')}/state")
     return upto

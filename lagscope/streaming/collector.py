@@ -8,14 +8,14 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lagscope.operators.filters import after_id, newer_than
 from lagscope.operators.points import PointSpec, split_rejects, to_line_protocol
 from lagscope.operators.rollups import last_value_by
 from lagscope.session import typed_time
-from lagscope.streaming.folders import Parts
 from lagscope.streaming.positions import START_ID, START_TIME, WatermarkTable
 
 
@@ -47,8 +47,8 @@ def collect_once(spark: SparkSession, sources: list[Source], positions: Watermar
 
     A source is read once: its new rows are encoded and written, and the new position is the
     largest one among the rows just written, so rows that arrive meanwhile wait for the next run.
-    A run writes to a folder named after the position it starts from and saves the new positions
-    last; a run that died is repeated into the same folder. With ``overlap`` the read starts
+    A run writes the partition named after the position it starts from and saves the new positions
+    last; a run that died is repeated into the same partition. With ``overlap`` the read starts
     earlier and ``dedupe_points`` removes what was written before. If a source fails, the others
     are still collected and their positions saved before its error is raised.
     """
@@ -71,11 +71,12 @@ def _collect(spark: SparkSession, source: Source, last, out: str, overlap: timed
     else:
         low = last - overlap if overlap and last != START_TIME else last
         fresh, label = capture_changes(df, source.position, low), f"{last:%Y%m%dT%H%M%S%f}"
-    folder = f"{_folder(out, source.name)}/from={label}"
     encoded = _encoded(fresh, source.spec, source.position)
-    encoded.write.mode("overwrite").parquet(folder)
+    largest = Observation()
     # As text in the session's zone: a collected timestamp would be in the driver's.
-    top = spark.read.schema(encoded.schema).parquet(folder).agg(F.max("position").cast("string").alias("top")).first()["top"]
+    seen = encoded.observe(largest, F.max("position").cast("string").alias("top"))
+    seen.withColumn("from", F.lit(label)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("from").parquet(_folder(out, source.name))
+    top = largest.get["top"]
     if top is None:
         return None
     top = int(top) if source.by_id else datetime.fromisoformat(top)
@@ -94,19 +95,14 @@ def _folder(out: str, name: str) -> str:
 
 def collected_points(spark: SparkSession, out: str, name: str) -> tuple[DataFrame, DataFrame]:
     """``(lines, rejects)`` of everything collected from a source so far."""
-    lines, rejects = split_rejects(_runs(spark, out, name).read())
+    try:
+        rows = spark.read.parquet(_folder(out, name))
+    except AnalysisException:  # no run has found any row
+        rows = spark.createDataFrame([], "position string, line string, reject string, row string")
+    lines, rejects = split_rejects(rows)
     return lines, rejects.select("position", "reject", "row")
 
 
-def fold_points(spark: SparkSession, out: str, name: str) -> None:
-    """Folds the folders of all runs of a source but the last, which may be repeated; run it while nothing reads them."""
-    _runs(spark, out, name).fold()
-
-
-def _runs(spark: SparkSession, out: str, name: str) -> Parts:
-    return Parts(spark, _folder(out, name), "from", lambda label: (len(label), label))
-
-
 def stream_points(rows: DataFrame, spec: PointSpec, out: str, available_now: bool = False):
     """Starts a query that writes the points of a stream of rows, read back by ``collected_points``.
 

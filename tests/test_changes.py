@@ -14,7 +14,7 @@ from lagscope.schemas import CHANGE_KINDS, CHANGE_READ, struct_of
 from lagscope.sources import changes as source
 from lagscope.sources.stats import jdbc_options, list_schemas, list_tables, read_stat, read_texts
 from lagscope.streaming import changes as streams
-from lagscope.streaming.collector import Source, capture_changes, collect_once, collected_points, fold_points, latest_state, run_collect, stream_points
+from lagscope.streaming.collector import Source, capture_changes, collect_once, collected_points, latest_state, run_collect, stream_points
 from lagscope.streaming.positions import START_ID, START_TIME, WatermarkTable
 
 USER = T.StructType().add("id", "long").add("email", "string").add("age", "integer")
@@ -123,32 +123,67 @@ def test_streamed_transactions(spark, tmp_path):
     _run_in_parts(spark, tmp_path, lambda s: streams.stream_transactions(s, str(tmp_path / "out"), available_now=True))
     got = {r.gtid: (r.changes, r.first_pos, r.last_pos, r.closed) for r in streams.finished_transactions(spark, str(tmp_path / "out")).collect()}
     assert got == {"g1": (2, 1, 4, True), "g2": (2, 7, 9, True)}
-    kept = streams.transaction_events(spark, str(tmp_path / "out"))
-    before = sorted(map(str, kept.collect()))
-    for _ in range(2):  # a second fold has nothing to do
-        streams.compact_transactions(spark, str(tmp_path / "out"))
-        assert sorted(p.name for p in (tmp_path / "out" / "done").glob("*=*")) == ["batch=2", "upto=1"]
-        assert sorted(map(str, streams.transaction_events(spark, str(tmp_path / "out")).collect())) == before
-        folded = {r.gtid: (r.changes, r.first_pos, r.last_pos, r.closed) for r in streams.finished_transactions(spark, str(tmp_path / "out")).collect()}
-        assert folded == got
-    still_open = spark.read.parquet(str(tmp_path / "out" / "open" / "batch=2")).collect()
-    assert [(r.txn, r.changes) for r in still_open] == [("g3", 1)]
+    assert [(r.gtid, r.changes) for r in streams.open_transactions(spark, str(tmp_path / "out")).collect()] == [("g3", 1)]
+    batch = ops.transaction_summary(source.read_changes(spark, str(tmp_path / "in"), streaming=False)).filter("closed")
+    assert {r.gtid: (r.changes, r.first_pos, r.last_pos, r.closed) for r in batch.collect()} == got
+    write(tmp_path / "in", "9.json", [event(12, kind="xid", gtid="g3")])  # a late end, batches after its rows
+    streams.stream_transactions(source.read_changes(spark, str(tmp_path / "in")), str(tmp_path / "out"), available_now=True).awaitTermination()
+    late = streams.finished_transactions(spark, str(tmp_path / "out")).filter("gtid = 'g3'").first()
+    assert (late.changes, late.last_pos, late.closed) == (1, 12, True)
+    assert streams.open_transactions(spark, str(tmp_path / "out")).count() == 0
 
 
 def test_streamed_transactions_refuse_another_checkpoint(spark, tmp_path):
     write(tmp_path / "in", "0.json", EVENTS)
-    (tmp_path / "out" / "done" / "batch=3").mkdir(parents=True)
-    (tmp_path / "out" / "done" / "batch=3" / "_SUCCESS").touch()
+    (tmp_path / "out" / "done" / "_spark_metadata").mkdir(parents=True)
     with pytest.raises(Exception, match="another checkpoint"):
-        streams.stream_transactions(source.read_changes(spark, str(tmp_path / "in")), str(tmp_path / "out"), available_now=True).awaitTermination()
+        streams.stream_transactions(source.read_changes(spark, str(tmp_path / "in")), str(tmp_path / "out"), available_now=True)
 
 
 def test_streamed_transaction_timeout(spark, tmp_path):
-    _run_in_parts(spark, tmp_path, lambda s: streams.stream_transactions(s, str(tmp_path / "out"), timeout_batches=0, available_now=True))
-    got = sorted((r.gtid, r.closed) for r in streams.finished_transactions(spark, str(tmp_path / "out")).collect())
-    assert got == [("g1", True), ("g2", True), ("g3", False)]
-    whole = {r.gtid: (r.changes, r.first_pos, r.last_pos) for r in streams.finished_transactions(spark, str(tmp_path / "out")).collect()}
-    assert whole["g1"] == (2, 1, 4)
+    """One whose end does not come is put out when its time is over, and what comes later is added to it."""
+    write(tmp_path / "in", "0.json", EVENTS)
+    folder = str(tmp_path / "out")
+    query = streams.stream_transactions(source.read_changes(spark, str(tmp_path / "in")), folder, timeout="1 second", trigger="300 milliseconds")
+    try:
+        _until(lambda: streams.finished_transactions(spark, folder).count() == 3)
+        got = sorted((r.gtid, r.changes, r.closed) for r in streams.finished_transactions(spark, folder).collect())
+        assert got == [("g1", 2, True), ("g2", 2, True), ("g3", 1, False)]
+        write(tmp_path / "in", "1.json", [event(12, kind="xid", gtid="g3")])
+        _until(lambda: streams.finished_transactions(spark, folder).filter("closed").count() == 3)
+        whole = {r.gtid: (r.changes, r.last_pos, r.closed) for r in streams.finished_transactions(spark, folder).collect()}
+        assert whole["g3"] == (1, 12, True) and whole["g1"][0] == 2
+    finally:
+        query.stop()
+
+
+def _until(true, seconds=60):
+    import time
+
+    end = time.time() + seconds
+    while not true():
+        assert time.time() < end
+        time.sleep(0.3)
+
+
+def test_buckets_keep_rows_without_a_time(spark):
+    from lagscope.operators.rollups import bucket
+
+    for kind in ("timestamp", "timestamp_ntz"):
+        rows = spark.createDataFrame([("2024-01-01 00:07:09",), (None,)], "t string").select(F.col("t").cast(kind).alias("t"))
+        out = rows.select(bucket("t", "5 minutes").alias("b"))
+        assert out.schema["b"].dataType.typeName() == kind
+        assert sorted((str(r.b) for r in out.collect())) == ["2024-01-01 00:05:00", "None"]
+
+
+def test_a_hot_used_name_is_sent_once(spark):
+    from lagscope.operators.naming import unused
+
+    names = spark.createDataFrame([("a",), ("b",), (None,)], "n string")
+    used = spark.range(1000).selectExpr("if(id < 900, 'a', concat('x', id)) AS n")
+    out = unused(names, used, ["n"])
+    assert sorted(str(r.n) for r in out.collect()) == ["None", "b"]
+    assert "HashAggregate" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_transactions_without_rows_stay(spark):
@@ -235,16 +270,14 @@ def test_two_runs_equal_one(spark, tmp_path):
     assert run("once", 99) == run("thrice", 3, 7, 99) and len(run("again", 99)) == 12
 
 
-def test_folded_points_equal_all_runs(spark, tmp_path):
+def test_runs_without_new_rows_change_nothing(spark, tmp_path):
     delays, out = fixtures.delays(spark), str(tmp_path / "out")
     positions = WatermarkTable(spark, str(tmp_path / "pos"))
-    lines = lambda: sorted(r.line for r in collected_points(spark, out, "delay")[0].collect())
-    for most in (3, 7, 99, 99):
+    counts = []
+    for most in (0, 3, 3, 99, 99):
         collect_once(spark, [_delay_source(delays.filter(F.col("ID") <= most))], positions, out)
-        before = lines()
-        fold_points(spark, out, "delay")
-        assert lines() == before
-    assert len(lines()) == 7 and len(list((tmp_path / "out" / "delay").glob("*=*"))) <= 2
+        counts.append(collected_points(spark, out, "delay")[0].count())
+    assert counts[0] == 0 and counts[1] == counts[2] and counts[3] == counts[4] == 7
 
 
 def test_a_source_that_fails_leaves_the_others_collected(spark, tmp_path):
