@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.base import STATUS, check, read, status
 from lagscope.functions import scalars
 from lagscope.operators import health, ordered, reconcile
+from lagscope.sources import nodes
 
 _ERRORS = f"""list_filter([
  CASE WHEN NOT reachable THEN 'Can''t connect to MySQL (Check Pass)' END,
@@ -24,6 +26,32 @@ def hlt1(spark, sf):
     return health.replication_errors(status(spark, sf)).select("address", F.array_join("errors", "|").alias("errors"), "n_errors", "ok")
 
 
+def _node(path):
+    """Answers with the status of one node, a row of a parquet file; nodes of nation 5 do not answer."""
+
+    def fetch(address):
+        import pyarrow.dataset as ds
+
+        name = address.removesuffix(":3306")
+        row = ds.dataset(path, format="parquet").to_table(columns=["s_nationkey", "s_acctbal"], filter=ds.field("s_name") == name).to_pylist()[0]
+        if row["s_nationkey"] == 5:
+            raise ConnectionError("no route")
+        return [{"Slave_IO_Running": "Yes" if row["s_nationkey"] < 12 else "No", "Seconds_Behind_Master": None if row["s_acctbal"] < 0 else str(int(row["s_acctbal"] // 50))}]
+
+    return fetch
+
+
+@check("src5_unreachable_nodes", """SELECT s_name || ':3306' AS address, s_nationkey <> 5 AS reachable, CASE WHEN s_nationkey = 5 THEN 'ConnectionError: no route' END AS error,
+ CASE WHEN s_nationkey <> 5 THEN CASE WHEN s_nationkey < 12 THEN 'Yes' ELSE 'No' END END AS io_running,
+ CASE WHEN s_nationkey <> 5 AND s_acctbal >= 0 THEN cast(cast(floor(s_acctbal / 50) AS BIGINT) AS VARCHAR) END AS lag FROM supplier""")
+def src5_nodes(spark, sf):
+    """Every supplier is a node that is asked on its own."""
+    addresses = [r.address for r in read(spark, sf, "supplier").select(F.concat("s_name", F.lit(":3306")).alias("address")).collect()]  # the list of nodes
+    schema = T.StructType.fromDDL("Slave_IO_Running string, Seconds_Behind_Master string")
+    found = nodes.read_nodes(spark, addresses, _node(f"{sf}/supplier.parquet"), schema, per_task=8)
+    return found.select("address", "reachable", "error", F.col("Slave_IO_Running").alias("io_running"), F.col("Seconds_Behind_Master").alias("lag"))
+
+
 @check("agg10_error_counts", f"SELECT cast(len(e) AS INTEGER) AS n_errors, count(*) AS nodes FROM (SELECT {_ERRORS} AS e FROM {STATUS}) GROUP BY 1")
 def agg10(spark, sf):
     return health.replication_errors(status(spark, sf)).groupBy("n_errors").agg(F.count("*").alias("nodes"))

@@ -11,6 +11,7 @@ from lagscope.functions.text import MAX_STRING_BYTES
 from lagscope.operators import copying, gauges, points, rollups
 from lagscope.session import temporary_folder
 from lagscope.sources import pages as page_source
+from lagscope.sources import polled
 from lagscope.sources import stats as stat_source
 from lagscope.streaming import collector
 from lagscope.streaming.positions import WatermarkTable
@@ -231,6 +232,33 @@ def snk1_stream(spark, sf):
     return collector.collected_points(spark, folder, "events")[0]
 
 
+def _polled(spark, sf, folder):
+    """Three runs over the events as a table polled by time; what each run finds ends where the next begins."""
+    schema = read(spark, sf, "events").select("event_id", "ts", "user_id").schema
+    table = polled.ParquetTable(f"{sf}/events.parquet", "ts", ("event_id", "ts", "user_id"))
+    spec = points.PointSpec.of("events", "ts", ["user_id"], ["event_id"])
+    for until in (datetime(2024, 1, 10), datetime(2024, 1, 20, 12), None):
+        rows = polled.read_polled(spark, table, schema, until=until)
+        collector.stream_points(rows, spec, folder, available_now=True).awaitTermination()
+
+
+@check("str1_polled_points", "SELECT 'events,user_id=' || user_id || ' event_id=' || event_id || ' ' || (epoch_us(ts) * 1000) AS line FROM events")
+def str1_polled(spark, sf):
+    folder = _scratch(spark, "polled")
+    _polled(spark, sf, folder)
+    return collector.collected_points(spark, folder, "events")[0]
+
+
+@check("str2_polled_positions", """SELECT row_number() OVER (ORDER BY position) - 1 AS batch, position, true AS done FROM (SELECT DISTINCT unnest([
+ max(ts) FILTER (WHERE ts <= TIMESTAMP '2024-01-10'), max(ts) FILTER (WHERE ts <= TIMESTAMP '2024-01-20 12:00:00'), max(ts)]) AS position FROM events)""")
+def str2_polled(spark, sf):
+    """The positions of the same runs, read from the query's checkpoint."""
+    folder = _scratch(spark, "polled")
+    _polled(spark, sf, folder)
+    saved = polled.saved_positions(spark, f"{folder}/checkpoint/events")
+    return saved.select("batch", F.col("position").cast("timestamp_ntz").alias("position"), "done")
+
+
 @check("str2_positions", f"SELECT 'by_id' AS source, cast(max(id) AS VARCHAR) AS position FROM {STATS} UNION ALL SELECT 'by_time', cast(max(gmt_modified) AS VARCHAR) FROM {STATS}")
 def str2(spark, sf):
     folder = _scratch(spark, "positions")

@@ -14,6 +14,9 @@ from lagscope.operators.filters import after_id, between, newer_than, time_range
 from lagscope.operators.gauges import (
     collect_gauges, heartbeat, missing_heartbeats, state_gauges, to_gauge_json, to_gauge_records,
 )
+from lagscope.operators.gtid import (
+    contains_intervals, executed_intervals, gtid_intervals, gtid_text, intersect_intervals, merge_intervals, subtract_intervals, union_intervals,
+)
 from lagscope.operators.health import cluster_status, health_report, replication_errors
 from lagscope.operators.naming import smallest_free_suffix, unused
 from lagscope.operators.ordered import ditto, head, number_by_position, number_rows, preview
@@ -26,7 +29,9 @@ from lagscope.operators.rollups import (
 from lagscope.plans.named import NamedQueries, check_query
 from lagscope.session import get_session, shared_folder
 from lagscope.sources.changes import decode_changes, of_kind, read_changes
+from lagscope.sources.nodes import read_nodes
 from lagscope.sources.pages import extract_html_table, page_points
+from lagscope.sources.polled import DbTable, ParquetTable, read_polled, saved_positions
 from lagscope.sources.stats import (
     gen_rows, list_schemas, list_tables, read_node_status, read_stat, read_table, read_texts, read_variables,
 )
