@@ -10,10 +10,12 @@ them by markup: inside ``article`` or ``main`` and outside all boilerplate. Up t
 Two potentials are fixed. An element of page furniture, by its tag or by a name of ``NAMES``, has ``SEALED`` less log odds of its
 own. It hears nothing from its children, however many they are, and if it is not content, nothing below it is. A name does not
 make furniture of what frames the page: html, body, whatever holds a ``main``, and an outer article with half of the page's
-text with all that holds it.
+text with all that holds it. Inside an article, a tag that no labelled article had speaks neither for nor against an element: lists,
+tables and quotes follow their parent.
 
 Text: character references decoded, white space inside a block as one space, blocks joined by one space, in page
-order. Scripts, styles, forms, templates and the head never give text.
+order. Scripts, styles, templates, form controls and the head never give text, nor do forms, but for one that holds an article or half
+of the page's text.
 
 Nulls: a null or empty page has an empty text. Broken markup is read as far as it goes: unclosed elements end with
 their parent, stray end tags are left out, an unclosed comment or script reaches to the end. Pages without id and repeated pages
@@ -160,13 +162,28 @@ class Page:
             frame[self.parents[i]] |= frame[i]
         return [self.tags[i] in FURNITURE or bool(self.names[i]) and not frame[i] for i in range(n)]
 
+    def silent(self) -> list[bool]:
+        """Elements that never give text. A form does if it holds an article, or half of the page's text: then it frames the page."""
+        n = len(self.tags)
+        total, holds = list(self.direct), [t in ("article", "main") for t in self.tags]
+        for i in range(n - 1, 0, -1):
+            total[self.parents[i]] += total[i]
+            holds[self.parents[i]] |= holds[i]
+        return [t in NEVER and not (t == "form" and (holds[i] or 0 < total[0] <= 2 * total[i])) for i, t in enumerate(self.tags)]
+
+    def inside(self) -> list[bool]:
+        """Elements inside article or main."""
+        out = [False]
+        for tag, p in zip(self.tags[1:], self.parents[1:]):
+            out.append(out[p] or tag in ("article", "main"))
+        return out
+
     def labels(self) -> list[int]:
         """1 for elements inside article or main and outside boilerplate; by markup alone."""
-        out, inside, gone, furniture = [], [False], [False], self.furniture()
-        for i, (tag, p) in enumerate(zip(self.tags, self.parents)):
+        out, gone, furniture, silent, inside = [], [False], self.furniture(), self.silent(), self.inside()
+        for i, p in enumerate(self.parents):
             if i:
-                gone.append(gone[p] or tag in NEVER or furniture[i])
-                inside.append(inside[p] or tag in ("article", "main"))
+                gone.append(gone[p] or silent[i] or furniture[i])
             out.append(int(inside[i] and not gone[i]))
         return out
 
@@ -188,6 +205,7 @@ class Model:
         ones, zeros = tally.get(("node", "", 1), 0), tally.get(("node", "", 0), 0)
         self.prior = math.log((ones + _SMOOTH) / (zeros + _SMOOTH))
         self.shown: dict[str, float] = {}
+        self.seen = {f for kind, f, y in tally if kind == "node" and y == 1 and tally[kind, f, y]}
         for kind, f, _ in list(tally):
             if kind == "node" and f:
                 a, b = tally.get((kind, f, 1), 0), tally.get((kind, f, 0), 0)
@@ -200,7 +218,9 @@ class Model:
     def marginals(self, page: Page) -> list[float]:
         """Log odds of content for each element, by sum-product messages up and down the tree; none go up into page furniture."""
         n, parents, furniture = len(page.tags), page.parents, page.furniture()
-        own = [self.prior + sum(self.shown.get(f, 0.0) for f in shown) - SEALED * sealed for shown, sealed in zip(page.features(), furniture)]
+        # a tag that no labelled article had says nothing against an element inside one
+        told = [[f for f in shown if not (within and f.startswith("tag:") and f not in self.seen)] for shown, within in zip(page.features(), page.inside())]
+        own = [self.prior + sum(self.shown.get(f, 0.0) for f in shown) - SEALED * sealed for shown, sealed in zip(told, furniture)]
         e = self.edge
         up, message = own, [0.0] * n
         for i in range(n - 1, 0, -1):
@@ -214,10 +234,10 @@ class Model:
         return out
 
     def text(self, page: Page) -> str:
-        odds, furniture = self.marginals(page), page.furniture()
+        odds, furniture, silent = self.marginals(page), page.furniture(), page.silent()
         gone = [False] * len(page.tags)
         for i in range(1, len(gone)):
-            gone[i] = gone[page.parents[i]] or page.tags[i] in NEVER or furniture[i] and odds[i] < 0
+            gone[i] = gone[page.parents[i]] or silent[i] or furniture[i] and odds[i] < 0
         blocks = [text if text == " " or (odds[i] >= 0 and not gone[i]) else "" for i, text in page.pieces]
         return " ".join("".join(blocks).split())
 

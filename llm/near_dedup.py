@@ -132,8 +132,9 @@ def _profile(id_col: str, text_col: str, width: int, rows: int):
                         pa.array(sizes, pa.int64()),
                         binary([d.tobytes() if n else None for d, n in zip(digest, sizes.tolist())]),
                         binary([k.tobytes() if n else None for k, n in zip(keys, sizes.tolist())]),
+                        part.column("hash"),
                     ],
-                    names=["id", "n_shingles", "digest", "bands"],
+                    names=["id", "n_shingles", "digest", "bands", "hash"],
                 )
 
     return work
@@ -259,24 +260,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (its id is the component's)."""
     spark = docs.sparkSession
     rows, count = band_rows(threshold), partitions(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = saved(map_arrow(texts, _profile("id", "text", width, rows), "id long, n_shingles long, digest binary, bands binary"), "sets")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    sets = saved(map_arrow(texts, _profile("id", "text", width, rows), "id long, n_shingles long, digest binary, bands binary, hash long"), "sets")
 
     unique = saved(
-        sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        sets.filter("digest IS NOT NULL").groupBy("digest").agg(
+            F.min("id").alias("rep"), F.coalesce(F.min_by("hash", "id"), F.min("hash")).alias("hash"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        ),
         "unique",
     )
     lasting = folders()
     packed = map_arrow(unique.select("digest", "bands"), _collide(count), "bucket int, keys binary, nodes binary")
     rough = components(group_arrow(packed, ["bucket"], _edges, "u long, v long"))
 
-    nodes = map_arrow(unique.select("digest", "rep", "n"), _nodes, "digest binary, rep long, n long, node long")
-    members = nodes.join(rough, "node").select("label", "digest", "rep", "n")
+    nodes = map_arrow(unique.select("digest", "rep", "hash", "n"), _nodes, "digest binary, rep long, hash long, n long, node long")
+    members = nodes.join(rough, "node").select("label", "digest", "rep", "hash", "n")
     size = members.groupBy("label").agg(
         F.ceil(F.greatest(F.sum("n") / _BLOCK_SHINGLES, F.count("*") / _BLOCK_SETS)).cast("int").alias("blocks")
     )
     members = saved(members.join(size, "label"), "members")
-    found = texts.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))).select("text", "label", "blocks", "digest")
+    wanted = members.select("label", "blocks", "digest", "rep", F.col("hash").alias("of"))
+    found = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("hash") == F.col("of")))
+    # rows that repeat an id with its text are one set: each task sends one of them
+    found = found.groupBy("digest").agg(F.first("text").alias("text"), F.first("label").alias("label"), F.first("blocks").alias("blocks")).select("text", "label", "blocks", "digest")
     blocks = map_arrow(found, _members("id", "text", width), "label long, blocks int, digest binary, shingles binary")
     block = F.pmod(F.hash("digest"), F.col("blocks"))
     pairs = (
@@ -302,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         first = np.frombuffer(b"".join(d[:8] for d in batch.column("digest").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int64())], names=["digest", "rep", "n", "node"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int64())], names=["digest", "rep", "hash", "n", "node"])
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

@@ -313,10 +313,11 @@ def prefix_trie(turns: DataFrame, share: bool = False, slab: int = SLAB, burst:
         found, below = _containers(entries.filter(F.col("slab") == k), before, below, k * slab, burst)
         below = saved(below, "sums")
         nodes = found if nodes is None else nodes.unionByName(found)
-    everyone = lengths.agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs"), F.lit(bytearray(_ROOT)).alias("node")).filter("n_convs > 0")
-    root = everyone.join(below, "node").select(
+    everyone = lengths.agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs")).filter("n_convs > 0").select(F.lit(bytearray(_ROOT)).alias("node"), "*")
+    both = everyone.unionByName(below.withColumnRenamed("saved", "saved_tokens"), allowMissingColumns=True).groupBy("node").agg(*[F.max(c).alias(c) for c in ("conv_id", "n_convs", "kids", "leaves", "saved_tokens")])
+    root = both.filter("n_convs IS NOT NULL").select(
         "node", F.lit(0).cast("long").alias("depth"), "conv_id", F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", F.col("kids").alias("n_children"),
-        F.when(F.col("kids") == 0, 1).otherwise(F.col("leaves")).alias("n_leaves"), F.col("saved").alias("saved_tokens"),
+        F.when(F.col("kids") == 0, 1).otherwise(F.col("leaves")).alias("n_leaves"), "saved_tokens",
     )
     ends = ends_of(rows.filter("ended").select(F.col("ending").alias("node"), F.col("rep").alias("conv")))
     out = nodes.unionByName(root).join(ends, F.col("node") == F.col("_node"), "left").select("conv_id", "depth", *_NAMES[3:], F.coalesce("ends_sha256", F.lit(_EMPTY)).alias("ends_sha256"))

@@ -113,7 +113,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     marked = labels.select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("double").alias("label")).filter("label IN (0, 1) AND label_id IS NOT NULL")
     chosen = marked.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample)  # at most `sample` short rows, so it may be broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select(F.xxhash64("id", "text", "label").alias("order"), "label", "text")
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "label", F.xxhash64("id", "text", "label").alias("order"), "text")
+    # a labelled id that repeats counts once, whatever share of the rows has it: one row per task is shuffled
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct("order", "text")).alias("row")).select("row.order", "label", "row.text")
     packed = map_arrow(rows, _featurise, "one int, order long, label double, number binary, value binary")
     model = packed.groupBy("one").applyInArrow(_train, "weights binary, bias double").first()
     if model is None:
