@@ -30,8 +30,8 @@ from llm.common import map_arrow, spare_name
 from llm.kernel import U, Words, buffers, chunks, run_indices, same_bytes
 
 _LETTER, _NUMBER, _BLANK, _OTHER = 0, 1, 2, 3
-_SLOTS = 1 << 18
-_STORE, _SPELT = 1 << 21, 1 << 22
+_SLOTS = 1 << 19
+_STORE, _SPELT = 1 << 22, 1 << 23
 _IDS = 1 << 16
 _NONE = np.iinfo(np.int64).max
 # The contractions of the pre-token pattern, and the printable code points that stand for their own byte
