@@ -1,7 +1,7 @@
 """Token ids in compressed files: Re-Pair grammars per block of documents, with random access.
 
 Documents are encoded, sorted by id and cut into blocks of about ``BLOCK`` ids. In each block frequent pairs of
-neighbouring symbols (never across documents) are replaced by nonterminals, round by round: pair counts come from a
+neighbouring symbols (never across documents) are replaced by nonterminals, round by round until none pays: pair counts come from a
 hashed histogram that is exact for the pairs it lets through, each round replaces every pair that still saves space,
 and where two pairs overlap the more frequent one wins. A block stores its rules, the expansion length of each rule, the symbols and each document's
 first symbol and number of ids. One document is read by its own symbols and the rules alone.
@@ -28,7 +28,6 @@ from llm.common import partitions
 from llm.kernel import U, chunks, run_indices
 
 BLOCK = 1 << 20
-ROUNDS = 4
 LEAST = 24  # occurrences from which a pair is worth a rule
 _BITS = 20
 FORMAT = (
@@ -47,42 +46,56 @@ def frequent_pairs(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]
     return pairs[good], counts[good]
 
 
-def compress(ids: np.ndarray, first: np.ndarray, size: int, rounds: int = ROUNDS, least: int = LEAST):
-    """Rules (pairs of symbols from ``size`` up), symbols, and where each document's symbols begin."""
+def _chosen(key: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs worth a rule, and the places to replace: which of these pairs, and where. ``key`` has the pair at each of ``rows``.
+
+    Where pairs overlap, the more frequent wins; equal ones from the left.
+    """
+    none = np.zeros(0, np.int64)
+    pairs, counts = frequent_pairs(key, least)
+    if not len(pairs):
+        return pairs, none, none
+    found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+    some = np.flatnonzero(pairs[found] == key)
+    rows, found = rows[some], found[some]
+    weight = counts[found]
+    near = np.diff(rows) == 1
+    left, right = np.append(0, np.where(near, weight[:-1], 0)), np.append(np.where(near, weight[1:], 0), 0)
+    hit = (weight >= right) & (weight >= left)
+    index = np.arange(len(hit))
+    begins = hit & ~np.append(False, hit[:-1] & near)
+    hit &= (index - np.maximum.accumulate(np.where(begins, index, -1))) % 2 == 0
+    used = np.bincount(found[hit], minlength=len(pairs))
+    keep = used >= max(least // 2, 1)
+    hit &= keep[found]
+    return pairs[keep], (np.cumsum(keep) - 1)[found[hit]], rows[hit]
+
+
+def compress(ids: np.ndarray, first: np.ndarray, size: int, least: int = LEAST):
+    """Rules (pairs of symbols from ``size`` up), symbols, and where each document's symbols begin.
+
+    Rounds go on until no pair pays. A round after the first looks at pairs with a symbol of the round before, since other
+    counts only fall; when these give nothing, a last look at all pairs ends the loop or goes on.
+    """
     symbols = ids.astype(U)
     fresh = np.zeros(len(symbols), bool)  # a document begins here
     fresh[first[:-1][first[:-1] < len(symbols)]] = True
     rules: list[np.ndarray] = []
-    top = size
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        key = (symbols[:-1] << U(32)) | symbols[1:]
-        inside = ~fresh[1:]
-        pairs, counts = frequent_pairs(key[inside], least)
-        if not len(pairs):
-            break
-        # where pairs overlap, the more frequent wins; equal ones from the left
-        found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        weight = np.where(inside & (pairs[found] == key), counts[found], 0)
-        left, right = np.append(0, weight[:-1]), np.append(weight[1:], 0)
-        hit = (weight > 0) & (weight >= right) & (weight >= left)
-        index = np.arange(len(hit))
-        hit &= (index - np.maximum.accumulate(np.where(hit & ~np.append(False, hit[:-1]), index, -1))) % 2 == 0
-        used = np.bincount(found[hit], minlength=len(pairs))
-        keep_rule = used >= least // 2
-        hit &= keep_rule[found]
-        number = np.cumsum(keep_rule) - 1 + top
-        new = pairs[keep_rule]
+    top, since = size, 0
+    while len(symbols) >= 2:
+        rows = np.flatnonzero(~fresh[1:] & ((symbols[:-1] >= since) | (symbols[1:] >= since)) if since else ~fresh[1:])
+        new, found, at = _chosen((symbols[rows] << U(32)) | symbols[rows + 1], rows, least)
         if not len(new):
-            break
+            if not since:
+                break
+            since = 0
+            continue
         rules.append(np.stack([new >> U(32), new & U(0xFFFFFFFF)], 1).astype(np.uint32))
-        at = np.flatnonzero(hit)
-        symbols[at] = number[found[at]].astype(U)
+        symbols[at] = (top + found).astype(U)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, fresh = symbols[keep], fresh[keep]
-        top += len(new)
+        top, since = top + len(new), top
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     empty = np.diff(first) == 0
     begins = np.zeros(len(first), np.int64)

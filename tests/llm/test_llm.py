@@ -159,6 +159,19 @@ def test_token_files_round_trip(spark, docs):
     assert {r.id: r.start for r in one} == {r.id: r.start for r in got if r.id in (7, 105)}
 
 
+def test_repair_goes_on_until_nothing_pays():
+    rng = np.random.default_rng(9)
+    one = rng.integers(0, 50000, 700)
+    ids, first = np.tile(one, 200).astype(np.uint32), np.arange(201) * 700
+    rules, symbols, at = token_files.compress(ids, first, 50257)
+    lengths = token_files.rule_lengths(rules, 50257)
+    assert len(symbols) + 3 * len(rules) < 3000 and lengths.max() > 500
+    assert (token_files.expand(symbols, rules, lengths, 50257) == ids).all()
+    inner = np.delete(np.arange(len(symbols) - 1), at[1:-1] - 1)  # no frequent pair is left
+    _, counts = np.unique((symbols[inner].astype(np.int64) << 32) | symbols[inner + 1], return_counts=True)
+    assert not len(counts) or counts.max() < token_files.LEAST
+
+
 def test_repair_is_lossless_and_shrinks():
     rng = np.random.default_rng(2)
     ids = np.concatenate([rng.integers(0, 6, 5000), np.zeros(999), np.tile([7, 8, 9, 7], 500)]).astype(np.uint32)
