@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.base import LOGS, STATS, check, logs, read, stats
 from lagscope.functions.text import MAX_STRING_BYTES
-from lagscope.operators import copying, gauges, points, rollups
+from lagscope.operators import copying, gauges, history, points, rollups
 from lagscope.session import temporary_folder
 from lagscope.sources import pages as page_source
 from lagscope.sources import polled
@@ -289,3 +289,31 @@ def str7_beat(spark, sf):
     rows = read(spark, sf, "events")
     beats = gauges.beat_gauges(rows, "user_id")
     return beats.select(F.to_json("keys").alias("keys")).groupBy("keys").agg(F.count("*").alias("beats"))
+
+
+_DAYS = "(SELECT user_id, date_trunc('day', ts) AS snap, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1, 2)"
+_STRETCHES = f"""(SELECT user_id, kind, min(snap) AS valid_from, CASE WHEN max(no) < (SELECT count(DISTINCT snap) FROM {_DAYS}) THEN arg_max(next, no) END AS valid_to
+ FROM (SELECT d.*, no, next, no - row_number() OVER (PARTITION BY user_id, kind ORDER BY no) AS g FROM {_DAYS} d
+ JOIN (SELECT snap, row_number() OVER (ORDER BY snap) AS no, lead(snap, 1, snap) OVER (ORDER BY snap) AS next FROM (SELECT DISTINCT snap FROM {_DAYS})) USING (snap)) GROUP BY user_id, kind, g)"""
+
+
+def _history(spark, sf):
+    """Daily snapshots of the users that were active, each with the kind of its last event."""
+    days = read(spark, sf, "events").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).agg(F.max_by("event_type", "event_id").alias("kind"))
+    return history.validity_intervals(days, ["user_id"], "at")
+
+
+@check("str3_validity_intervals", f"SELECT user_id, kind, valid_from, valid_to FROM {_STRETCHES}")
+def str3_history(spark, sf):
+    return _history(spark, sf)
+
+
+@check("str3_as_of", f"SELECT user_id, kind FROM {_DAYS} WHERE snap = TIMESTAMP '2024-01-17'")
+def str3_as_of(spark, sf):
+    """The intervals read at a time give the snapshot of that time."""
+    return history.as_of(_history(spark, sf), "2024-01-17 15:30:00")
+
+
+@check("str3_deleted_rows", f"SELECT s.* FROM {_STRETCHES} s WHERE valid_to IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_STRETCHES} n WHERE n.user_id = s.user_id AND n.valid_from = s.valid_to)")
+def str3_deleted(spark, sf):
+    return history.deleted_rows(_history(spark, sf), ["user_id"])

@@ -18,6 +18,7 @@ from lagscope.operators.gtid import (
     contains_intervals, executed_intervals, gtid_intervals, gtid_text, intersect_intervals, merge_intervals, subtract_intervals, union_intervals,
 )
 from lagscope.operators.health import cluster_status, health_report, replication_errors
+from lagscope.operators.history import as_of, deleted_rows, validity_intervals
 from lagscope.operators.naming import smallest_free_suffix, unused
 from lagscope.operators.ordered import ditto, head, number_by_position, number_rows, preview
 from lagscope.operators.points import PointSpec, dedupe_points, project, split_rejects, stat_specs, to_line_protocol

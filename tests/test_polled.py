@@ -151,3 +151,31 @@ def test_executed_sets_of_many_slots(spark, monkeypatch):
     events = spark.range(1, 500).filter("id % 77 <> 5").selectExpr("concat('U:', id) AS gtid").unionByName(spark.createDataFrame([(None,), ("odd",), ("u:7",)], "gtid string"))
     got = [tuple(r) for r in gtid.executed_intervals(events).orderBy("first").collect()]
     assert got[0] == ("u", 1, 4) and got[1] == ("u", 6, 81) and _numbers(got) == {("u", n) for n in range(1, 500) if n % 77 != 5}
+
+
+def test_history_gives_every_snapshot_back(spark):
+    from lagscope.operators.history import as_of, deleted_rows, validity_intervals
+
+    rnd = random.Random(3)
+    days = [datetime(2024, 1, 1 + d) for d in (0, 1, 2, 5, 6, 9)]
+    state, rows = {}, []
+    for day in days:
+        for k in (None, *range(12)):
+            draw = rnd.random()
+            if draw < 0.2:
+                state.pop(k, None)
+            elif draw < 0.6:
+                state[k] = rnd.choice(["a", "b", None])
+        rows += [(k, v, day) for k, v in state.items()] + [(k, v, day) for k, v in list(state.items())[:1]]  # one row twice
+    table = spark.createDataFrame(rows, "k long, v string, at timestamp")
+    intervals = validity_intervals(table, ["k"], "at")
+    for n, day in enumerate(days):
+        for later in (day, day + timedelta(hours=5)):
+            assert {tuple(r) for r in as_of(intervals, later).collect()} == {r[:2] for r in rows if r[2] == day}
+    assert as_of(intervals, days[0] - timedelta(days=1)).count() == 0
+    at = {day: {r[0] for r in rows if r[2] == day} for day in days}
+    gone = {(k, new) for old, new in zip(days, days[1:]) for k in at[old] - at[new]}
+    assert {(r.k, r.valid_to) for r in deleted_rows(intervals, ["k"]).collect()} == gone and gone
+    stretches = intervals.collect()
+    assert len({(r.k, r.v, r.valid_from) for r in stretches}) == len(stretches)
+    assert validity_intervals(table.filter("k > 99"), ["k"], "at").count() == 0
