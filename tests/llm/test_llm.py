@@ -665,3 +665,25 @@ def test_pipeline_stages_equal_brute_force(spark):
         else:
             clean.add(r.doc_id)
     assert {r.doc_id for r in leaks(spark, few, SF).collect()} == clean and 0 < len(clean) < few.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing columns, no rows at all."""
+    good = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    odd = [(None, None, None, None, None), (1000, None, "en", "s", None), (1001, "", None, None, 0), (None, good[1][1], "en", "s", 1), good[0], good[0], (1002, "word " * 60000, "en", None, 3), (1003, " \n ", "de", "s", 3)]
+    table = spark.createDataFrame(
+        [(*r, "?", "?", "?", "?") for r in good + odd], "doc_id long, text string, lang string, source string, n_chars long, Score string, kept string, label string, n_items string"
+    )
+    for rows in (table, table.filter("1 = 0")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, SF)
+            found = out.collect()
+            assert out.columns[:5] == corpus_pipeline.COLUMNS
+            assert len(found) <= rows.count()
+            if name in ("near_dedup", "decontaminate", "tokenize"):
+                own = {(r.doc_id, r.text) for r in rows.collect()}
+                assert {(r.doc_id, r.text) for r in found} <= own
+            if name == "near_dedup" and found:
+                assert {1000, 1001, 1003} <= {r.doc_id for r in found}
+            if name == "substring_dedup" and found:
+                assert any(r.doc_id is None and r.text == good[1][1] for r in found)
