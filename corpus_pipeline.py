@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` applies them in order, each on what the one before
 it wrote. All but the last return the columns of ``documents``.
+
+In every stage a null text counts as empty, texts are read whole whatever their length, an empty table stays empty, and columns other than
+those of ``documents`` are left out, whatever their names. Rows are judged one by one, so repeated rows share their fate and a row
+without id is judged by its text; near duplicates are told apart by id alone: rows that repeat an id stay or go together.
+Where that matters more closely, a stage says so.
 """
 
 from __future__ import annotations
@@ -25,18 +30,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels, accepts: a score of at least 0.7."""
+    """Documents that the classifier, trained on the labels, accepts: a score of at least 0.7. Without any label every score is one half, and none stays."""
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
     return quality.score(docs, model).filter("score >= 0.7").select(COLUMNS)
 
 
 def keep_first_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates (similarity of 0.8 or more)."""
+    """One document, the one with the smallest id, of each group of near duplicates (similarity of 0.8 or more).
+
+    Empty texts are near nothing and stay. A row without id goes if its group has a document with one.
+    """
     return near_dedup.one_per_group(docs, threshold=0.8).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of ``PASSAGE`` or more words of an earlier document; a text without any stays as it was."""
+    """Texts without passages of ``PASSAGE`` or more words of an earlier document; a text without any stays as it was.
+
+    A text that is cut altogether goes. A row without id loses nothing; rows of one id take nothing from each other.
+    """
     later = repeats.remove_repeats(docs, width=PASSAGE, keep_columns=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     cut = later.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), "n_removed")
