@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from checks.base import CHANGES, ENVELOPE, check, changes, envelope, read
 from lagscope.operators import changes as ops
-from lagscope.operators import gtid
+from lagscope.operators import gtid, rings
 from lagscope.schemas import CHANGE_KINDS
 from lagscope.session import temporary_folder
 from lagscope.sources import changes as change_source
@@ -217,3 +217,17 @@ def gtid_contained(spark, sf):
     own = gtid.executed_intervals(_gtids(spark, sf).join(kinds, "event_id"), keys=["server"])
     replica = gtid.executed_intervals(_gtids(spark, sf, replica=True).join(kinds, "event_id"), keys=["server"])
     return gtid.contains_intervals(replica, own, by=["server"])
+
+
+_CHANNELS = "(SELECT DISTINCT s_nationkey AS source, (s_nationkey * 3 + s_suppkey % 4) % 25 AS target FROM supplier WHERE s_suppkey % 3 = 0)"
+
+
+@check("joi4_channels_in_rings", f"""WITH RECURSIVE e AS (SELECT source AS u, target AS v FROM {_CHANNELS} WHERE source <> target),
+w AS (SELECT u, v, v AS node, 1 AS length FROM e UNION SELECT w.u, w.v, e.v, w.length + 1 FROM w JOIN e ON e.u = w.node
+ WHERE NOT (w.node = w.v AND e.v = w.u) AND w.length < 25 AND w.node <> w.u)
+SELECT u AS source, v AS target, cast(min(length) AS BIGINT) AS ring FROM w WHERE node = u GROUP BY 1, 2""")
+def channels_in_rings(spark, sf):
+    """Channels between nations, made of the suppliers."""
+    nation, n = F.col("s_nationkey").cast("long"), F.col("s_suppkey")
+    channels = read(spark, sf, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("source"), ((nation * 3 + n % 4) % 25).alias("target"))
+    return rings.channels_in_rings(channels.select("source", F.col("target").cast(channels.schema["target"].dataType)))

@@ -179,3 +179,32 @@ def test_history_gives_every_snapshot_back(spark):
     stretches = intervals.collect()
     assert len({(r.k, r.v, r.valid_from) for r in stretches}) == len(stretches)
     assert validity_intervals(table.filter("k > 99"), ["k"], "at").count() == 0
+
+
+def test_channels_in_rings(spark):
+    from lagscope.operators.rings import channels_in_rings
+
+    rnd = random.Random(7)
+    for nodes, many in ((4, 5), (6, 9), (7, 8)):
+        edges = {(rnd.randrange(nodes), rnd.randrange(nodes)) for _ in range(many)} | {(90, 91), (91, 90), (80, 81), (81, 82), (82, 80)}
+
+        def way(u, v, seen):
+            """Channels of the shortest way from v to u over nodes not seen."""
+            ways = [1 + (0 if b == u else way(u, b, seen | {b})) for a, b in edges if a == v and b not in seen]
+            return min(ways, default=99)
+
+        want = set()
+        for u, v in sorted(edges):
+            if u == v:
+                continue
+            back = (v, u) in edges
+            edges.discard((v, u))
+            ring = 1 + way(u, v, {v})
+            if back:
+                edges.add((v, u))
+            if ring < 90:
+                want.add((u, v, ring))
+        table = spark.createDataFrame([*edges, *list(edges)[:2], (None, 1), (3, None)], "source int, target int")
+        assert {tuple(r) for r in channels_in_rings(table).collect()} == want
+        assert {(80, 81, 3), (81, 82, 3), (82, 80, 3)} <= want and not any(u in (90, 91) for u, _, _ in want)
+    assert channels_in_rings(spark.createDataFrame([], "source int, target int")).count() == 0
