@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -50,46 +50,37 @@ class _Transactions(StatefulProcessor):
         self.open = handle.getValueState("open", _OPEN)
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
         known = self.open.exists()
         file, changes, first, last = self.open.get() if known else (None, 0, None, None)
         closed = False
-        for events in rows:
-            names, places = events["file"].dropna(), events["pos"].dropna()
-            file = max(filter(None, (file, names.max() if len(names) else None)), default=None)
-            changes += int((events["kind"] == "row").sum())
-            if len(places):
-                first = min(x for x in (first, int(places.min())) if x is not None)
-                last = max(x for x in (last, int(places.max())) if x is not None)
-            closed = closed or bool((events["kind"] == "xid").any())
+        for event in rows:
+            if event.file is not None:
+                file = event.file if file is None else max(file, event.file)
+            if event.pos is not None:
+                first = event.pos if first is None else min(first, event.pos)
+                last = event.pos if last is None else max(last, event.pos)
+            changes += event.kind == "row"
+            closed = closed or event.kind == "xid"
         if closed:
-            self._forget()
-            yield self._row(pd, key, (file, changes, first, last), True)
+            if known:
+                self._forget()
+            yield Row(gtid=key[0], file=file, changes=changes, first_pos=first, last_pos=last, closed=True)
             return
         self.open.update((file, changes, first, last))
         if self.timeout_ms is not None and not known:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        import pandas as pd
-
         if self.open.exists():
-            found = self.open.get()
+            file, changes, first, last = self.open.get()
             self._forget()
-            yield self._row(pd, key, found, False)
+            yield Row(gtid=key[0], file=file, changes=changes, first_pos=first, last_pos=last, closed=False)
 
     def _forget(self) -> None:
         self.open.clear()
         for timer in list(self.handle.listTimers()) if self.timeout_ms is not None else []:
             self.handle.deleteTimer(timer)
 
-    @staticmethod
-    def _row(pd, key, found, closed: bool):
-        file, changes, first, last = found
-        frame = pd.DataFrame({"gtid": [key[0]], "file": [file], "changes": [changes], "first_pos": [first], "last_pos": [last], "closed": [closed]})
-        return frame.astype({"first_pos": "Int64", "last_pos": "Int64"})
-
     def close(self) -> None:
         pass
 
@@ -98,14 +89,14 @@ def closed_transactions(changes: DataFrame, timeout: str | None = None) -> DataF
     """A streaming table of transactions (``DONE``), each put out in the batch in which its end arrives.
 
     Spark's state store holds a summary per open transaction, not its events, so state does not grow with a transaction's
-    size; a huge one passes its task in Arrow batches. With ``timeout`` (``"10 minutes"`` of processing time since its first
+    size; a huge one passes its task event by event. With ``timeout`` (``"10 minutes"`` of processing time since its first
     event) one whose end has not come is put out with ``closed = false``; what comes later is put out as another part. The session
     needs the RocksDB state store, which ``stream_transactions`` sets.
     """
     file = F.col("file") if "file" in changes.columns else F.lit(None).cast("string")
     events = changes.filter(F.col("gtid").isNotNull()).select("gtid", file.alias("file"), "kind", F.col("pos").cast("long").alias("pos"))
     milliseconds = None if timeout is None else interval_seconds(timeout) * 1000
-    return events.groupBy("gtid").transformWithStateInPandas(_Transactions(milliseconds), DONE, "Append", "None" if timeout is None else "ProcessingTime")
+    return events.groupBy("gtid").transformWithState(_Transactions(milliseconds), DONE, "Append", "None" if timeout is None else "ProcessingTime")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
