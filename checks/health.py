@@ -142,6 +142,20 @@ def joi3(spark, sf):
     return reconcile.reconcile_rows(a, b, ["o_orderkey"], ["o_custkey", "o_totalprice"])
 
 
+@check("joi3_reconcile_ranges", """WITH b AS (SELECT CASE WHEN o_orderkey // 50 % 97 = 5 THEN o_orderkey + 100000000 ELSE o_orderkey END AS o_orderkey, o_custkey,
+ CASE WHEN o_orderkey // 50 % 97 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders)
+ SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'only_a' WHEN a.o_orderkey IS NULL THEN 'only_b' ELSE 'differs' END AS status
+ FROM orders a FULL OUTER JOIN b ON a.o_orderkey = b.o_orderkey
+ WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_custkey IS DISTINCT FROM b.o_custkey OR a.o_totalprice IS DISTINCT FROM b.o_totalprice""")
+def joi3_ranges(spark, sf):
+    a = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    part = F.floor(F.col("o_orderkey") / 50) % 97
+    b = a.select(
+        F.when(part == 5, F.col("o_orderkey") + 100_000_000).otherwise(F.col("o_orderkey")).alias("o_orderkey"),
+        "o_custkey", F.when(part == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return reconcile.reconcile_ranges(a, b, ["o_orderkey"], leaf_rows=1000)
+
+
 @check("mth1_id_origin", "SELECT o_orderkey, (o_orderkey - 1 + 2) % 2 + 1 AS origin, (o_orderkey - 1 + 3) % 3 + 1 AS origin3 FROM orders")
 def mth1(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", scalars.id_origin("o_orderkey", 2).alias("origin"), scalars.id_origin("o_orderkey", 3).alias("origin3"))

@@ -22,7 +22,7 @@ from lagscope.operators.history import as_of, deleted_rows, validity_intervals
 from lagscope.operators.naming import smallest_free_suffix, unused
 from lagscope.operators.ordered import ditto, head, number_by_position, number_rows, preview
 from lagscope.operators.points import PointSpec, dedupe_points, project, split_rejects, stat_specs, to_line_protocol
-from lagscope.operators.reconcile import reconcile_counts, reconcile_rows
+from lagscope.operators.reconcile import reconcile_counts, reconcile_ranges, reconcile_rows, unlike_ranges
 from lagscope.operators.rings import channels_in_rings
 from lagscope.operators.rollups import (
     bucket, bucket_agg, bucket_max, bucket_sum, change_totals, duplicate_identity, exceptions_per_minute, fill_gaps, flatten_kv,

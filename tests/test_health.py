@@ -190,3 +190,39 @@ def test_reconcile_other_types(spark):
 def test_variables(spark):
     df = spark.createDataFrame([("server_id", "1")], "Variable_name string, Value string")
     assert [tuple(r) for r in read_variables(df).collect()] == [("server_id", "1")]
+
+
+def _replicas(spark, changed):
+    """Two replicas of 100,000 rows with far-apart keys; ``changed`` picks the rows that differ in the second."""
+    a = spark.range(100_000).selectExpr("id * 7919 - 50000000 AS k", "id % 13 AS v", "cast(id % 5 AS string) AS w")
+    return a, a.withColumn("v", F.when(F.expr(changed), F.lit(-1)).otherwise(F.col("v")))
+
+
+def test_reconcile_ranges_reads_what_differs(spark, tmp_path):
+    a, b = _replicas(spark, "k BETWEEN 1000000 AND 1200000 OR k BETWEEN 400000000 AND 400100000")
+    a.write.parquet(f"{tmp_path}/a")
+    b.write.parquet(f"{tmp_path}/b")
+    a, b = (spark.read.parquet(f"{tmp_path}/{n}") for n in "ab")
+    left = reconcile.unlike_ranges(a, b, ["k"], fanout=64, leaf_rows=10)
+    assert 2 <= len(left.spans) <= 256 and not left.nulls
+    assert a.filter(left.of("k")).count() < 200  # of 100,000; 39 differ
+    got = reconcile.reconcile_ranges(a, b, ["k"], fanout=64, leaf_rows=10)
+    assert "PushedFilters: [Or(" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, reconcile.reconcile_rows(a, b, ["k"]).collect()))
+
+
+@pytest.mark.parametrize("changed,most", [("false", 1), ("true", 20), ("k % 3 = 0", 3), ("k < -49990000", 20)])
+def test_reconcile_ranges_equals_rows(spark, changed, most):
+    a, b = (df.limit(1000).coalesce(1) for df in _replicas(spark, changed))
+    more = spark.createDataFrame([(None, 1, "x"), (2**63 - 1, 2, "y"), (-(2**63), 2, "y"), (5, None, None)], "k long, v long, w string").coalesce(1)
+    for one, two in ((a.unionAll(more), b), (a.unionAll(more), b.unionAll(more).unionAll(more)), (a.limit(0), b)):
+        want = sorted(map(str, reconcile.reconcile_rows(one, two, ["k"]).collect()))
+        assert sorted(map(str, reconcile.reconcile_ranges(one, two, ["k"], fanout=16, leaf_rows=5, most=most).collect())) == want
+
+
+def test_reconcile_ranges_of_nothing(spark):
+    none = spark.createDataFrame([], "k int, v string")
+    assert reconcile.unlike_ranges(none, none, ["k"]) == reconcile.Ranges((), False)
+    assert reconcile.reconcile_ranges(none, none, ["k"]).count() == 0
+    with pytest.raises(ValueError, match="whole number"):
+        reconcile.reconcile_ranges(none, none, ["v"])
