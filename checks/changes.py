@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.base import CHANGES, ENVELOPE, check, changes, envelope, read
+from checks.base import CHANGES, ENVELOPE, STATS, check, changes, envelope, read, stats
 from lagscope.operators import changes as ops
 from lagscope.operators import gtid, rings
+from lagscope.operators.partials import RollupSpec
 from lagscope.schemas import CHANGE_KINDS
 from lagscope.session import temporary_folder
 from lagscope.sources import changes as change_source
 from lagscope.streaming import changes as streams
+from lagscope.streaming import rollups as kept
 
 
 def _scratch(spark, name):
@@ -231,3 +233,29 @@ def channels_in_rings(spark, sf):
     nation, n = F.col("s_nationkey").cast("long"), F.col("s_suppkey")
     channels = read(spark, sf, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("source"), ((nation * 3 + n % 4) % 25).alias("target"))
     return rings.channels_in_rings(channels.select("source", F.col("target").cast(channels.schema["target"].dataType)))
+
+
+_SPEC = RollupSpec("GMT_MODIFIED", "1 minute", sums=("SIZE",), maxes=("DELAY_TIME",), lasts=("INSERT_COUNT",), tie=("ID",), by=("TYPE",))
+
+
+def _rollup(spark, sf, spec):
+    """The events as a stream of points, rolled up per minute and folded once."""
+    folder = _scratch(spark, "rollup")
+    kept.stream_rollup(stats(_streaming(spark), sf), spec, folder, available_now=True).awaitTermination()
+    kept.fold_rollup(spark, spec, folder)
+    return folder
+
+
+@check("agg5_kept_rollup", f"""SELECT type, date_trunc('hour', gmt_modified) AS bucket, count(*) AS points, cast(sum(size) AS BIGINT) AS sum_size,
+ max(delay_time) AS max_delay_time, cast(arg_max(insert_count, (gmt_modified, id)) AS BIGINT) AS last_insert_count FROM {STATS} GROUP BY 1, 2""")
+def agg5_kept(spark, sf):
+    rows = kept.kept_rollup(spark, _SPEC, _rollup(spark, sf, _SPEC), "1 hour")
+    return rows.toDF(*[c.lower() for c in rows.columns])
+
+
+@check("str5_panel_from_rollup", f"""SELECT c.bucket, s.points, s.sum_size FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS bucket) c
+ LEFT JOIN (SELECT date_trunc('hour', gmt_modified) AS bucket, count(*) AS points, cast(sum(size) AS BIGINT) AS sum_size FROM {STATS} GROUP BY 1) s USING (bucket)""")
+def str5_panel(spark, sf):
+    spec = RollupSpec("GMT_MODIFIED", "1 minute", sums=("SIZE",))
+    rows = kept.panel(spark, spec, _rollup(spark, sf, spec), "2024-01-01 00:00:00", "2024-01-30 23:59:59", 700)
+    return rows.toDF(*[c.lower() for c in rows.columns])

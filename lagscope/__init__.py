@@ -21,6 +21,7 @@ from lagscope.operators.health import cluster_status, health_report, replication
 from lagscope.operators.history import as_of, deleted_rows, validity_intervals
 from lagscope.operators.naming import smallest_free_suffix, unused
 from lagscope.operators.ordered import ditto, head, number_by_position, number_rows, preview
+from lagscope.operators.partials import RollupSpec, choose_interval, merge_partials, partials
 from lagscope.operators.points import PointSpec, dedupe_points, project, split_rejects, stat_specs, to_line_protocol
 from lagscope.operators.reconcile import reconcile_counts, reconcile_ranges, reconcile_rows, unlike_ranges
 from lagscope.operators.rings import channels_in_rings
@@ -44,5 +45,6 @@ from lagscope.streaming.collector import (
     Source, capture_changes, collect_once, collected_points, latest_state, run_collect, stream_points,
 )
 from lagscope.streaming.positions import WatermarkTable
+from lagscope.streaming.rollups import fold_rollup, kept_rollup, panel, stream_rollup
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -1,8 +1,12 @@
+import random
 from datetime import datetime, timedelta
 
 import fixtures
-from lagscope.operators import filters, rollups
+import pytest
+
+from lagscope.operators import filters, partials, rollups
 from lagscope.plans import dashboard, named
+from lagscope.streaming import rollups as rollup_streams
 
 BEGIN, END = "2020-04-20 00:00:00", "2020-04-20 23:59:59"
 
@@ -106,3 +110,48 @@ def test_named_queries(spark):
     queries.register("mine", "SELECT :x + 1 AS y")
     assert queries.run("mine", x=1).first().y == 2
     assert named.check_query(spark).count() == 1
+
+
+def test_choose_interval():
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    rule = {(1, 1440): "60 seconds", (1, 700): "120 seconds", (7, 700): "900 seconds", (30, 700): "3600 seconds", (365, 100): "86400 seconds"}
+    assert {k: partials.choose_interval(day(0), day(k[0]), k[1]) for k in rule} == rule
+    assert partials.choose_interval("2024-01-01 00:00:00", "2024-01-01 00:01:00", 1000) == "1 seconds"
+    assert partials.choose_interval(day(0), day(1), 20000, "1 minute") == "60 seconds"
+    assert partials.choose_interval(day(0), day(1), 6000, "7 seconds") == "21 seconds"  # a multiple of what is kept
+    with pytest.raises(ValueError, match="at least one"):
+        partials.choose_interval(day(0), day(1), 0)
+
+
+def _points(seed, n):
+    random.seed(seed)
+    start = at("00:00:00")
+    return [(seed * 100_000 + i, random.choice("ab"), start + timedelta(seconds=random.randrange(20_000)) if i % 50 else None,
+             random.choice([None, 1, 2, 3]), random.choice([None, 5, 7])) for i in range(n)]
+
+
+def test_kept_rollup_reads_new_points_only(spark, tmp_path):
+    kind = "id long, k string, ts timestamp_ntz, n long, s long"
+    spec = partials.RollupSpec("ts", "1 minute", ("n",), ("n",), ("s",), ("id",), ("k",))
+    source, folder, points = f"{tmp_path}/points", f"{tmp_path}/rollup", []
+    for run, n in enumerate((400, 0, 300, 1)):  # the second run adds no point
+        fresh = _points(run, n)
+        points += fresh
+        if fresh:
+            spark.createDataFrame(fresh, kind).coalesce(1).write.mode("append").parquet(source)
+        query = rollup_streams.stream_rollup(spark.readStream.schema(kind).parquet(source), spec, folder, available_now=True)
+        query.awaitTermination()
+        assert sum(p["numInputRows"] for p in query.recentProgress) == n
+        if run == 2:
+            rollup_streams.fold_rollup(spark, spec, folder)
+        whole = spark.createDataFrame(points, kind)
+        for interval in ("1 minute", "1 hour", "1 day"):
+            want = partials.finished(partials.partials(whole, partials.RollupSpec("ts", interval, ("n",), ("n",), ("s",), ("id",), ("k",))), spec)
+            assert sorted(map(str, rollup_streams.kept_rollup(spark, spec, folder, interval).collect())) == sorted(map(str, want.collect()))
+    # By hand: one hour of one series.
+    mine = [p for p in points if p[1] == "a" and p[2] is not None and p[2].hour == 1]
+    last = max((p[2], p[0], p[4]) for p in mine if p[4] is not None)[2]
+    row = rollup_streams.kept_rollup(spark, spec, folder, "1 hour").filter("k = 'a' AND hour(bucket) = 1").first()
+    assert (row.points, row.sum_n, row.max_n, row.last_s) == (len(mine), sum(p[3] or 0 for p in mine), max(p[3] or 0 for p in mine), last)
+    with pytest.raises(ValueError, match="multiple"):
+        rollup_streams.kept_rollup(spark, spec, folder, "30 seconds")
