@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from checks.base import LOGS, STATS, check, logs, read, stats
 from lagscope.functions.text import MAX_STRING_BYTES
-from lagscope.operators import copying, gauges, history, points, rollups
+from lagscope.operators import copying, gauges, history, points, rollups, silence
 from lagscope.session import temporary_folder
 from lagscope.sources import pages as page_source
 from lagscope.sources import polled
 from lagscope.sources import stats as stat_source
 from lagscope.streaming import collector
+from lagscope.streaming import silence as silence_streams
 from lagscope.streaming.positions import WatermarkTable
 
 FROM, TO = "2024-01-05 00:00:00", "2024-01-25 12:00:00"
@@ -291,6 +292,28 @@ def str7_beat(spark, sf):
     return beats.select(F.to_json("keys").alias("keys")).groupBy("keys").agg(F.count("*").alias("beats"))
 
 
+_SILENCES = """WITH g AS (SELECT host, t, lead(t) OVER (PARTITION BY host ORDER BY t) AS later FROM (SELECT user_id AS host, ts AS t FROM events {more}) WHERE t <= {until})
+ SELECT host, 'silent' AS event, t + INTERVAL 12 HOUR AS "at" FROM g WHERE t + INTERVAL 12 HOUR <= {until} AND (later IS NULL OR later > t + INTERVAL 12 HOUR)
+ UNION ALL SELECT host, 'returned' AS event, later AS "at" FROM g WHERE later > t + INTERVAL 12 HOUR"""
+_SINCE = "2024-01-01 00:00:00"
+
+
+@check("str7_silent_hosts", _SILENCES.format(until="TIMESTAMP '2024-01-30 00:00:00'", more=f"UNION ALL SELECT user_id + d.d AS host, TIMESTAMP '{_SINCE}' AS t FROM (SELECT DISTINCT user_id FROM events), (VALUES (0), (1000000)) d(d)"))
+def str7_silent(spark, sf):
+    """Every user and as many others, who never report, are expected."""
+    beats = read(spark, sf, "events").select("user_id", "ts")
+    users = beats.select(F.explode(F.array("user_id", F.col("user_id") + 1_000_000)).alias("user_id")).distinct()
+    return silence.silences(beats, "user_id", "ts", "12 hours", "2024-01-30 00:00:00", _SINCE, users)
+
+
+@check("str7_stream_silent_hosts", _SILENCES.format(until="(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)", more=""))
+def str7_stream(spark, sf):
+    folder = temporary_folder(spark, "silences")
+    beats = spark.readStream.schema(read(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    silence_streams.stream_silences(beats, "user_id", "ts", "12 hours", folder, "1 hour", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/events")
+
+
 _DAYS = "(SELECT user_id, date_trunc('day', ts) AS snap, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1, 2)"
 _STRETCHES = f"""(SELECT user_id, kind, min(snap) AS valid_from, CASE WHEN max(no) < (SELECT count(DISTINCT snap) FROM {_DAYS}) THEN arg_max(next, no) END AS valid_to
  FROM (SELECT d.*, no, next, no - row_number() OVER (PARTITION BY user_id, kind ORDER BY no) AS g FROM {_DAYS} d

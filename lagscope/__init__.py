@@ -29,6 +29,7 @@ from lagscope.operators.rollups import (
     bucket, bucket_agg, bucket_max, bucket_sum, change_totals, duplicate_identity, exceptions_per_minute, fill_gaps, flatten_kv,
     has_exception, identity_members, last_value_by, next_watermark, null_mode, order_by_time, row_count,
 )
+from lagscope.operators.silence import silences
 from lagscope.plans.named import NamedQueries, check_query
 from lagscope.session import get_session, shared_folder
 from lagscope.sources.changes import decode_changes, of_kind, read_changes
@@ -46,5 +47,6 @@ from lagscope.streaming.collector import (
 )
 from lagscope.streaming.positions import WatermarkTable
 from lagscope.streaming.rollups import fold_rollup, kept_rollup, panel, stream_rollup
+from lagscope.streaming.silence import stream_silences, watch_hosts
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -99,6 +100,20 @@ def closed_transactions(changes: DataFrame, timeout: str | None = None) -> DataF
     return events.groupBy("gtid").transformWithState(_Transactions(milliseconds), DONE, "Append", "None" if timeout is None else "ProcessingTime")
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; the session's own setting comes back afterwards, a query keeps what it started with."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -112,20 +127,13 @@ def stream_transactions(changes: DataFrame, folder: str, timeout: str | None = N
     spark, folder = changes.sparkSession, folder.rstrip("/")
     if _exists(spark, f"{folder}/done/_spark_metadata") and not _exists(spark, f"{folder}/checkpoint"):
         raise ValueError(f"{folder} has the batches of another checkpoint")
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with rocksdb_state(spark):
         writer = closed_transactions(changes, timeout).writeStream.format("parquet").option("path", f"{folder}/done").option("checkpointLocation", f"{folder}/checkpoint")
         if available_now:
             writer = writer.trigger(availableNow=True)
         elif trigger:
             writer = writer.trigger(processingTime=trigger)
-        return writer.start()  # the query keeps the settings it was started with
-    finally:
-        if before is None:
-            spark.conf.unset(_STORE)
-        else:
-            spark.conf.set(_STORE, before)
+        return writer.start()
 
 
 def finished_transactions(spark: SparkSession, folder: str) -> DataFrame:
