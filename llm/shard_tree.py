@@ -5,22 +5,24 @@ child, and the smallest draw wins; an inner node weighs what its shards weigh. S
 and a changed weight moves rows only into or out of the subtree that holds it. A shard that is added as a region of
 its own takes rows only into itself; within an old region it would also stir the rows that this region gains.
 
-Slots number the rows of a shard from 0 without gaps, in key order, by position ranges: no task sorts a whole shard.
+Slots number the rows of a shard from 0 without gaps, in key order. The rows (not their texts) are dealt by ranges of shard, key, checksum
+and place in the input, which are quantiles of the data, and written once in that order; then a row's slot is its place in its range plus the
+rows of the shard in the ranges before. So no task sorts a whole shard, however sparse the keys are or however often one of them occurs.
 
 Nulls: a row without key is hashed as the empty text and comes first in its shard. A null text has size 1 and the
-checksum of nothing. Repeated keys share a shard and get neighbouring slots in any order. Empty tables give empty
+checksum of nothing. Repeated keys share a shard and get neighbouring slots, by checksum. Empty tables give empty
 results. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagscope.operators.ordered import number_by_position
+from llm.common import saved
 
 Tree = dict[str, dict[str, dict[int, float]]]  # region -> rack -> shard -> weight
-_SPAN = 1 << 14
+_RANGE = 33  # fixed value: the bits of an increasing id below its partition's number
 
 
 def even_tree(shards: int, per_rack: int = 2, racks: int = 2) -> Tree:
@@ -70,8 +72,20 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     )
     key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
     placed = rows.select(
-        "*", F.lit("key").alias("law"), place(key, tree).cast("int").alias("shard"), place(key, grown(tree, shards)).cast("int").alias("grown_shard"),
-        F.coalesce("_id", -1 - F.col("text_crc32")).alias("_pos"),
+        "*", F.lit("key").alias("law"), place(key, tree).cast("int").alias("shard"), place(key, grown(tree, shards)).cast("int").alias("grown_shard")
     )
-    numbered = number_by_position(placed, "_pos", "shard", "slot", _SPAN, by_has_nulls=False)
-    return numbered.select(F.col("_id").alias(id_col), "size", "text_crc32", "law", "shard", (F.col("slot") - 1).cast("long").alias("slot"), "grown_shard")
+    return numbered(placed).select(F.col("_id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def numbered(placed: DataFrame) -> DataFrame:
+    """Rows with ``shard``, ``_id`` and ``text_crc32`` get a ``slot``: 0, 1, 2 ... in each shard, in the order of id and checksum, nulls first."""
+    order = ["shard", "_id", "text_crc32", "_place"]
+    dealt = placed.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    table = saved(dealt.drop("_place").withColumn("_at", F.monotonically_increasing_id()), "shards")
+    within = F.shiftright("_at", _RANGE).alias("_range")
+    sizes = table.groupBy("shard", within).agg(F.count("*").alias("_size"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per task, and one more per shard: small whatever the input.
+    starts = sizes.select(F.col("shard").alias("_s"), "_range", (F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = (F.col("shard") == F.col("_s")) & (F.shiftright("_at", _RANGE) == F.col("_range"))
+    return table.join(F.broadcast(starts), same).withColumn("slot", F.col("_at") + F.col("_shift"))

@@ -553,6 +553,18 @@ def test_sharding(spark, docs):
     assert abs(moved.filter("x = 1").count() / 20_000 - 3 / 8) < 0.02
 
 
+def test_shard_slots_follow_sparse_null_and_hot_ids(spark):
+    """Ids far apart and below -2^32, rows without id, and one id with a third of all rows: slots go by id, nulls first, then by checksum."""
+    rows = [(None, "x"), (None, None), (-(2**40), "a"), (2**63 - 1, "z"), (-(2**63), "q")] + [(i * 7_919_000_000_003 % 2**62, f"t{i}") for i in range(400)] + [(77, f"h{i % 9}") for i in range(200)]
+    got = shard_tree.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert len(got) == len(rows)
+    for number in range(8):
+        mine = sorted((r for r in got if r.shard == number), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        keys = [(r.doc_id is not None, r.doc_id or 0, r.text_crc32) for r in mine]
+        assert keys == sorted(keys)
+
+
 #: Queries with a row per row of their table; the others return nodes and phrases.
 BY_ROW = sorted(q for q in checks.QUERIES if not q.startswith(("op12_", "op13_")))
 
