@@ -37,34 +37,45 @@ FORMAT = (
 _NAMES = [f.split()[0] for f in FORMAT.split(", ")]
 
 
-def frequent_pairs(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that occur at least ``least`` times, and how often."""
-    hashed = ((key * U(0x9E3779B97F4A7C15)) >> U(64 - _BITS)).astype(np.int64)
-    often = np.bincount(hashed, minlength=1 << _BITS) >= least
-    pairs, counts = np.unique(key[often[hashed]], return_counts=True)
-    good = counts >= least
-    return pairs[good], counts[good]
+def _bins(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key * U(0x9E3779B97F4A7C15)) >> U(64 - bits)).astype(np.int32)
 
 
 def _chosen(key: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs worth a rule, and the places to replace: which of these pairs, and where. ``key`` has the pair at each of ``rows``.
 
-    Where pairs overlap, the more frequent wins; equal ones from the left.
+    A hashed histogram, about as long as ``key``, leaves few other pairs to sort; its bins then find each place's pair, and only bins of several
+    frequent pairs need a search. Where pairs overlap, the more frequent wins; equal ones from the left.
     """
     none = np.zeros(0, np.int64)
-    pairs, counts = frequent_pairs(key, least)
+    bits = min(_BITS, max(8, len(key).bit_length()))
+    bins = _bins(key, bits)
+    often = np.flatnonzero((np.bincount(bins, minlength=1 << bits) >= least)[bins])
+    key, rows, bins = key[often], rows[often], bins[often]
+    pairs, counts = np.unique(key, return_counts=True)
+    good = counts >= least
+    pairs, counts = pairs[good], counts[good].astype(np.int32)
     if not len(pairs):
         return pairs, none, none
-    found = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-    some = np.flatnonzero(pairs[found] == key)
+    own = _bins(pairs, bits)
+    of_bin = np.full(1 << bits, -1, np.int32)
+    of_bin[own] = np.arange(len(pairs), dtype=np.int32)
+    found = of_bin[bins]
+    some = pairs[found] == key
+    several = np.flatnonzero((np.bincount(own, minlength=1 << bits) > 1)[bins] & ~some)
+    if len(several):
+        place = np.minimum(np.searchsorted(pairs, key[several]), len(pairs) - 1)
+        found[several], some[several] = place, pairs[place] == key[several]
+    some = np.flatnonzero(some)
     rows, found = rows[some], found[some]
     weight = counts[found]
     near = np.diff(rows) == 1
-    left, right = np.append(0, np.where(near, weight[:-1], 0)), np.append(np.where(near, weight[1:], 0), 0)
-    hit = (weight >= right) & (weight >= left)
-    index = np.arange(len(hit))
+    hit = np.ones(len(rows), bool)
+    hit[:-1] &= ~near | (weight[:-1] >= weight[1:])
+    hit[1:] &= ~near | (weight[1:] >= weight[:-1])
+    index = np.arange(len(hit), dtype=np.int32)
     begins = hit & ~np.append(False, hit[:-1] & near)
-    hit &= (index - np.maximum.accumulate(np.where(begins, index, -1))) % 2 == 0
+    hit &= (index - np.maximum.accumulate(np.where(begins, index, np.int32(-1)))) % 2 == 0
     used = np.bincount(found[hit], minlength=len(pairs))
     keep = used >= max(least // 2, 1)
     hit &= keep[found]
@@ -77,21 +88,25 @@ def compress(ids: np.ndarray, first: np.ndarray, size: int, least: int = LEAST):
     Rounds go on until no pair pays. A round after the first looks at pairs with a symbol of the round before, since other
     counts only fall; when these give nothing, a last look at all pairs ends the loop or goes on.
     """
-    symbols = ids.astype(U)
+    symbols = ids.astype(np.uint32)
     fresh = np.zeros(len(symbols), bool)  # a document begins here
     fresh[first[:-1][first[:-1] < len(symbols)]] = True
     rules: list[np.ndarray] = []
     top, since = size, 0
     while len(symbols) >= 2:
-        rows = np.flatnonzero(~fresh[1:] & ((symbols[:-1] >= since) | (symbols[1:] >= since)) if since else ~fresh[1:])
-        new, found, at = _chosen((symbols[rows] << U(32)) | symbols[rows + 1], rows, least)
+        inside = ~fresh[1:]
+        if since:
+            late = symbols >= since
+            inside &= late[:-1] | late[1:]
+        rows = np.flatnonzero(inside)
+        new, found, at = _chosen((symbols[rows].astype(U) << U(32)) | symbols[rows + 1], rows, least)
         if not len(new):
             if not since:
                 break
             since = 0
             continue
         rules.append(np.stack([new >> U(32), new & U(0xFFFFFFFF)], 1).astype(np.uint32))
-        symbols[at] = (top + found).astype(U)
+        symbols[at] = top + found
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, fresh = symbols[keep], fresh[keep]
@@ -103,7 +118,7 @@ def compress(ids: np.ndarray, first: np.ndarray, size: int, least: int = LEAST):
     begins[:-1][~empty] = np.flatnonzero(fresh)
     for i in np.flatnonzero(empty)[::-1]:
         begins[i] = begins[i + 1]
-    return table, symbols.astype(np.uint32), begins
+    return table, symbols, begins
 
 
 def expansions(rules: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
