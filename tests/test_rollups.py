@@ -155,3 +155,15 @@ def test_kept_rollup_reads_new_points_only(spark, tmp_path):
     assert (row.points, row.sum_n, row.max_n, row.last_s) == (len(mine), sum(p[3] or 0 for p in mine), max(p[3] or 0 for p in mine), last)
     with pytest.raises(ValueError, match="multiple"):
         rollup_streams.kept_rollup(spark, spec, folder, "30 seconds")
+
+
+def test_kept_rollup_of_nothing(spark, tmp_path):
+    kind, spec = "id long, ts timestamp_ntz, n long", partials.RollupSpec("ts", sums=("n",), lasts=("n",), tie=("id",))
+    spark.createDataFrame([], kind).coalesce(1).write.parquet(f"{tmp_path}/points")
+    for _ in range(2):
+        rollup_streams.stream_rollup(spark.readStream.schema(kind).parquet(f"{tmp_path}/points"), spec, f"{tmp_path}/out", available_now=True).awaitTermination()
+        assert rollup_streams.fold_rollup(spark, spec, f"{tmp_path}/out") == -1
+        got = rollup_streams.kept_rollup(spark, spec, f"{tmp_path}/out", "1 hour")
+        assert got.columns == ["bucket", "points", "sum_n", "last_n"] and got.count() == 0
+    filled = rollup_streams.panel(spark, spec, f"{tmp_path}/out", "2024-01-01 00:00:00", "2024-01-01 01:59:59", 2)
+    assert [r.points for r in filled.collect()] == [None, None]
