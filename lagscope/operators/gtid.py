@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lagscope.session import as_col
 
 _SPAN = 1_000_000
-_PART = r"^([^:,\s]+)((?::\d+(?:-\d+)?)+)$"
+# The pieces are matched possessively: else Java's regex recurses once per piece, and a source with some thousands of them overflows its stack.
+_PART = r"^([^:,\s]+)((?::\d+(?:-\d+)?)++)$"
 
 
 def gtid_intervals(df: DataFrame, text_col: str = "gtid_set", keys=()) -> DataFrame:
@@ -24,16 +25,20 @@ def gtid_intervals(df: DataFrame, text_col: str = "gtid_set", keys=()) -> DataFr
     keys = list(keys)
     part = F.explode(F.split(F.regexp_replace(as_col(text_col), r"\s+", ""), ",")).alias("_part")
     parts = df.select(*keys, part).filter("_part <> ''")
-    pieces = parts.select(*keys, "_part", F.explode_outer(F.split(F.expr(f"substring(regexp_extract(_part, r'{_PART}', 2), 2)"), ":")).alias("_piece"))
-    ends = F.split("_piece", "-")
-    first, last = ends[0].try_cast("long"), F.coalesce(F.try_element_at(ends, F.lit(2)), ends[0]).try_cast("long")
-    good = F.coalesce((first >= 1) & (last >= first), F.lit(False))
-    rows = pieces.select(
-        *keys, F.when(good, F.lower(F.regexp_extract("_part", _PART, 1))).alias("source"), F.when(good, first).alias("first"), F.when(good, last).alias("last"),
-        F.when(~good, F.col("_part")).alias("reject"),
-    )
-    merged = merge_intervals(rows.filter("reject IS NULL").drop("reject"), [*keys, "source"])
-    return merged.withColumn("reject", F.lit(None).cast("string")).unionByName(rows.filter("reject IS NOT NULL").distinct())
+    pieces = F.split(F.expr(f"substring(regexp_extract(_part, r'{_PART}', 2), 2)"), ":")
+    good = F.filter(F.transform(pieces, _interval), lambda i: F.coalesce((i["first"] >= 1) & (i["last"] >= i["first"]), F.lit(False)))
+    # A part's text goes once to its reject, not to each of its pieces: a part of n pieces would be copied n times.
+    read = parts.select(*keys, "_part", F.lower(F.regexp_extract("_part", _PART, 1)).alias("source"), F.size(pieces).alias("_n"), good.alias("_good"))
+    merged = merge_intervals(read.select(*keys, "source", F.inline("_good")), [*keys, "source"])
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("source", "string"), ("first", "long"), ("last", "long"))]
+    rejects = read.filter(F.size("_good") < F.col("_n")).select(*keys, *none, F.col("_part").alias("reject")).distinct()
+    return merged.withColumn("reject", F.lit(None).cast("string")).unionByName(rejects)
+
+
+def _interval(piece: Column) -> Column:
+    """``first-last`` or ``first`` as a struct of both."""
+    ends = F.split(piece, "-")
+    return F.struct(ends[0].try_cast("long").alias("first"), F.coalesce(F.try_element_at(ends, F.lit(2)), ends[0]).try_cast("long").alias("last"))
 
 
 def executed_intervals(changes: DataFrame, gtid: str = "gtid", keys=()) -> DataFrame:
@@ -109,7 +114,8 @@ def contains_intervals(a: DataFrame, b: DataFrame, keys=("source",), by=()) -> D
 
 
 def gtid_text(intervals: DataFrame, keys=()) -> DataFrame:
-    """``keys`` with ``gtid_set``: the sets as text, sources and intervals in order. For sets that fit a row, as servers print them."""
+    """``keys`` with ``gtid_set``: the sets as text, sources and intervals in order. For sets that fit a row, as servers print them;
+    a larger one takes a further key, such as a range of ``first``, and is a row of text for each."""
     keys = list(keys)
     piece = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
     sources = intervals.groupBy(*keys, "source").agg(F.array_sort(F.collect_list(F.struct("first", piece.alias("text")))).alias("_p"))

@@ -153,6 +153,20 @@ def test_executed_sets_of_many_slots(spark, monkeypatch):
     assert got[0] == ("u", 1, 4) and got[1] == ("u", 6, 81) and _numbers(got) == {("u", n) for n in range(1, 500) if n % 77 != 5}
 
 
+def test_a_set_of_many_intervals_in_one_text(spark):
+    ends = {n: n + n % 3 for n in range(1, 80_000, 4)}
+    pieces = ":".join(f"{a}-{b}" if b > a else f"{a}" for a, b in ends.items())
+    rows = [(1, f"Long:{pieces}, other:7"), (2, f"Long:{pieces}:9-8:0"), (3, f"Long:{pieces}:"), (4, f"Long:x:{pieces}")]
+    table = spark.createDataFrame(rows, "server int, gtid_set string")
+    sets = gtid.gtid_intervals(table, keys=["server"]).cache()
+    want = {(s, "long", a, b) for s in (1, 2) for a, b in ends.items()} | {(1, "other", 7, 7)}
+    good = [tuple(r)[:4] for r in sets.filter("reject IS NULL").collect()]
+    assert len(good) == len(want) and set(good) == want
+    bad = [tuple(r) for r in sets.filter("reject IS NOT NULL").collect()]
+    assert sorted(bad) == [(s, None, None, None, rows[s - 1][1]) for s in (2, 3, 4)]
+    sets.unpersist()
+
+
 def test_history_gives_every_snapshot_back(spark):
     from lagscope.operators.history import as_of, deleted_rows, validity_intervals
 
